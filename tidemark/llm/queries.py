@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import media, shards, tokens
+from tidemark.llm import langid, media, shards, tokens, toxicity
 from tidemark.llm.runtime import read
 
 SHARDS = 40
@@ -19,6 +19,16 @@ def op1_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def _held_out() -> Column:
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == HELD_OUT, F.lit(False))
+
+
+def op2_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    filters = langid.fit(docs.where(~_held_out()))
+    return langid.identify(docs, filters).select("doc_id", _held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -26,6 +36,12 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.bpe_encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op8_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    scorer = toxicity.fit(docs, labels.where(~_held_out()))
+    return toxicity.score(docs, scorer).select("doc_id", _held_out().alias("held_out"), "score", "predicted")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -43,7 +59,9 @@ def op10_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_histogram_shards": op1_histogram_shards,
+    "op2_language_filters": op2_language_filters,
     "op3_byte_bpe": op3_byte_bpe,
+    "op8_compression_toxicity": op8_compression_toxicity,
     "op9_token_counts": op9_token_counts,
     "op10_media_sequences": op10_media_sequences,
 }
