@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, media, shards, substr, tokens, toxicity
+from tidemark.llm import jaccard, langid, media, shards, substr, tokens, toxicity
 from tidemark.llm.runtime import read
 
 SHARDS = 40
@@ -41,6 +41,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(read(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 def op8_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     scorer = toxicity.fit(docs, labels.where(~_held_out()))
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_filters": op2_language_filters,
     "op3_byte_bpe": op3_byte_bpe,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_jaccard_components": op7_jaccard_components,
     "op8_compression_toxicity": op8_compression_toxicity,
     "op9_token_counts": op9_token_counts,
     "op10_media_sequences": op10_media_sequences,
