@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import jaccard, langid, media, shards, substr, tokens, toxicity
+from tidemark.llm import html_main, jaccard, langid, media, shards, substr, tokens, toxicity
 from tidemark.llm.runtime import read
 
 SHARDS = 40
@@ -36,6 +36,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.bpe_encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.main_text(read(spark, sf_dir, "pages"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = substr.remove_repeats(read(spark, sf_dir, "documents"), width=20)
     return got.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_histogram_shards": op1_histogram_shards,
     "op2_language_filters": op2_language_filters,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_main_text": op4_main_text,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_jaccard_components": op7_jaccard_components,
     "op8_compression_toxicity": op8_compression_toxicity,
