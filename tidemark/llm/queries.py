@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import html_main, jaccard, langid, media, shards, substr, tokens, toxicity
+from tidemark.llm import decontam, html_main, jaccard, langid, media, shards, substr, tokens, toxicity
 from tidemark.llm.runtime import read
 
 SHARDS = 40
@@ -40,6 +40,10 @@ def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.main_text(read(spark, sf_dir, "pages"))
 
 
+def op5_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = substr.remove_repeats(read(spark, sf_dir, "documents"), width=20)
     return got.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_filters": op2_language_filters,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_main_text": op4_main_text,
+    "op5_latent_decontamination": op5_latent_decontamination,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_jaccard_components": op7_jaccard_components,
     "op8_compression_toxicity": op8_compression_toxicity,

@@ -13,6 +13,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Every ASCII byte but letters and digits parts words.
+_MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -23,11 +25,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Words `[^\\x20\\x09-\\x0D]+` of consecutive texts: starts, ends (bytes) and per-text word offsets."""
+    """Words `[^\\x20\\x09-\\x0D]+` of consecutive texts: starts, ends (bytes) and per-text word offsets.
 
-    def __init__(self, raw: np.ndarray, offs: np.ndarray):
+    With marks_part, ASCII punctuation and control characters part words too.
+    """
+
+    def __init__(self, raw: np.ndarray, offs: np.ndarray, marks_part: bool = False):
         self.raw, self.offs = raw, offs
-        solid = ~_SPACE[raw]
+        solid = ~(_MARKS if marks_part else _SPACE)[raw]
         before = np.zeros(len(raw), bool)
         before[1:] = solid[:-1]
         inside = offs[:-1][offs[:-1] < offs[1:]]
