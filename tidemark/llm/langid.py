@@ -75,6 +75,8 @@ class Filters:
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         grams, offs, n = trigrams(texts)
+        if not self.languages:
+            return ["und"] * len(texts), np.zeros(len(texts))
         masks = self.slots[self._probes(grams)[0]]
         for probe in self._probes(grams)[1:]:
             masks &= self.slots[probe]
@@ -96,8 +98,10 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().limit(MOST_LANGUAGES + 1).collect()}
-    if not counts or len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"between 1 and {MOST_LANGUAGES} languages can be learned, not {len(counts)}")
+    if not counts:  # nothing to learn: every text is `und`
+        return Filters([], np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"at most {MOST_LANGUAGES} languages can be learned")
     languages = sorted(counts)
     keep = F.lit(False)
     for name in languages:
@@ -147,3 +151,17 @@ def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(score)], [id_col, "lang_pred", "score"])
 
     return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
+
+
+def keep_known(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose text has a language (not `und`)."""
+    shared = docs.sparkSession.sparkContext.broadcast(filters)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for part in chunks(batches, text_col):
+            names, _ = shared.value.predict([t or "" for t in part.column(at).to_pylist()])
+            if any(n != "und" for n in names):
+                yield part.filter(pa.array([n != "und" for n in names]))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -19,14 +19,14 @@ def op1_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def _held_out() -> Column:
+def held_out() -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == HELD_OUT, F.lit(False))
 
 
 def op2_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    filters = langid.fit(docs.where(~_held_out()))
-    return langid.identify(docs, filters).select("doc_id", _held_out().alias("held_out"), "lang_pred", "score")
+    filters = langid.fit(docs.where(~held_out()))
+    return langid.identify(docs, filters).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,8 +55,8 @@ def op7_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
-    scorer = toxicity.fit(docs, labels.where(~_held_out()))
-    return toxicity.score(docs, scorer).select("doc_id", _held_out().alias("held_out"), "score", "predicted")
+    scorer = toxicity.fit(docs, labels.where(~held_out()))
+    return toxicity.score(docs, scorer).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

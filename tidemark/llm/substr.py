@@ -123,8 +123,9 @@ def _slots(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids.select(_slot("id").alias("slot")).distinct())
 
 
-def normal(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_FIRST)).alias("id"), F.col(text_col).alias("text"))
+def normal(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Columns id (long, null as the least long) and text, and those in `carry`."""
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_FIRST)).alias("id"), F.col(text_col).alias("text"), *carry)
 
 
 class FingerprintIndex:
@@ -206,8 +207,24 @@ class FingerprintIndex:
         return windows.groupBy("w", "c").agg(F.min(F.struct("id", "at")).alias("p")).select("p.id", "p.at")
 
 
-def apply_decisions(docs: DataFrame, decisions: DataFrame, width: int) -> DataFrame:
-    """(id, n_words, n_removed, kept_text) of every document."""
+def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """Rows of docs whose id isn't in ids (a table with column id).
+
+    Only rows that share a hash slot with such an id are shuffled. Rows without an id stay.
+    """
+    marked = docs.withColumn("_slot", F.pmod(F.xxhash64(F.lit("slot"), F.col(id_col).cast("long")), F.lit(ID_SLOTS)))
+    slots = _slots(ids).withColumnRenamed("slot", "_slot")
+    near = marked.join(slots, "_slot", "left_semi")
+    far = marked.join(slots, "_slot", "left_anti")
+    listed = ids.select(F.col("id").alias("_id"))
+    return far.unionByName(near.join(listed, F.col(id_col) == F.col("_id"), "left_anti")).drop("_slot")
+
+
+def apply_decisions(docs: DataFrame, decisions: DataFrame, width: int, carry: tuple[str, ...] = (), keep_whole: bool = False) -> DataFrame:
+    """(id, n_words, n_removed, kept_text and the columns in `carry`) of every document.
+
+    With keep_whole, a text that loses nothing stays as it is, white space included.
+    """
 
     def run(batches):
         for part in chunks(batches, "text"):
@@ -237,28 +254,34 @@ def apply_decisions(docs: DataFrame, decisions: DataFrame, width: int) -> DataFr
             ends = out[2 * np.append(0, np.cumsum(left))]
             texts = [joined[a : b - 1].tobytes().decode() if b > a else "" for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             n = words.counts
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(n - left), pa.array(texts, pa.string())], ["id", "n_words", "n_removed", "kept_text"])
+            if keep_whole:
+                texts = [was if same else text for was, text, same in zip(part.column(1).to_pylist(), texts, (n == left).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(n - left), pa.array(texts, pa.string()), *part.columns[4:]], ["id", "n_words", "n_removed", "kept_text", *carry])
 
     marked = docs.withColumn("slot", _slot("id"))
     near = _slots(decisions)
     with_rows = marked.join(near, "slot", "left_semi").drop("slot").hint("shuffle_merge").join(decisions, "id", "left")
     kinds = decisions.schema
-    without = marked.join(near, "slot", "left_anti").drop("slot").select("id", "text", F.lit(None).cast(kinds["spans"].dataType).alias("spans"), F.lit(None).cast(kinds["kept"].dataType).alias("kept"))
-    rows = with_rows.select("id", "text", "spans", "kept").unionByName(without)
-    return rows.mapInArrow(run, "id long, n_words long, n_removed long, kept_text string")
+    rest = marked.join(near, "slot", "left_anti").drop("slot").select("id", "text", F.lit(None).cast(kinds["spans"].dataType).alias("spans"), F.lit(None).cast(kinds["kept"].dataType).alias("kept"), *carry)
+    rows = with_rows.select("id", "text", "spans", "kept", *carry).unionByName(rest)
+    more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return rows.mapInArrow(run, f"id long, n_words long, n_removed long, kept_text string{more}")
 
 
-def remove_repeats(docs: DataFrame, width: int = 20, batches: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 20, batches: int = 2, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), keep_whole: bool = False) -> DataFrame:
     """Remove each word covered by a window that also starts earlier in `docs`.
 
     Earlier is a smaller id, or a smaller place in the same document; windows are judged on the
     input. The documents enter a new index in `batches` ranges of ids. Columns: id (long),
     n_words, n_removed, kept_text (kept words joined by one space). Null and empty texts have
     no words; a null id counts as the smallest; rows that repeat an id must repeat its text,
-    and then all of them keep or lose the same words. Other columns are left out.
+    and then all of them keep or lose the same words. Other columns are left out, but for those
+    named in `carry` (no name of a column used here). With keep_whole, a text that loses no
+    word keeps its white space.
     """
     spark = docs.sparkSession
-    rows = normal(docs, id_col, text_col)
+    full = normal(docs, id_col, text_col, carry)
+    rows = full.select("id", "text")
     cuts = sorted({int(x) for x in rows.select("id").where(F.col("id") != _FIRST).approxQuantile("id", [i / batches for i in range(1, batches)], 0.001)}) if batches > 1 else []
     index = FingerprintIndex(spark, width)
     decisions, low = None, None
@@ -272,5 +295,5 @@ def remove_repeats(docs: DataFrame, width: int = 20, batches: int = 2, id_col: s
         decisions = got if decisions is None else decisions.unionByName(got)
         low = high
     index.drop()
-    done = apply_decisions(rows, decisions, width)
-    return done.select(F.when(F.col("id") != _FIRST, F.col("id")).alias(id_col), "n_words", "n_removed", "kept_text")
+    done = apply_decisions(full, decisions, width, carry, keep_whole)
+    return done.select(F.when(F.col("id") != _FIRST, F.col("id")).alias(id_col), "n_words", "n_removed", "kept_text", *carry)
