@@ -6,8 +6,8 @@
    that another prefix holds can't be linked and stop here; that is most of all documents.
 3. The shingles of the rest are counted; each set is looked up only under its rarest ones, as
    many as a linked set can't miss altogether.
-4. Under each of these shingles, every set is tested against the list's first set; linked
-   sets grow into groups. Where a list still spans several groups, sets of the smaller group
+4. Under each of these shingles, every set is tested against the list's most central set, the
+   one with the fewest shingles of its own; linked sets grow into groups. Where a list still spans several groups, sets of the smaller group
    are searched in the larger one: its sets are split into blocks with inverted lists, and a
    search merges the short lists, probes the long ones by binary search for the candidates
    left (DivideSkip), and keeps those that reach the required overlap.
@@ -236,20 +236,22 @@ def _links(rows: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> D
     # of the rarest n - ceil(n * num / den) + 1 shingles, those that no other set holds come first
     quota = F.col("n") - F.ceil(F.col("n") * num / den) + 1 - (F.col("n") - F.size("l.toks"))
     routed = listed.alias("l").join(sets.select("id", "n"), "id").withColumn("quota", quota.cast("int")).where("quota > 0")
-    lists = cut(routed.select("id", F.explode(F.slice("l.toks", F.lit(1), F.col("quota"))).alias("t")).select("id", "t.tok"))
-    heads = lists.groupBy("tok").agg(F.min("id").alias("g"), F.count("*").alias("m")).where("m > 1")
-    asks = cut(lists.join(heads.select("tok", "g"), "tok").where("id <> g").select("g", "id").distinct())
+    # r: shingles that some other set holds too; no link can share more
+    lists = cut(routed.select("id", "n", F.size("l.toks").alias("r"), F.explode(F.slice("l.toks", F.lit(1), F.col("quota"))).alias("t")).select("id", "n", "r", "t.tok"))
+    can = lambda n, r, m, q: F.least(r, q) * (num + den) >= F.lit(num) * (F.col(n) + F.col(m))
+    # a list's first set is the one with the smallest part of shingles of its own
+    heads = lists.groupBy("tok").agg(F.min_by(F.struct("id", "n", "r"), F.struct((F.col("n") - F.col("r")) / F.col("n"), "id")).alias("h"), F.count("*").alias("m")).where("m > 1")
+    heads = heads.select("tok", F.col("h.id").alias("g"), F.col("h.n").alias("gn"), F.col("h.r").alias("gr"))
+    asks = cut(lists.join(heads, "tok").where((F.col("id") != F.col("g")) & can("n", "r", "gn", "gr")).select("g", "id").distinct())
     first = cut(_search(asks, asks.select("g", F.col("g").alias("id")).distinct(), sets, num, den))
     groups = cut(components(first))
-    placed = lists.join(groups, "id", "left").select("id", "tok", F.coalesce("component", "id").alias("c"))
+    placed = lists.join(groups, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    stats = placed.select("id", "n", "r", "c").distinct().groupBy("c").agg(F.count("*").alias("size"), F.min("n").alias("least_n"), F.max("r").alias("most_r"))
     mixed = placed.groupBy("tok").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("tok")
-    placed = cut(placed.join(mixed, "tok"))
-    sizes = groups.groupBy(F.col("component").alias("c")).agg(F.count("*").alias("size"))
-    inside = placed.select("tok", "c").distinct().join(sizes, "c", "left").select("tok", "c", F.coalesce("size", F.lit(1)).alias("size"))
-    own = placed.join(inside, ["tok", "c"])
+    placed = cut(placed.join(mixed, "tok").join(stats.select("c", "size"), "c"))
+    other = placed.select("tok", F.col("c").alias("g")).distinct().join(stats.select(F.col("c").alias("g"), F.col("size").alias("gsize"), "least_n", "most_r"), "g")
     rank = lambda c, s: F.struct(F.col(s).alias("s"), F.col(c).alias("c"))
-    other = inside.select("tok", F.col("c").alias("g"), F.col("size").alias("gsize"))
-    asks = cut(own.join(other, "tok").where(rank("c", "size") < rank("g", "gsize")).select("g", "id").distinct())
+    asks = cut(placed.join(other, "tok").where((rank("c", "size") < rank("g", "gsize")) & can("n", "r", "least_n", "most_r")).select("g", "id").distinct())
     whole = groups.select(F.col("component").alias("g"), "id").unionByName(sets.join(groups, "id", "left_anti").select(F.col("id").alias("g"), "id"))
     second = _search(asks, whole.join(asks.select("g").distinct(), "g", "left_semi"), sets, num, den)
     return first.unionByName(second)
