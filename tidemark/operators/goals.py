@@ -57,7 +57,7 @@ def attribute(items: DataFrame, projects: DataFrame) -> DataFrame:
     """
     days = items.groupBy("window_key", "project", "local_date").agg(F.sum("amount_us").alias("amount_us"))
     g = F.broadcast(projects)
-    on = (days.project == g.project) & (days.local_date >= F.coalesce(g.valid_from, F.lit(date(1, 1, 1)))) & (days.local_date <= F.coalesce(g.valid_until, F.lit(date(9999, 12, 31))))
+    on = (days.project == g.project) & (g.valid_from.isNull() | (days.local_date >= g.valid_from)) & (g.valid_until.isNull() | (days.local_date <= g.valid_until))
     met = days.join(g, on, "left").select("window_key", days.project, "local_date", "amount_us", g.id.alias("goal_id"))
     n = met.groupBy("window_key", "project", "local_date").agg(F.count("goal_id").alias("n_goals"))
     lane = F.when(F.col("n_goals") == 0, "unattributed").when(F.col("n_goals") == 1, "exclusive").otherwise("shared")

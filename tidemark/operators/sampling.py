@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import SALIENCE
+from tidemark.operators.lineage import cut
 
 
 def tie_break() -> list[Column]:
@@ -35,18 +36,19 @@ def plan(sketches: DataFrame) -> DataFrame:
     each provider, of each project, of each local day not yet covered, of each salience code
     among those not yet chosen (one at most), then all others in plan order.
     """
-    rows = canonical(sketches)
+    # read once and cut, as each pass looks at all that the passes before have chosen
+    rows = cut(canonical(sketches))
     tops = _tops(rows, "provider", "provider_top", 1).unionByName(_tops(rows, "project", "project_top", 2))
     chosen = tops.select("window_key", "internal_id").distinct()
     covered = rows.join(chosen, ["window_key", "internal_id"], "left_semi").select("window_key", "local_day").distinct()
     days = _tops(rows, "local_day", "day_top", 3)
     day_of = rows.select("window_key", "internal_id", "local_day")
     days = days.join(day_of, ["window_key", "internal_id"]).join(covered, ["window_key", "local_day"], "left_anti").drop("local_day")
-    tops = tops.unionByName(days)
+    tops = cut(tops.unionByName(days))
     for i, code in enumerate(SALIENCE):
         left = rows.where(F.array_contains("salience", code)).join(tops.select("window_key", "internal_id").distinct(), ["window_key", "internal_id"], "left_anti")
         best = left.groupBy("window_key").agg(F.min_by("internal_id", "plan_rank").alias("internal_id"))
-        tops = tops.unionByName(best.select("window_key", "internal_id", F.lit(f"salience:{code}").alias("reason"), F.lit(4 + i).alias("stage"), F.lit(1).alias("pos")))
+        tops = cut(tops.unionByName(best.select("window_key", "internal_id", F.lit(f"salience:{code}").alias("reason"), F.lit(4 + i).alias("stage"), F.lit(1).alias("pos"))))
     why = tops.groupBy("window_key", "internal_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("stage", "pos", "reason"))), lambda r: r.reason), ",").alias("reasons"))
     return rows.join(why, ["window_key", "internal_id"], "left").select("window_key", "internal_id", "plan_rank", F.coalesce("reasons", F.lit("budget_fill")).alias("reasons"))
 
