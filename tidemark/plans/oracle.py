@@ -133,7 +133,7 @@ goal_rows AS (SELECT w.window_key, g.goal_id, CAST(coalesce(ex, 0) AS BIGINT) AS
 
 
 SNAPSHOTS = """lines AS (SELECT 'b' || l_orderkey AS branch, l_linenumber, epoch_us(l_shipdate) AS ts_us, CAST(l_partkey AS BIGINT) AS p,
-    sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total FROM lineitem),
+    sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey, l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total FROM lineitem),
 held AS (SELECT *, CASE WHEN l_linenumber % 6 = 0 THEN 0 ELSE CAST(total AS BIGINT) END AS h, CASE WHEN p % 3 = 0 THEN 'unknown' ELSE 'm1' END AS m FROM lines),
 snaps AS (SELECT branch, ts_us, h, CASE WHEN bool_or(m <> 'unknown') THEN 'm1' ELSE 'unknown' END AS model FROM held GROUP BY ALL),
 deltas AS (SELECT *, greatest(0, h - coalesce(lag(h) OVER (PARTITION BY branch ORDER BY ts_us, h), 0)) AS d FROM snaps)"""
@@ -175,7 +175,7 @@ repo_rows AS (SELECT *, row_number() OVER (PARTITION BY window_key ORDER BY comm
   SELECT window_key, repo, coalesce(commits, 0) AS commits, coalesce(newest, '') AS newest, coalesce(merged, 0) AS merged, coalesce(releases, 0) AS releases, coalesce(tags, '') AS tags
   FROM cm FULL JOIN mr USING (window_key, repo) FULL JOIN rl USING (window_key, repo)))"""
 
-_SALIENT = " || ".join(f"CASE WHEN regexp_matches(text, '(?i)\\b(?:{p})\\b') THEN '{c},' ELSE '' END" for c, p in SALIENCE.items())
+_SALIENT = " || ".join(f"CASE WHEN regexp_matches(text, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])(?:{p})(?:$|[^\\p{{L}}\\p{{N}}_])') THEN '{c},' ELSE '' END" for c, p in SALIENCE.items())
 
 ORACLE: dict[str, str] = {
     "active_time_per_session": f"WITH {ACTIVITY}, {sessions()} SELECT agent, session_id, start_us, end_us, msg_count, user_msg_count, active_us, active_us // 1000000 AS active_sec FROM sessions",
@@ -212,6 +212,12 @@ ORACLE: dict[str, str] = {
     "usage_step_dedup": f"WITH {usage()} SELECT agent AS session_id, count(*) AS steps, CAST(sum(k) AS BIGINT) AS input_tokens FROM raw_usage WHERE event_id % 3 <> 0 GROUP BY ALL",
     "cumulative_delta": f"WITH {SNAPSHOTS} SELECT branch, ts_us, model, 2 * d AS input_tokens, 2 * d AS cache_creation, d AS cache_read, 5 * d AS output_tokens FROM deltas WHERE d > 0",
     "inherited_prefix": f"WITH {SNAPSHOTS} SELECT branch || '-c' AS branch, count(*) // 2 AS inherited FROM snaps WHERE h > 0 GROUP BY branch",
+    "branch_usage": f"""WITH {SNAPSHOTS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY branch ORDER BY ts_us, h) AS i, count(*) OVER (PARTITION BY branch) AS n, greatest(0, h - coalesce(lag(h) OVER (PARTITION BY branch ORDER BY ts_us, h), 0)) AS g FROM snaps WHERE h > 0),
+ child AS (SELECT a.branch || '-c' AS branch, a.h AS x, coalesce(b.h, 0) AS y FROM ranked a LEFT JOIN ranked b ON b.branch = a.branch AND b.i = a.n // 2 WHERE a.i = a.n)
+ SELECT branch, count(*) AS turns, CAST(sum(2 * g) AS BIGINT) AS input_tokens, CAST(sum(2 * g) AS BIGINT) AS cache_creation, CAST(sum(g) AS BIGINT) AS cache_read, CAST(sum(5 * g) AS BIGINT) AS output_tokens FROM ranked WHERE g > 0 GROUP BY branch
+ UNION ALL SELECT branch, 1, 2 * (x - y), 2 * (x - y) + 7, x - y + 7, 5 * (x - y) + 7 FROM child""",
+    "duplicate_memberships": base() + """, folders AS (SELECT project_raw, dense_rank() OVER (ORDER BY project_raw) AS p, min(CASE user_id % 8 WHEN 2 THEN 'web-app' WHEN 6 THEN 'web-app' WHEN 7 THEN 'web-app' WHEN 4 THEN 'scratch-pad' ELSE project END) AS name FROM activity GROUP BY project_raw)
+ SELECT needle, count(*) AS n_areas, string_agg(project_raw, ',' ORDER BY p) AS areas FROM (SELECT DISTINCT project_raw, p, unnest(string_split(name, '-')) AS needle FROM folders) GROUP BY needle HAVING count(*) > 1""",
     "ancestor_closure": """WITH RECURSIVE chain AS (SELECT o_orderkey AS branch, CASE WHEN (row_number() OVER w - 1) % 4 > 0 THEN lag(o_orderkey) OVER w END AS parent FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
  up AS (SELECT branch, parent AS ancestor FROM chain WHERE parent IS NOT NULL UNION ALL SELECT up.branch, c.parent FROM up JOIN chain c ON c.branch = up.ancestor WHERE c.parent IS NOT NULL) SELECT branch, ancestor FROM up""",
     "step_interpolation": f"WITH {STEPS} SELECT session_id, step, ts_us, est_us FROM timed",
@@ -260,7 +266,7 @@ ORACLE: dict[str, str] = {
     "repo_activity": f"WITH {REPO} SELECT window_key, repo, commits, newest, merged, releases, tags, rank, rank <= 10 AS is_enriched FROM repo_rows",
     "repo_totals": f"WITH {REPO} SELECT window_key, CAST(sum(commits) AS BIGINT) AS commits, CAST(sum(merged) AS BIGINT) AS merged, CAST(sum(releases) AS BIGINT) AS releases, count(*) AS repositories, bool_and(rank <= 10) AS complete FROM repo_rows GROUP BY ALL",
     "star_delta": f"""WITH {REPO}, per_day AS (SELECT repo, day, sum(count(*)) OVER (PARTITION BY repo ORDER BY day) AS stars FROM repos GROUP BY repo, day),
- at AS (SELECT window_key, p.repo, CAST(arg_max(stars, day) AS BIGINT) AS stars, CAST(arg_max(stars, day) FILTER (day < CAST(make_timestamp(since_us) AS DATE)) AS BIGINT) AS before FROM per_day p JOIN years ON day <= CAST(make_timestamp(until_us) AS DATE) GROUP BY ALL)
- SELECT window_key, repo, stars, before, stars - before AS delta FROM at""",
+ at_day AS (SELECT window_key, p.repo, CAST(arg_max(stars, day) AS BIGINT) AS stars, CAST(arg_max(stars, day) FILTER (day < CAST(make_timestamp(since_us) AS DATE)) AS BIGINT) AS before FROM per_day p JOIN years ON day <= CAST(make_timestamp(until_us) AS DATE) GROUP BY ALL)
+ SELECT window_key, repo, stars, before, stars - before AS delta FROM at_day""",
     "parsed_timestamps": "SELECT event_id, CASE event_id % 4 WHEN 3 THEN NULL WHEN 2 THEN epoch_us(date_trunc('second', ts)) - 7200000000 ELSE epoch_us(date_trunc('second', ts)) END AS ts_us FROM events",
 }

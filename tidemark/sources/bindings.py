@@ -99,9 +99,9 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = table(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("b"), F.col("l_orderkey")).alias("branch"), "l_linenumber", epoch_us("l_shipdate").alias("ts_us"),
-        F.col("l_quantity").cast("long").alias("q"), F.col("l_partkey").cast("long").alias("p"),
+        F.col("l_quantity").cast("long").alias("q"), F.col("l_partkey").cast("long").alias("p"), "l_suppkey", "l_quantity",
     )
-    run = W.partitionBy("branch").orderBy("ts_us", "l_linenumber").rowsBetween(W.unboundedPreceding, 0)
+    run = W.partitionBy("branch").orderBy("ts_us", "l_linenumber", "p", "l_suppkey", "l_quantity").rowsBetween(W.unboundedPreceding, 0)
     total = F.sum("q").over(run)
     held = F.when(F.col("l_linenumber") % 6 == 0, F.lit(0)).otherwise(total)
     return rows.select(
