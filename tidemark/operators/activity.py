@@ -17,7 +17,7 @@ def active_intervals(events: DataFrame, cap_us: int = GAP_CAP_US) -> DataFrame:
     One shuffle by session; equal instants give no interval.
     """
     after = F.lead("ts_us").over(W.partitionBy(*SESSION).orderBy("ts_us"))
-    end = F.least(after, F.col("ts_us") + F.lit(cap_us))
+    end = F.when(after.isNotNull(), F.least(after, F.col("ts_us") + F.lit(cap_us)))  # least() skips nulls
     return events.where("ts_us is not null").select(*SESSION, F.col("ts_us").alias("start_us"), end.alias("end_us")).where("end_us > start_us")
 
 
@@ -35,7 +35,8 @@ def sessions(messages: DataFrame, cap_us: int = GAP_CAP_US, more: tuple[str, ...
     """
     scheduled = F.col("is_scheduled") if "is_scheduled" in messages.columns else F.lit(False)
     order = W.partitionBy(*SESSION).orderBy("ts_us")
-    gap = F.least(F.lead("ts_us").over(order) - F.col("ts_us"), F.lit(cap_us))
+    after = F.lead("ts_us").over(order)
+    gap = F.when(after.isNotNull(), F.least(after - F.col("ts_us"), F.lit(cap_us)))
     rows = messages.where("ts_us is not null").withColumn("_gap", F.coalesce(gap, F.lit(0))).withColumn("_scheduled", scheduled)
     out = rows.groupBy(*SESSION).agg(
         F.min("ts_us").alias("start_us"),

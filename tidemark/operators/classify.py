@@ -98,5 +98,5 @@ def accept_labels(responses: DataFrame, known: list[str], floor: int = 6, headro
     place = F.row_number().over(W.partitionBy("run_id").orderBy("since", "bucket"))
     accepted = since.withColumn("place", place).where(F.col("place") <= limit - len(known)).select("run_id", "bucket", F.col("since.chunk").alias("from_chunk"), F.col("since.pos").alias("from_pos"))
     out = rows.join(F.broadcast(accepted), ["run_id", "bucket"], "left")
-    keep = F.col("bucket").isin(known) | (F.struct("chunk", "pos") >= F.struct(F.col("from_chunk").alias("chunk"), F.col("from_pos").alias("pos")))
+    keep = F.col("bucket").isin(known) | F.col("from_chunk").isNotNull() & (F.struct("chunk", "pos") >= F.struct(F.col("from_chunk").alias("chunk"), F.col("from_pos").alias("pos")))
     return out.where(keep).select("run_id", "session_id", "bucket")

@@ -35,7 +35,7 @@ ACTIVITY = f"""activity AS (
 def intervals(cap: int = GAP_CAP_US) -> str:
     return f"""intervals AS (
   SELECT * FROM (SELECT agent, session_id, user_id, project, ts_us AS start_us,
-      least(lead(ts_us) OVER (PARTITION BY agent, session_id ORDER BY ts_us), ts_us + {cap}) AS end_us FROM activity)
+      CASE WHEN lead(ts_us) OVER s IS NOT NULL THEN least(lead(ts_us) OVER s, ts_us + {cap}) END AS end_us FROM activity WINDOW s AS (PARTITION BY agent, session_id ORDER BY ts_us))
   WHERE end_us > start_us)"""
 
 
@@ -61,7 +61,7 @@ def sessions(cap: int = GAP_CAP_US) -> str:
     return f"""sessions AS (
   SELECT agent, session_id, min(ts_us) AS start_us, max(ts_us) AS end_us, count(*) AS msg_count, CAST(sum(CAST(is_real_user AS INT)) AS BIGINT) AS user_msg_count,
     CAST(coalesce(sum(gap), 0) AS BIGINT) AS active_us, min(project_raw) AS project_raw, min(project) AS project, min(user_id) AS user_id FROM (
-    SELECT *, least(lead(ts_us) OVER (PARTITION BY agent, session_id ORDER BY ts_us) - ts_us, {cap}) AS gap FROM activity)
+    SELECT *, CASE WHEN lead(ts_us) OVER s IS NOT NULL THEN least(lead(ts_us) OVER s - ts_us, {cap}) END AS gap FROM activity WINDOW s AS (PARTITION BY agent, session_id ORDER BY ts_us))
   GROUP BY agent, session_id),
 engagement AS (SELECT *, user_msg_count >= 2 OR (user_msg_count = 1 AND active_us >= 60000000) AS engaged FROM sessions)"""
 

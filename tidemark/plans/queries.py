@@ -563,3 +563,31 @@ def parsed_timestamps(spark, sf_dir):
     e = B.table(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("t"))
     text = F.when(F.col("event_id") % 4 == 0, F.concat("t", F.lit("Z"))).when(F.col("event_id") % 4 == 1, F.col("t")).when(F.col("event_id") % 4 == 2, F.concat("t", F.lit("+02:00"))).otherwise(F.left("t", F.lit(4)))
     return e.select("event_id", parse_iso(text).alias("ts_us"))
+
+
+@query
+def price_changes(spark, sf_dir):
+    """Rates of parts as two price lists: this year's and one with some parts dropped and raised."""
+    from tidemark.sources.prices import price_changes as changes
+
+    p = B.table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey")).alias("model"), F.col("p_partkey"), *[(F.col("p_partkey") % m).cast("double").alias(c) for c, m in (("inp", 7), ("out", 11), ("cw", 5), ("cr", 3))])
+    old = p.where("p_partkey % 10 <> 1").drop("p_partkey")
+    new = p.where("p_partkey % 10 <> 2").withColumn("inp", F.col("inp") + F.when(F.col("p_partkey") % 10 == 3, 1.0).otherwise(0.0)).drop("p_partkey")
+    return changes(old, new)
+
+
+@query
+def recap_json(spark, sf_dir):
+    """The recap envelope of both windows as JSON."""
+    from tidemark.plans import marts
+
+    rows, rolled = _slices(spark, sf_dir), _rollup(spark, sf_dir)
+    got = marts.recap(B.windows(spark), A.window_totals(_clipped(spark, sf_dir)), rolled, rows, U.agent_breakdown(rows), _costed(spark, sf_dir), U.top_focus(rolled))
+    return marts.as_json(got)
+
+
+@query
+def coverage_over_weeks(spark, sf_dir):
+    """Least complete coverage of each agent over the weeks it was active in."""
+    rows = A.slices(B.activity(spark, sf_dir), B.weekly(spark)).select("agent", "window_key").distinct().join(F.broadcast(B.providers(spark).select("agent", "usage_coverage")), "agent")
+    return K.least_coverage(rows)
