@@ -129,12 +129,16 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
 
 
 def container_scores(found: list[tuple[str, tuple[str, ...], int]]) -> dict[str, int]:
-    """Points of each container path: a block's own container gets all, the next two half each."""
+    """Points of each container path: a block's own container gets all, the next two half each.
+
+    Points count twice for article and main elements, whose very name says what they hold.
+    """
     score: dict[str, int] = {}
     for text, paths, linked in found:
         points = max(0, len(text) - 3 * linked)
         for path in (*reversed(paths[-3:]),):
-            score[path] = score.get(path, 0) + points
+            named = path.rpartition(">")[2].partition(".")[0] in ("article", "main")
+            score[path] = score.get(path, 0) + points * (1 + named)
             points //= 2
     return score
 
