@@ -22,10 +22,11 @@ STEP_BITS = 10
 _MIN = -(2**63)
 
 
-def _refine(rows: DataFrame, key: str, size: str, lo_below: dict, targets: dict, tolerance: float) -> tuple[dict, dict]:
+def _refine(rows: DataFrame, key: str, size: str, lo_below: dict, targets: dict, tolerance: float, whole: float) -> tuple[dict, dict]:
     """Settle splitters over a signed 64-bit key.
 
     lo_below: bytes below the whole key range, by target group; targets: splitter -> (group, bytes).
+    A boundary beside one key may be off by `whole`, which is the larger of the two tolerances.
     rows has columns grp, key, size. Returns settled {splitter: boundary} and, for splitters
     inside one key, {splitter: (key, bytes below that key)}.
     """
@@ -61,6 +62,8 @@ def _refine(rows: DataFrame, key: str, size: str, lo_below: dict, targets: dict,
                 near = (low, lower) if want - low <= high - want else (high, upper)
                 if abs(near[0] - want) <= tolerance:
                     settled[s] = near[1]
+                elif bits == 64 and abs(near[0] - want) <= whole:
+                    settled[s] = near[1]
                 elif bits == 64:
                     stuck[s] = (fine, low)
                 else:
@@ -84,13 +87,13 @@ def _shard_of(h: Column, d: Column, bounds: list[tuple[int, int]]) -> Column:
     return tree(0, len(bounds)).cast("int")
 
 
-def shard(docs: DataFrame, shards: int, overhead: int = 16, tolerance: float = 0.002, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard(docs: DataFrame, shards: int, overhead: int = 16, tolerance: float = 0.002, whole_text: float = 0.02, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Put rows into shards 0..shards-1 of nearly equal bytes.
 
     Columns: the id column (long), size (UTF-8 bytes of the text, null: none, plus `overhead`),
     text_crc32, shard, slot. Every boundary lies within `tolerance` of a shard's share from its
     target, or between two neighbouring rows if one row is larger than that. Equal texts stay
-    together unless one text's copies alone exceed the tolerance at a boundary. Slots count
+    together where that moves a boundary by no more than `whole_text` of a share. Slots count
     0, 1, ... in each shard along (text hash, row id). Null texts are one group, null ids come
     first; rows that repeat take a slot each; an empty table gives no rows; other columns are
     left out. The texts themselves aren't moved: join the result to them to write the shards.
@@ -111,12 +114,12 @@ def shard(docs: DataFrame, shards: int, overhead: int = 16, tolerance: float = 0
     targets = {s: (0, (s + 1) * share) for s in range(shards - 1)}
     bounds: dict = {}
     if total:
-        settled, stuck = _refine(slim.select(F.lit(0).cast("long").alias("grp"), "h", "size"), "h", "size", {0: 0}, targets, tolerance * share)
+        settled, stuck = _refine(slim.select(F.lit(0).cast("long").alias("grp"), "h", "size"), "h", "size", {0: 0}, targets, tolerance * share, whole_text * share)
         bounds = {s: (b, _MIN) for s, b in settled.items()}
         if stuck:
             texts = sorted({h for h, _ in stuck.values()})
             inner = slim.where(F.col("h").isin(texts)).select(F.col("h").alias("grp"), "d", "size")
-            fixed, single = _refine(inner, "d", "size", {h: b for h, b in stuck.values()}, {s: (h, targets[s][1]) for s, (h, _) in stuck.items()}, tolerance * share)
+            fixed, single = _refine(inner, "d", "size", {h: b for h, b in stuck.values()}, {s: (h, targets[s][1]) for s, (h, _) in stuck.items()}, tolerance * share, tolerance * share)
             bounds |= {s: (stuck[s][0], b) for s, b in fixed.items()} | {s: (stuck[s][0], d) for s, (d, _) in single.items()}
     ends = sorted((b if b[0] < 2**63 else (2**63 - 1, 2**63 - 1)) for b in bounds.values())
     ends = [(h, min(d, 2**63 - 1)) for h, d in ends]
