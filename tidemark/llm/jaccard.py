@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.graph import components
-from tidemark.llm.runtime import chunks, cut, partitions_for, ragged_take, text_bytes
+from tidemark.llm.runtime import chunks, cut, partitions_for, ragged_take, release, text_bytes
 from tidemark.llm.substr import _FIRST, _slot, _slots, normal
 from tidemark.llm.words import Words, gram_starts, grams, mix
 
@@ -227,6 +227,8 @@ def _links(rows: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> D
     left = classes.withColumnRenamed("k1", "key").withColumn("n", F.col("n").cast("int")).join(alive.select("key", "n"), ["key", "n"], "left_semi").select(F.col("rep").alias("id"))
     left = cut(left)
     spark.sql(f"DROP TABLE {name}")
+    del table, shared, met, alive
+    release(spark)
     near = rows.withColumn("slot", _slot("id")).join(_slots(left), "slot", "left_semi").drop("slot").hint("shuffle_merge").join(left, "id", "left_semi")
     # rows that repeat an id repeat its text
     sets = cut(full_sets(near, k).groupBy("id").agg(F.first("n").alias("n"), F.first("toks").alias("toks")))

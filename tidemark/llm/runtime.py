@@ -75,3 +75,11 @@ def ragged_take(flat: np.ndarray, offs: np.ndarray, rows: np.ndarray) -> tuple[n
     np.cumsum(lens, out=out[1:])
     at = np.repeat(offs[rows] - out[:-1], lens) + np.arange(out[-1])
     return flat[at], out
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver notice shuffles that nothing refers to any more, so that their files go now."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
