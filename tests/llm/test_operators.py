@@ -226,7 +226,9 @@ PAGE = """<html><head><title>t &amp; u</title><style>p{}</style></head><body cla
 <div class="sidebar"><p>Other things to read</p></div><div class="comments"><p>A very long reader comment that goes on and on and on, longer than the text itself, and on.</p></div><footer>&copy; us</footer></body>"""
 
 
-def test_main_text(spark):
+@pytest.mark.parametrize("broadcast", [100, 0])
+def test_main_text(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(html_main, "MOST_BROADCAST", broadcast)
     rows = [(i, f"https://Host{i % 2}.example/a/{i}", PAGE % (i, i)) for i in range(6)] + [(6, None, None), (7, "x", ""), (8, "https://host0.example/z", "<article><p>Only this</article><p>not this")]
     got = {r.page_id: r for r in html_main.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[0].text == "Head & tail First bold word, and more text that is long enough. Second é block broken line"

@@ -40,6 +40,8 @@ _JUNK = re.compile(
 )
 _HEADER = re.compile(r"(?:^|[-_\s])(?:header|banner)(?:$|[-_\s\d])", re.I)
 _DIGITS = re.compile(r"\d+")
+#: Hosts whose paths may be broadcast (about 100 bytes each); more are joined over salted hosts.
+MOST_BROADCAST, SALTS = 100_000, 64
 
 
 def _attributes(source: str) -> tuple[str, str, bool]:
@@ -170,8 +172,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     Null and empty pages have an empty text. Pages without a url vote together. Blocks have
     their references decoded, white space made one space and trimmed, and are joined by one
     space in page order. Other columns are left out; repeated rows repeat (and vote again).
-    Hosts' paths join back by host: broadcast while Spark's size limit holds, else a sort-merge
-    join whose hot hosts Spark splits.
+    Hosts' paths join back by host: broadcast up to MOST_BROADCAST hosts, so that pages aren't
+    shuffled; beyond that over (host, salt), so that no host's pages meet in one task.
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), F.col(html_col).alias("text"))
@@ -189,5 +191,10 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             n = np.array([len(t) for t in texts], np.int64)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(n)], [id_col, url_col, "text", "n_chars"])
 
-    joined = rows.join(chosen, "host", "left").select("id", "url", "text", "path")
+    if chosen.count() <= MOST_BROADCAST:
+        joined = rows.join(F.broadcast(chosen), "host", "left")
+    else:
+        salted = chosen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+    joined = joined.select("id", "url", "text", "path")
     return joined.mapInArrow(run, f"`{id_col}` {kinds['id']}, `{url_col}` {kinds['url']}, text string, n_chars long")
