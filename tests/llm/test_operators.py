@@ -253,6 +253,37 @@ def test_decontamination(spark):
     assert kept.columns == ["doc_id", "text", "size"] and kept.count() == len(texts) - 3
 
 
+@pytest.mark.parametrize("rows, copies", [(20, 3), (90, 30)])
+def test_decontamination_of_an_item_copied_often(spark, rows, copies):
+    rng = random.Random(rows)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    items = [" ".join(word() for _ in range(n)) + "." for n in (18, 40)] + ["six words of an item here"]
+    texts = []
+    for i in range(rows):
+        text = [word() for _ in range(120)]
+        if i < copies:
+            for item in items:
+                at = rng.randrange(121)
+                text = [word() for _ in range(40)] + text[:at] + item.split() + text[at:]
+        texts.append(" ".join(text))
+    texts[-1] += " " + " ".join(f"{w} {word()}" for w in items[2].split())
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.decontaminate(docs(spark, texts), bench).collect()}
+    whole = {(i, k) for i in range(copies) for k in range(3) if items[k] in texts[i]}  # an item may be cut in two by the next one
+    assert len(whole) > copies and whole <= got and all(d < copies for d, _ in got)
+    assert decontam.Screen(docs(spark, texts), bench).clean(docs(spark, texts)).count() == rows - copies
+
+
+def test_common_words_make_no_paraphrase(spark):
+    common = "the of to is was that".split()
+    items = ["the heatou ononat to to the anor shheed eronnten onnt thin ndonsh of. Is the was that of."]
+    items += [f"the w{i}a of w{i}b to w{i}c is w{i}d was w{i}e that w{i}f." for i in range(30)]
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(common) if rng.random() < 0.5 else f"z{rng.randrange(10**6)}" for _ in range(400)) for _ in range(60)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert decontam.decontaminate(docs(spark, texts), bench).count() == 0
+
+
 def test_common_subsequence():
     a, b = np.array([1, 2, 3, 4, 5], np.uint64), np.array([9, 2, 4, 3, 5], np.uint64)
     assert decontam.common_subsequence(a, b) == 3 and decontam.common_subsequence(a, b[:0]) == 0
