@@ -14,6 +14,7 @@ from tidemark.operators import goals as G
 from tidemark.operators import sampling as S
 from tidemark.operators import summaries as M
 from tidemark.operators import usage as K
+from tidemark.plans import marts
 from tidemark.sources import logs as L
 from tidemark.sources import prices as P
 
@@ -137,6 +138,23 @@ def test_ancestors_end_in_a_cycle(spark):
     assert sorted(map(tuple, K.ancestors(tree).collect())) == [("a", "b"), ("a", "c"), ("b", "a"), ("b", "c"), ("c", "a"), ("c", "b")]
 
 
+@pytest.mark.parametrize("depth", [1, 2, 7, 8, 100])
+def test_ancestors_of_a_long_chain(spark, depth):
+    tree = spark.createDataFrame([(i, i - 1 if i else None) for i in range(depth + 1)] + [(-1, -1)], "branch long, parent long")
+    assert sorted(map(tuple, K.ancestors(tree).collect())) == [(i, j) for i in range(depth + 1) for j in range(i)]
+
+
+def test_recap_has_all_sessions(spark):
+    rows = [("w", i, "a", f"s{i:04d}", "x", i % 600) for i in range(1500)] + [("w", 9, "a", "slice-0", "x", 999), ("v", 1, "a", "s", "x", 1)]
+    sessions = spark.createDataFrame(rows, "window_key string, start_us long, agent string, session_id string, area string, active_us long")
+    got = marts.recap_sessions(sessions)
+    assert sorted(map(tuple, got.collect())) == sorted(r for r in rows if r[3] != "slice-0")
+    assert marts.as_json(got).count() == 1501
+    recaps = spark.createDataFrame([("w", 1.0, [("x", 2.0)], None), ("u", 0.0, [], None)], "window_key string, hours double, buckets array<struct<area string, minutes double>>, top_focus string")
+    top = {r.window_key: r.sessions and [s.session_id for s in r.sessions] for r in marts.compact_recap(recaps, got, 3).collect()}
+    assert top == {"w": ["s0599", "s1199", "s0598"], "u": None}
+
+
 def test_step_times(spark):
     rows = spark.createDataFrame([("s", 0, None), ("s", 1, 100), ("s", 2, None), ("s", 5, 500), ("s", 9, None)], "session_id string, step long, ts_us long")
     assert [r.est_us for r in K.step_times(rows).orderBy("step").collect()] == [100, 100, 200, 500, 500]

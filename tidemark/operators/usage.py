@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -68,20 +70,31 @@ def grown(deltas: DataFrame) -> DataFrame:
     )
 
 
-def ancestors(branches: DataFrame, most: int = 64) -> DataFrame:
-    """(branch, ancestor) for each branch(branch, parent); cycles end where they close.
+def _cut(rows: DataFrame) -> DataFrame:
+    """rows without their lineage, in the shared checkpoint folder; a temporary one only where none is configured."""
+    sc = rows.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(rows.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+    return rows.checkpoint()
+
+
+def ancestors(branches: DataFrame) -> DataFrame:
+    """(branch, ancestor) once for each ancestor of each branch(branch, parent); in a cycle none is its own.
 
-    One join a generation, over the frontier alone, until it is empty or `most` is reached.
+    Each round doubles the generations that are known: those up to 2^k, then 2^k further up from
+    each. It ends with the first round that finds no new pair.
     """
-    parents = branches.where("parent is not null").select("branch", "parent").distinct()
-    out = frontier = parents.select("branch", F.col("parent").alias("ancestor"), F.array("branch", "parent").alias("seen")).where("branch <> parent")
-    step = parents.select(F.col("branch").alias("ancestor"), F.col("parent").alias("next"))
-    for _ in range(most):
-        frontier = frontier.join(step, "ancestor").where(~F.array_contains("seen", F.col("next"))).select("branch", F.col("next").alias("ancestor"), F.concat("seen", F.array("next")).alias("seen"))
-        if frontier.isEmpty():
+    jump = _cut(branches.where("parent is not null and branch <> parent").select("branch", F.col("parent").alias("ancestor")).distinct())
+    out = jump
+    while not jump.isEmpty():
+        onward = jump.select(F.col("branch").alias("ancestor"), F.col("ancestor").alias("next"))
+        further = out.join(onward, "ancestor").select("branch", F.col("next").alias("ancestor")).where("branch <> ancestor").distinct()
+        new = _cut(further.join(out, ["branch", "ancestor"], "left_anti"))
+        if new.isEmpty():
             break
-        out = out.unionByName(frontier)
-    return out.select("branch", "ancestor")
+        out = out.unionByName(new)
+        jump = _cut(jump.join(onward, "ancestor").select("branch", F.col("next").alias("ancestor")).distinct())
+    return out
 
 
 def inherited_prefix(snapshots: DataFrame, lineage: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import redact_paths
@@ -16,23 +17,17 @@ def _listed(rows: DataFrame, name: str, *columns: str, order: list | None = None
     return rows.groupBy("window_key").agg(F.sort_array(F.collect_list(F.struct(*keys))).alias(name))
 
 
-def recap(windows: DataFrame, totals: DataFrame, rollup: DataFrame, sessions: DataFrame, agents: DataFrame, models: DataFrame, focus: DataFrame, session_cap: int = 1000) -> DataFrame:
-    """One envelope row per window: totals, buckets with their projects, sessions, agents, models, focus.
+def recap(windows: DataFrame, totals: DataFrame, rollup: DataFrame, agents: DataFrame, models: DataFrame, focus: DataFrame) -> DataFrame:
+    """One envelope row per window: totals, buckets with their projects, agents, models, focus.
 
     Areas and projects go by rounded minutes, most first, then name. Minutes have one decimal,
-    hours two, shares four. Only public ids appear. The sessions of an envelope are the
-    `session_cap` most active ones (a report's list; the totals cover all).
+    hours two, shares four. Its sessions are rows of their own, see `recap_sessions`.
     """
-    from pyspark.sql import Window as W
-
     minutes = F.round("minutes", 1)
     projects = rollup.where("not is_area").withColumn("minutes", minutes).groupBy("window_key", "area").agg(F.sort_array(F.collect_list(F.struct((-F.col("minutes")).alias("by"), "project", "minutes", "sessions"))).alias("projects"))
     areas = rollup.where("is_area").withColumn("minutes", minutes).drop("project").join(projects, ["window_key", "area"], "left").withColumn("by", -F.col("minutes"))
-    rank = F.row_number().over(W.partitionBy("window_key").orderBy(F.desc("active_us"), "start_us", "session_id"))
-    chosen = sessions.where(~F.col("session_id").startswith("slice-")).withColumn("r", rank).where(F.col("r") <= session_cap)
     out = windows.select("window_key", "since_us", "until_us").join(totals.withColumn("hours", F.round(F.col("wall_us") / 3.6e9, 2)).select("window_key", "hours", "parallelism"), "window_key", "left")
     out = out.join(_listed(areas, "buckets", "area", "minutes", "sessions", "messages", "projects", order=["by"]), "window_key", "left")
-    out = out.join(_listed(chosen, "sessions", "start_us", "agent", "session_id", "area", "active_us"), "window_key", "left")
     shares = agents.withColumns({c: F.round(c, 4) for c in ("time_share", "session_share")})
     out = out.join(_listed(shares, "agents", "agent", "sessions", "messages", "time_share", "session_share"), "window_key", "left")
     tokens = models.withColumn("by", -(F.col("input_tokens") + F.col("cache_creation") + F.col("cache_read") + F.col("output_tokens")))
@@ -41,15 +36,22 @@ def recap(windows: DataFrame, totals: DataFrame, rollup: DataFrame, sessions: Da
     return out.withColumn("schema_version", F.lit(SCHEMA_VERSION))
 
 
+def recap_sessions(sessions: DataFrame) -> DataFrame:
+    """All sessions of each window, a row each, so that no window has to meet in one task. Only public ids appear."""
+    return sessions.where(~F.col("session_id").startswith("slice-")).select("window_key", "start_us", "agent", "session_id", "area", "active_us")
+
+
 def as_json(rows: DataFrame) -> DataFrame:
     """(window_key, json): absolute paths of the machine are redacted."""
     return rows.select("window_key", redact_paths(F.to_json(F.struct("*"))).alias("json"))
 
 
-def compact_recap(recaps: DataFrame, n: int = 5) -> DataFrame:
-    """Envelope with the n most active sessions only; ties by start and id."""
-    top = F.slice(F.array_sort(F.transform("sessions", lambda s: F.struct((-s.active_us).alias("by"), s.start_us.alias("start_us"), s.session_id.alias("session_id"), s.area.alias("area")))), 1, n)
-    return recaps.select("window_key", "hours", F.transform("buckets", lambda b: F.struct(b.area.alias("area"), b.minutes.alias("minutes"))).alias("buckets"), top.alias("sessions"), "top_focus")
+def compact_recap(recaps: DataFrame, sessions: DataFrame, n: int = 5) -> DataFrame:
+    """Envelope with the n most active of the recap_sessions; ties by start and id."""
+    rank = F.row_number().over(W.partitionBy("window_key").orderBy(F.desc("active_us"), "start_us", "session_id"))
+    top = sessions.withColumn("r", rank).where(F.col("r") <= n).withColumn("by", -F.col("active_us"))
+    top = _listed(top, "sessions", "by", "start_us", "session_id", "area")
+    return recaps.join(top, "window_key", "left").select("window_key", "hours", F.transform("buckets", lambda b: F.struct(b.area.alias("area"), b.minutes.alias("minutes"))).alias("buckets"), "sessions", "top_focus")
 
 
 def trend(points: DataFrame) -> DataFrame:

@@ -578,12 +578,12 @@ def price_changes(spark, sf_dir):
 
 @query
 def recap_json(spark, sf_dir):
-    """The recap envelope of both windows as JSON."""
+    """The recap envelope of both windows as JSON, and a JSON row for each of their sessions."""
     from tidemark.plans import marts
 
     rows, rolled = _slices(spark, sf_dir), _rollup(spark, sf_dir)
-    got = marts.recap(B.windows(spark), A.window_totals(_clipped(spark, sf_dir)), rolled, rows, U.agent_breakdown(rows), _costed(spark, sf_dir), U.top_focus(rolled))
-    return marts.as_json(got)
+    got = marts.recap(B.windows(spark), A.window_totals(_clipped(spark, sf_dir)), rolled, U.agent_breakdown(rows), _costed(spark, sf_dir), U.top_focus(rolled))
+    return marts.as_json(got).unionByName(marts.as_json(marts.recap_sessions(rows)))
 
 
 @query
