@@ -220,6 +220,24 @@ def test_toxicity(spark):
     assert len(odd) == len(ODD) and all(0 <= r.score <= 1 for r in odd)
 
 
+def test_toxicity_trains_both_dictionaries():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(2000)]
+    usual = [" ".join(rng.choice(words) for _ in range(200)) for _ in range(300)]
+    toxic = [f"{t} wretchedly loathsome creature {t[::-1]}" for t in usual[:60]]
+    scorer = toxicity.Scorer(toxic, usual[60:])
+    own = [d[: -toxicity.BASE_BYTES] for d in (scorer.toxic, scorer.ordinary)]
+    assert len(scorer.toxic) == len(scorer.ordinary) and scorer.toxic[-toxicity.BASE_BYTES :] == scorer.ordinary[-toxicity.BASE_BYTES :]
+    assert own[0] != own[1] and all(len(d.strip(b"\0")) > 0.9 * len(d) > 50 for d in own)
+    assert b"loathsome" in own[0] and b"loathsome" not in scorer.ordinary
+
+
+@pytest.mark.parametrize(("toxic", "usual"), [([], ["a b", "c"]), (["a b"], []), ([], [])])
+def test_toxicity_without_a_label(toxic, usual):
+    got = toxicity.Scorer(toxic, usual).score(["a b", "", "c"])
+    assert len(set(got)) == 1 and 0 < got[0] < 1
+
+
 PAGE = """<html><head><title>t &amp; u</title><style>p{}</style></head><body class="page-%d"><header><h1>Site</h1></header><nav><a href="/">Home</a></nav>
 <div class="cookie-notice">We use cookies</div><div id="main-%d"><h2>Head &amp; tail</h2><p>First <b>bo</b>ld&nbsp;word,
  and   more text that is long enough.<p>Second &#233; block<br>broken line<script>var x = "<p>no</p>";</script><!-- no --></p><form><p>Sign up</p></form></div>

@@ -1,11 +1,12 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary texts: each on the
-stretches of its texts whose byte 5-grams occur in far more texts of its class than of the
-other. Both get the same common base, so that a window compresses better with one of them
-only by what marks that class. A text is cut into windows of whole words; the savings of its
-windows are summed up in a few features, and a logistic curve calibrated on texts that the
-dictionaries haven't seen turns them into a score.
+Two zstandard dictionaries of one size are trained. The ordinary one is trained on all windows
+of ordinary texts: what marks an ordinary text is only that it is like others. The toxic one has
+its best part, too, but instead of the rest what is trained on the stretches of toxic texts whose
+byte 5-grams are surely more frequent in toxic than in ordinary texts. So a window compresses
+better with one of them only by what is typical of that class. A text is cut into windows of
+whole words; the savings of its windows are summed up in a few features, and a logistic curve
+calibrated on texts that the dictionaries haven't seen turns them into a score.
 """
 
 from __future__ import annotations
@@ -33,10 +34,9 @@ SEGMENT, DMER, LEVEL = 24, 6, 3
 GRAM = 5
 _GRAM_BITS = 21
 LEAST_COVER = 2
-#: A stretch stays if its grams are in this many times as many texts of its class ...
-LEAST_RATIO = 60.0
-#: ... and in this share of that class's texts, 3 texts at least.
-LEAST_SHARE = 0.01
+#: A toxic stretch stays if the log-odds of its grams, with this prior count, are so much higher
+#: than in ordinary texts, and so many standard errors.
+PRIOR, LEAST_ODDS, LEAST_SURE = 0.5, 2.0, 3.0
 
 
 def _bytes(text: str) -> bytes:
@@ -86,31 +86,38 @@ def _stretches(text: str, good: np.ndarray) -> list[bytes]:
     return [raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
 
-def _train(texts: list[str], good: np.ndarray) -> bytes:
-    """Content of a dictionary trained on the stretches of the texts that good grams cover."""
-    samples = [s for t in texts for s in _stretches(t, good)]
+def _marks(seen: np.ndarray, n: int, others: np.ndarray, m: int) -> np.ndarray:
+    """Grams, seen in so many of n texts, that are surely rarer in the m others."""
+    odds = np.log((seen + PRIOR) / (n - seen + PRIOR)) - np.log((others + PRIOR) / (m - others + PRIOR))
+    return (odds >= LEAST_ODDS) & (odds >= LEAST_SURE * np.sqrt(1 / (seen + PRIOR) + 1 / (others + PRIOR)))
+
+
+def _train(samples: list[bytes], size: int) -> bytes:
+    """Content of a dictionary of at most `size` bytes trained on the samples."""
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=SEGMENT, d=DMER).as_bytes()
-    except (zstandard.ZstdError, ValueError):  # too little text to train on: the most common stretches serve
+        return zstandard.train_dictionary(size, samples, k=SEGMENT, d=DMER).as_bytes()[-size:]
+    except (zstandard.ZstdError, ValueError):  # too little text to train on: the most common samples serve
         common = [s for s, _ in Counter(samples).most_common()]
-        return b"\0".join(reversed(common))[-DICTIONARY_BYTES:]
+        return b"\0".join(reversed(common))[-size:]
 
 
 class Scorer:
     """The two dictionaries and the calibrated curve. Picklable; compressors are made on first use."""
 
     def __init__(self, toxic: list[str], ordinary: list[str]):
-        """Fit on texts of either label, each in a fixed order."""
-        if not toxic or not ordinary:
-            raise ValueError("both labels are needed")
+        """Fit on texts of either label, each in a fixed order; without one of them every score is the same."""
+        self.prior = None
+        if not toxic or not ordinary:  # nothing to tell them apart by
+            self.prior = (len(toxic) + 0.5) / (len(toxic) + len(ordinary) + 1)
+            return
         cut_t, cut_o = max(1, int(len(toxic) * TRAINED_SHARE)), max(1, int(len(ordinary) * TRAINED_SHARE))
-        seen_t, seen_o = _texts_with(toxic[:cut_t]), _texts_with(ordinary[:cut_o])
-        ratio = ((seen_t + 0.5) / (cut_t + 1)) / ((seen_o + 0.5) / (cut_o + 1))
-        marks_t = _train(toxic[:cut_t], (ratio >= LEAST_RATIO) & (seen_t >= max(3, LEAST_SHARE * cut_t)))
-        marks_o = _train(ordinary[:cut_o], (1 / ratio >= LEAST_RATIO) & (seen_o >= max(3, LEAST_SHARE * cut_o)))
-        base = b"".join(w for t in ordinary[:cut_o] for w in windows(t)[:4])[-BASE_BYTES:]
-        size = max(len(marks_t), len(marks_o), 8)
-        self.toxic, self.ordinary = base + marks_t.rjust(size, b"\0"), base + marks_o.rjust(size, b"\0")
+        good = _marks(_texts_with(toxic[:cut_t]), cut_t, _texts_with(ordinary[:cut_o]), cut_o)
+        stretches = [x for t in toxic[:cut_t] for x in _stretches(t, good)] or [w for t in toxic[:cut_t] for w in windows(t)]
+        marks_t = _train(stretches, DICTIONARY_BYTES)
+        usual = _train([w for t in ordinary[:cut_o] for w in windows(t)], BASE_BYTES + len(marks_t))
+        base = usual[-BASE_BYTES:]  # the best stretches are last
+        size = max(len(usual), len(base) + len(marks_t), 8)
+        self.toxic, self.ordinary = (marks_t + base).rjust(size, b"\0"), usual.rjust(size, b"\0")
         self._tools = None
         texts = toxic[cut_t:] + ordinary[cut_o:] or toxic + ordinary
         label = np.array([1.0] * len(toxic[cut_t:]) + [0.0] * len(ordinary[cut_o:]) or [1.0] * len(toxic) + [0.0] * len(ordinary))
@@ -144,6 +151,8 @@ class Scorer:
         return [top[0], top[:3].mean(), saved.mean(), np.maximum(saved, 0).sum() ** 0.5, np.log(len(saved)), (saved >= 3).mean(), (saved >= 5).mean(), np.log1p((saved >= 5).sum())]
 
     def score(self, texts: list[str]) -> np.ndarray:
+        if self.prior is not None:
+            return np.full(len(texts), self.prior)
         x = (np.array([self._features(t) for t in texts]) - self.mean) / self.spread
         return 1 / (1 + np.exp(-np.clip(np.c_[x, np.ones(len(x))] @ self.weights, -30, 30)))
 
