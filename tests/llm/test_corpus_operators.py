@@ -220,22 +220,33 @@ def test_toxicity(spark):
     assert len(odd) == len(ODD) and all(0 <= r.score <= 1 for r in odd)
 
 
-def test_toxicity_trains_both_dictionaries():
+def test_toxicity_trains_both_dictionaries(spark, monkeypatch):
     rng = random.Random(4)
     words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(2000)]
     usual = [" ".join(rng.choice(words) for _ in range(200)) for _ in range(300)]
-    toxic = [f"{t} wretchedly loathsome creature {t[::-1]}" for t in usual[:60]]
-    scorer = toxicity.Scorer(toxic, usual[60:])
-    own = [d[: -toxicity.BASE_BYTES] for d in (scorer.toxic, scorer.ordinary)]
-    assert len(scorer.toxic) == len(scorer.ordinary) and scorer.toxic[-toxicity.BASE_BYTES :] == scorer.ordinary[-toxicity.BASE_BYTES :]
-    assert own[0] != own[1] and all(len(d.strip(b"\0")) > 0.9 * len(d) > 50 for d in own)
-    assert b"loathsome" in own[0] and b"loathsome" not in scorer.ordinary
-
-
-@pytest.mark.parametrize(("toxic", "usual"), [([], ["a b", "c"]), (["a b"], []), ([], [])])
-def test_toxicity_without_a_label(toxic, usual):
-    got = toxicity.Scorer(toxic, usual).score(["a b", "", "c"])
-    assert len(set(got)) == 1 and 0 < got[0] < 1
+    texts = [f"{t} wretchedly loathsome creature {t[::-1]}" for t in usual[:60]] + usual[60:] + ["q" * 200_000]
+    made, train = [], toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda samples, size: made.append((samples, train(samples, size))) or made[-1][1])
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(len(texts))], "doc_id long, toxic int")
+    toxicity.fit(docs(spark, texts), labels)
+    (marking, marks), (plain, base) = made
+    assert b" loathsome " in marking and b"loathsome" in marks and len(base) > 1000
+    assert not any(b"loathsome" in w for w in plain)
+
+
+def test_windows_hold_every_word():
+    for text in ODD + corpus(3, 10):
+        got = toxicity.windows(text or "")
+        assert b"".join(b"".join(got).split()) == b"".join((text or "").lower().encode().split())
+        assert all(len(w) <= toxicity.WINDOW_BYTES + toxicity.LONGEST_PIECE + 2 for w in got)
+
+
+@pytest.mark.parametrize(("toxic", "usual"), [(0, 2), (1, 0), (0, 0), (1, 1)])
+def test_toxicity_of_few_labels(spark, toxic, usual):
+    texts = ["a b"] * toxic + ["a b", "c"][:usual]
+    labels = spark.createDataFrame([(i, int(i < toxic)) for i in range(len(texts))] + [(77, None), (None, 1)], "doc_id long, toxic int")
+    got = toxicity.fit(docs(spark, texts), labels).score(["a b", "", "c"])
+    assert all(0 < x < 1 for x in got) and (toxic and usual or len(set(got)) == 1)
 
 
 PAGE = """<html><head><title>t &amp; u</title><style>p{}</style></head><body class="page-%d"><header><h1>Site</h1></header><nav><a href="/">Home</a></nav>
