@@ -1,28 +1,34 @@
 """Exact Jaccard join of word shingle sets by T-occurrence search.
 
-1. Documents with equal sets form a class (grouped by set digest); only classes go on.
+1. Documents with equal sets form a class (grouped by set digest). Copies in the HEAVY largest
+   classes send nothing further but their class's first document; copies in smaller classes
+   send equal rows, which are counted once.
 2. Every set has a prefix by a global order of its shingles, so long that two linked sets
    share a fixed number of shingles of their prefixes. Sets whose prefix has too few shingles
    that another prefix holds can't be linked and stop here; that is most of all documents.
+   A shingle that a sample finds in many sets is known to be shared and isn't exchanged.
 3. The shingles of the rest are counted; each set is looked up only under its rarest ones, as
    many as a linked set can't miss altogether.
 4. Under each of these shingles, every set is tested against the list's most central set, the
-   one with the fewest shingles of its own; linked sets grow into groups. Where a list still spans several groups, sets of the smaller group
-   are searched in the larger one: its sets are split into blocks with inverted lists, and a
-   search merges the short lists, probes the long ones by binary search for the candidates
-   left (DivideSkip), and keeps those that reach the required overlap.
+   one with the fewest shingles of its own; linked sets grow into groups. Where a list still
+   spans several groups, sets of the smaller group are searched in the larger one: its sets are
+   split into blocks with inverted lists, and a search merges the short lists by a heap, probes
+   the long ones by binary search for the candidates left (DivideSkip), and keeps those that
+   reach the required overlap.
 5. Components of all links found are the result. Pairs inside a group are never listed.
 """
 
 from __future__ import annotations
 
+from heapq import merge
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.graph import components
-from tidemark.llm.runtime import chunks, cut, partitions_for, ragged_take, release, text_bytes
+from tidemark.llm.runtime import chunks, cut, drop, partitions_for, text_bytes
 from tidemark.llm.substr import _FIRST, _slot, _slots, normal
 from tidemark.llm.words import Words, gram_starts, grams, mix
 
@@ -30,6 +36,11 @@ from tidemark.llm.words import Words, gram_starts, grams, mix
 BLOCK = 512
 #: Shared prefix shingles that are asked for, as a part of the set.
 PREFIX_SHARE = 0.05
+#: Classes whose copies are left out where texts are read (48 bytes each, broadcast).
+HEAVY = 1 << 16
+#: One of so many documents is looked at for shingles in at least HOT_SETS of them; the HOT_SHINGLES
+#: most frequent are known to be shared (8 bytes each, broadcast). All others are exchanged.
+HOT_PART, HOT_SETS, HOT_SHINGLES = 64, 16, 1 << 16
 
 
 def _sets(raw: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,16 +73,36 @@ def _sum_by(values: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return total[offs[1:]] - total[offs[:-1]]
 
 
+def _keys(values: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two digests of each set."""
+    return _sum_by(mix(values), offs), _sum_by(mix(values ^ np.uint64(0xA5A5A5A5A5A5A5A5)), offs)
+
+
 def digests(docs: DataFrame, k: int) -> DataFrame:
     """(id, n, k1, k2): size and digest of each document's shingle set."""
 
     def run(batches):
         for part in chunks(batches, "text"):
             values, offs = _sets(*text_bytes(part.column(1)), k)
-            k1, k2 = _sum_by(mix(values), offs), _sum_by(mix(values ^ np.uint64(0xA5A5A5A5A5A5A5A5)), offs)
+            k1, k2 = _keys(values, offs)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offs)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))], ["id", "n", "k1", "k2"])
 
-    return docs.mapInArrow(run, "id long, n long, k1 long, k2 long")
+    return docs.select("id", "text").mapInArrow(run, "id long, n long, k1 long, k2 long")
+
+
+class _Heavy:
+    """The largest classes by their digest: which rows are copies of their first document."""
+
+    def __init__(self, classes: DataFrame):
+        rows = classes.where("m > 1").orderBy(F.desc("m"), "k1", "k2").limit(HEAVY).select("k1", "k2", "rep").collect()
+        rows.sort(key=lambda r: r.k1)
+        self.k1, self.k2, self.rep = (np.array([r[i] for r in rows], np.int64) for i in range(3))
+
+    def copies(self, ids: np.ndarray, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
+        if not len(self.k1):
+            return np.zeros(len(ids), bool)
+        at = np.minimum(np.searchsorted(self.k1, k1.view(np.int64)), len(self.k1) - 1)
+        return (self.k1[at] == k1.view(np.int64)) & (self.k2[at] == k2.view(np.int64)) & (self.rep[at] != ids)
 
 
 def _asked(n, num: int, den: int):
@@ -79,34 +110,84 @@ def _asked(n, num: int, den: int):
     return np.maximum(1, np.floor(n * PREFIX_SHARE)).astype(np.int64)
 
 
-def prefixes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(tok, key, n): the shingles of least hash of each set; key is the set's digest."""
+def prefixes(docs: DataFrame, k: int, num: int, den: int, heavy, hot=None) -> DataFrame:
+    """(tok, key, r): the shingles of least hash of each set; key is the set's digest.
+
+    Shingles in `hot` give no row of their own; one row with r, their number, and a made-up tok
+    stands for those of a set. heavy and hot are broadcasts of a _Heavy and of a sorted array.
+    """
 
     def run(batches):
         for part in chunks(batches, "text"):
-            values, offs = _sets(*text_bytes(part.column(0)), k)
+            values, offs = _sets(*text_bytes(part.column(1)), k)
             n = np.diff(offs)
-            key = _sum_by(mix(values), offs)
+            key, second = _keys(values, offs)
             size = np.minimum(n, n + (-num * n) // den + _asked(n, num, den)) * (n > 0)
+            size[heavy.value.copies(part.column(0).to_numpy(), key, second)] = 0
             at = np.zeros(len(n) + 1, np.int64)
             np.cumsum(size, out=at[1:])
             pick = np.repeat(offs[:-1] - at[:-1], size) + np.arange(at[-1])
-            rows = np.unique(np.stack([values[pick], np.repeat(key, size), np.repeat(n, size).astype(np.uint64)], 1), axis=0) if len(pick) and len(np.unique(key)) < len(key) else np.stack([values[pick], np.repeat(key, size), np.repeat(n, size).astype(np.uint64)], 1)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0].copy().view(np.int64)), pa.array(rows[:, 1].copy().view(np.int64)), pa.array(rows[:, 2].astype(np.int32))], ["tok", "key", "n"])
+            tok, owner = values[pick].view(np.int64), np.repeat(np.arange(len(n)), size)
+            r = np.zeros(len(tok), np.int32)
+            if hot is not None and len(hot.value):
+                known = hot.value[np.minimum(np.searchsorted(hot.value, tok), len(hot.value) - 1)] == tok
+                many = np.bincount(owner[known], minlength=len(n))
+                some = np.flatnonzero(many)
+                tok = np.concatenate([tok[~known], mix(key[some]).view(np.int64)])
+                owner = np.concatenate([owner[~known], some])
+                r = np.concatenate([r[~known], many[some].astype(np.int32)])
+            yield pa.RecordBatch.from_arrays([pa.array(tok), pa.array(key[owner].view(np.int64)), pa.array(r)], ["tok", "key", "r"])
+
+    return docs.select("id", "text").mapInArrow(run, "tok long, key long, r int")
+
 
-    return docs.select("text").mapInArrow(run, "tok long, key long, n int")
+def count_shared(rows: DataFrame) -> DataFrame:
+    """(key, r) with the number of a set's prefix shingles that another set's prefix holds, in parts to be added up.
 
+    rows: (tok, key, r) dealt by tok and sorted. They stream by; only the last one is held.
+    """
 
-def full_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(id, n, toks): the whole sorted set as packed 64-bit hashes."""
+    def run(batches):
+        held = None  # the last row: tok, key, whether it is counted already
+        for batch in batches:
+            tok, key, r = (batch.column(i).to_numpy() for i in range(3))
+            ready = r > 0
+            if ready.any():
+                whole = np.unique(np.stack([key[ready], r[ready].astype(np.int64)], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(whole[:, 0].copy()), pa.array(whole[:, 1].copy())], ["key", "r"])
+                tok, key = tok[~ready], key[~ready]
+            if not len(tok):
+                continue
+            if held is not None:
+                tok, key = np.append(held[0], tok), np.append(held[1], key)
+            new = np.ones(len(tok), bool)
+            new[1:] = (tok[1:] != tok[:-1]) | (key[1:] != key[:-1])
+            tok, key = tok[new], key[new]
+            beside = tok[1:] == tok[:-1]
+            shared = np.append(False, beside) | np.append(beside, False)
+            counted = held is not None and held[2]
+            held = tok[-1], key[-1], bool(shared[-1]) or (counted and len(tok) == 1)
+            if counted:
+                shared[0] = False
+            if shared.any():
+                keys, n = np.unique(key[shared], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "r"])
+
+    return rows.mapInArrow(run, "key long, r long")
+
+
+def full_sets(docs: DataFrame, k: int, heavy) -> DataFrame:
+    """(n, k1, k2, toks): the whole sorted set as packed 64-bit hashes."""
 
     def run(batches):
         for part in chunks(batches, "text"):
             values, offs = _sets(*text_bytes(part.column(1)), k)
-            packed = [values[a:b].tobytes() for a, b in zip(offs[:-1], offs[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offs)), pa.array(packed, pa.binary())], ["id", "n", "toks"])
+            k1, k2 = _keys(values, offs)
+            take = np.flatnonzero(~heavy.value.copies(part.column(0).to_numpy(), k1, k2))
+            packed = [values[offs[i] : offs[i + 1]].tobytes() for i in take]
+            yield pa.RecordBatch.from_arrays([pa.array(np.diff(offs)[take]), pa.array(k1[take].view(np.int64)), pa.array(k2[take].view(np.int64)), pa.array(packed, pa.binary())], ["n", "k1", "k2", "toks"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n long, toks binary")
+    return docs.select("id", "text").mapInArrow(run, "n long, k1 long, k2 long, toks binary")
 
 
 def _explode(sets: DataFrame) -> DataFrame:
@@ -120,6 +201,14 @@ def _explode(sets: DataFrame) -> DataFrame:
     return sets.select("id", "toks").mapInArrow(run, "tok long, id long")
 
 
+def merge_lists(lists: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Members in at least `least` of the sorted lists, and in how many; the lists are merged by a heap."""
+    merged = np.fromiter(merge(*(x.tolist() for x in lists)), np.int64, sum(map(len, lists)))
+    first = np.flatnonzero(np.append(True, merged[1:] != merged[:-1])) if len(merged) else np.zeros(0, np.int64)
+    n = np.diff(np.append(first, len(merged)))
+    return merged[first[n >= least]], n[n >= least]
+
+
 def divide_skip(members: list[np.ndarray], queries: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     """(query, member) for each query that has a linked member: one member, the first found.
 
@@ -147,18 +236,17 @@ def divide_skip(members: list[np.ndarray], queries: list[np.ndarray], num: int,
         lists = lists[np.argsort(lengths, kind="stable")]
         skip = min(need - 1, int((lengths > 8).sum()))
         short, long = lists[: len(lists) - skip], lists[len(lists) - skip :]
-        merged, _ = ragged_take(owner, ends, short)
-        seen = np.bincount(merged, minlength=len(members))
         fits = (sizes * num <= n * den) & (n * num <= sizes * den)
-        left = np.flatnonzero((seen >= max(1, need - skip)) & fits)
+        left, seen = merge_lists([owner[ends[x] : ends[x + 1]] for x in short], max(1, need - skip))
+        left, seen = left[fits[left]], seen[fits[left]]
         if not len(left):
             continue
         if skip:
             keys = (long[:, None] * len(members) + left).ravel()
             hit = np.searchsorted(probe, keys)
             hit[hit == len(probe)] = 0
-            seen[left] += (probe[hit] == keys).reshape(len(long), -1).sum(0)
-        linked = left[seen[left] * den >= (n + sizes[left] - seen[left]) * num]
+            seen = seen + (probe[hit] == keys).reshape(len(long), -1).sum(0)
+        linked = left[seen * den >= (n + sizes[left] - seen) * num]
         if len(linked):
             out.append((q, int(linked[0])))
     return out
@@ -195,18 +283,26 @@ def link(docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id", te
     Columns: the id column (long), n_shingles, component_id (least id reachable by links, itself
     included). Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; a text of fewer than k
     words has its whole sequence as one shingle; null and empty texts have none and are linked
-    with nothing. A null id counts as the smallest and stays null. Repeated rows are copies.
-    Other columns are left out. An empty table gives no rows.
+    with nothing. A null id counts as the smallest and stays null. Repeated rows are copies; rows
+    that share an id but not their text are documents of their own. Other columns are left out.
+    An empty table gives no rows.
     """
     rows = normal(docs, id_col, text_col)
     sized = cut(digests(rows, k))
-    classes = sized.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"))
-    links = _links(rows, classes, k, num, den)
-    reps = components(links)
-    named = sized.join(classes, ["k1", "k2", "n"], "left")
-    named = named.select("id", "n", F.coalesce("rep", "id").alias("rep")).join(reps.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    own = lambda c: F.when(F.col(c) != _FIRST, F.col(c))
-    return named.withColumn("component", F.coalesce("component", "rep")).select(own("id").alias(id_col), F.col("n").alias("n_shingles"), own("component").alias("component_id"))
+    classes = sized.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("m"))
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
+    links, used = _links(rows, classes, k, num, den)
+    found = components(links)
+    drop(*used)
+    # a class without links is its own component; the others take the least id of theirs
+    linked = cut(classes.join(found.withColumnRenamed("id", "node"), "node").select("k1", "k2", "n", "rep", "component"))
+    least = linked.groupBy("component").agg(F.min("rep").alias("least"))
+    own = cut(linked.join(least, "component").select("k1", "k2", "n", "least").unionByName(classes.where("m > 1").join(linked, ["k1", "k2", "n"], "left_anti").select("k1", "k2", "n", F.col("rep").alias("least"))))
+    drop(linked, classes)
+    # both sides are plain tables, so that a class of very many copies is split over tasks
+    named = sized.join(own, ["k1", "k2", "n"], "left")
+    real = lambda c: F.when(c != _FIRST, c)
+    return named.select(real(F.col("id")).alias(id_col), F.col("n").alias("n_shingles"), real(F.coalesce("least", "id")).alias("component_id"))
 
 
 def _need(n: Column, num: int, den: int) -> Column:
@@ -214,46 +310,47 @@ def _need(n: Column, num: int, den: int) -> Column:
     return F.greatest(F.lit(1), F.floor(smallest * PREFIX_SHARE))
 
 
-def _links(rows: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _links(rows: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Links (a, b) between nodes of classes, and the tables that they are read from."""
     spark = rows.sparkSession
-    name = f"prefixes_{id(rows)}_{spark.sparkContext._jvm.java.util.UUID.randomUUID().toString().replace('-', '')}"
-    buckets = partitions_for(spark)
-    # a bucketed table: the counts and the way back to the sets need no further shuffle
-    prefixes(rows, k, num, den).repartition(buckets, "tok").write.bucketBy(buckets, "tok").sortBy("tok").format("parquet").option("compression", "zstd").saveAsTable(name)
-    table = spark.table(name)
-    shared = table.groupBy("tok").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("tok")
-    met = table.join(shared, "tok").groupBy("tok", "key", "n").agg(F.lit(1).alias("one"))
-    alive = met.groupBy("key", "n").agg(F.count("*").alias("r")).where(F.col("r") >= _need(F.col("n"), num, den))
-    left = classes.withColumnRenamed("k1", "key").withColumn("n", F.col("n").cast("int")).join(alive.select("key", "n"), ["key", "n"], "left_semi").select(F.col("rep").alias("id"))
-    left = cut(left)
-    spark.sql(f"DROP TABLE {name}")
-    del table, shared, met, alive
-    release(spark)
-    near = rows.withColumn("slot", _slot("id")).join(_slots(left), "slot", "left_semi").drop("slot").hint("shuffle_merge").join(left, "id", "left_semi")
-    # rows that repeat an id repeat its text
-    sets = cut(full_sets(near, k).groupBy("id").agg(F.first("n").alias("n"), F.first("toks").alias("toks")))
+    heavy = spark.sparkContext.broadcast(_Heavy(classes))
+    sample = prefixes(rows.where(F.pmod(F.xxhash64(F.lit("hot"), "id"), F.lit(HOT_PART)) == 0), k, num, den, heavy)
+    hot = sample.groupBy("tok").agg(F.countDistinct("key").alias("n")).where(F.col("n") >= HOT_SETS).orderBy(F.desc("n"), "tok").limit(HOT_SHINGLES)
+    hot = spark.sparkContext.broadcast(np.sort(np.array([r.tok for r in hot.collect()], np.int64)))
+    dealt = prefixes(rows, k, num, den, heavy, hot).repartition(partitions_for(spark), "tok").sortWithinPartitions("tok", "key")
+    shared = cut(count_shared(dealt).groupBy("key").agg(F.sum("r").alias("r")))
+    alive = cut(classes.join(shared.withColumnRenamed("key", "k1"), "k1").where(F.col("r") >= _need(F.col("n"), num, den)).select("node", "rep", "k1", "k2", "n"))
+    near = rows.withColumn("slot", _slot("id")).join(_slots(alive.select(F.col("rep").alias("id"))), "slot", "left_semi").select("id", "text")
+    each = full_sets(near, k, heavy).groupBy("k1", "k2", "n").agg(F.first("toks").alias("toks"))
+    sets = cut(each.join(alive.select("node", "k1", "k2", "n"), ["k1", "k2", "n"]).select(F.col("node").alias("id"), "n", "toks"))
+    drop(shared, alive)
     each = _explode(sets)
-    often = each.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
+    often = cut(each.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1"))
     listed = each.join(often, "tok").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("toks"))
     # of the rarest n - ceil(n * num / den) + 1 shingles, those that no other set holds come first
     quota = F.col("n") - F.ceil(F.col("n") * num / den) + 1 - (F.col("n") - F.size("l.toks"))
     routed = listed.alias("l").join(sets.select("id", "n"), "id").withColumn("quota", quota.cast("int")).where("quota > 0")
     # r: shingles that some other set holds too; no link can share more
     lists = cut(routed.select("id", "n", F.size("l.toks").alias("r"), F.explode(F.slice("l.toks", F.lit(1), F.col("quota"))).alias("t")).select("id", "n", "r", "t.tok"))
+    drop(often)
     can = lambda n, r, m, q: F.least(r, q) * (num + den) >= F.lit(num) * (F.col(n) + F.col(m))
     # a list's first set is the one with the smallest part of shingles of its own
     heads = lists.groupBy("tok").agg(F.min_by(F.struct("id", "n", "r"), F.struct((F.col("n") - F.col("r")) / F.col("n"), "id")).alias("h"), F.count("*").alias("m")).where("m > 1")
-    heads = heads.select("tok", F.col("h.id").alias("g"), F.col("h.n").alias("gn"), F.col("h.r").alias("gr"))
+    heads = cut(heads.select("tok", F.col("h.id").alias("g"), F.col("h.n").alias("gn"), F.col("h.r").alias("gr")))
     asks = cut(lists.join(heads, "tok").where((F.col("id") != F.col("g")) & can("n", "r", "gn", "gr")).select("g", "id").distinct())
     first = cut(_search(asks, asks.select("g", F.col("g").alias("id")).distinct(), sets, num, den))
+    drop(heads, asks)
     groups = cut(components(first))
     placed = lists.join(groups, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-    stats = placed.select("id", "n", "r", "c").distinct().groupBy("c").agg(F.count("*").alias("size"), F.min("n").alias("least_n"), F.max("r").alias("most_r"))
-    mixed = placed.groupBy("tok").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("tok")
-    placed = cut(placed.join(mixed, "tok").join(stats.select("c", "size"), "c"))
-    other = placed.select("tok", F.col("c").alias("g")).distinct().join(stats.select(F.col("c").alias("g"), F.col("size").alias("gsize"), "least_n", "most_r"), "g")
+    stats = cut(placed.select("id", "n", "r", "c").distinct().groupBy("c").agg(F.count("*").alias("size"), F.min("n").alias("least_n"), F.max("r").alias("most_r")))
+    mixed = cut(placed.groupBy("tok").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("tok"))
+    held, placed = lists, cut(placed.join(mixed, "tok").join(stats.select("c", "size"), "c"))
+    drop(held, mixed)
+    other = cut(placed.select("tok", F.col("c").alias("g")).distinct().join(stats.select(F.col("c").alias("g"), F.col("size").alias("gsize"), "least_n", "most_r"), "g"))
     rank = lambda c, s: F.struct(F.col(s).alias("s"), F.col(c).alias("c"))
     asks = cut(placed.join(other, "tok").where((rank("c", "size") < rank("g", "gsize")) & can("n", "r", "least_n", "most_r")).select("g", "id").distinct())
+    drop(placed, other, stats)
     whole = groups.select(F.col("component").alias("g"), "id").unionByName(sets.join(groups, "id", "left_anti").select(F.col("id").alias("g"), "id"))
-    second = _search(asks, whole.join(asks.select("g").distinct(), "g", "left_semi"), sets, num, den)
-    return first.unionByName(second)
+    second = cut(_search(asks, whole.join(asks.select("g").distinct(), "g", "left_semi"), sets, num, den))
+    drop(asks, groups, sets)
+    return first.unionByName(second), [first, second]

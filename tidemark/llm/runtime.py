@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,13 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy pass works on; bounds a Python worker's memory.
 CHUNK_BYTES = 1 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage; a temporary one only where none is configured."""
+    """The shared folder for intermediate tables; a temporary one only in local mode without a setting."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         current = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
@@ -25,9 +29,34 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it back (survives lost executors)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df as a table in the shared folder and read it back, so that lost executors lose nothing.
+
+    The shuffles that led to the table are removed as soon as it is written.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that `cut` wrote and nothing will read again."""
+    for table in tables:
+        remove(table.sparkSession, table.written_to)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this library in the shared file system."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -76,10 +105,3 @@ def ragged_take(flat: np.ndarray, offs: np.ndarray, rows: np.ndarray) -> tuple[n
     at = np.repeat(offs[rows] - out[:-1], lens) + np.arange(out[-1])
     return flat[at], out
 
-
-def release(spark: SparkSession) -> None:
-    """Let the driver notice shuffles that nothing refers to any more, so that their files go now."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
