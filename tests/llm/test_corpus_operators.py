@@ -128,6 +128,25 @@ def test_index_compacts(spark):
     assert {r.id: (r.n_words, r.n_removed, r.kept_text) for r in got} == brute_repeats(texts, 20)
 
 
+@pytest.mark.parametrize("hot_docs", [1, 2])
+def test_hot_fingerprints(spark, monkeypatch, hot_docs):
+    """Fingerprints dealt at random: all that a sample of all documents finds in one or two of them."""
+    monkeypatch.setattr(substr, "HOT_PART", 1)
+    monkeypatch.setattr(substr, "HOT_DOCS", hot_docs)
+    texts = corpus(14, 90)
+    for most in (1 << 16, 40):
+        monkeypatch.setattr(substr, "HOT_PRINTS", most)
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substr.remove_repeats(docs(spark, texts), 20, 3).collect()}
+        assert got == brute_repeats(texts, 20)
+
+
+def test_repeats_of_ids_with_several_texts(spark):
+    words = [f"w{i}" for i in range(25)]
+    rows = [(None, " ".join(words)), (None, "one two three"), (5, " ".join(words)), (5, " ".join(words)), (5, "four five"), (6, None)]
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed, r.kept_text) for r in substr.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, 3, 0, "one two three"), (0, 25, 0, " ".join(words)), (5, 2, 0, "four five"), (5, 25, 25, ""), (5, 25, 25, ""), (6, 0, 0, "")]
+
+
 def brute_components(texts, k, num, den):
     sets = []
     for t in texts:
@@ -171,6 +190,24 @@ def test_large_near_copy_group(spark):
     assert got == brute_components(texts, 4, 85, 100)
 
 
+def test_hot_shingles_and_heavy_classes(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT_PART", 1)
+    monkeypatch.setattr(jaccard, "HOT_SETS", 2)
+    texts = corpus(15, 120)
+    for most in (0, 5, 1 << 16):
+        monkeypatch.setattr(jaccard, "HOT_SHINGLES", most)
+        monkeypatch.setattr(jaccard, "HEAVY", most)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link(docs(spark, texts), 4, 85, 100).collect()}
+        assert got == brute_components(texts, 4, 85, 100)
+
+
+def test_links_of_ids_with_several_texts(spark):
+    a, b = "a b c d e f g h", "k l m n o p q r"
+    rows = [(3, a), (3, b), (4, b), (2, "x"), (None, a)]
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in jaccard.link(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100).collect())
+    assert got == [(0, 5, 0), (2, 1, 2), (3, 5, 0), (3, 5, 3), (4, 5, 3)]
+
+
 def test_divide_skip_finds_what_there_is():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, rng.integers(20, 50)).astype(np.uint64)) for _ in range(60)]

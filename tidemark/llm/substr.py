@@ -1,14 +1,16 @@
 """Incremental removal of repeated word windows with a log-structured fingerprint index.
 
 A window is `width` consecutive words. Its fingerprint is the least hash of the word grams
-inside it, so consecutive windows mostly share one and a document has a fingerprint row per
-stretch of windows instead of one per window. The index holds one immutable run per batch,
-hash-partitioned and sorted by fingerprint (a bucketed table). A new batch is written as a run,
-merge-joined with the older runs to find fingerprints met before, and only the windows under
-those are hashed in full (two independent 64-bit hashes verify that windows are equal). The
-earliest place of each window follows from one grouped minimum, which is combined before the
-shuffle, so a passage that a third of all documents share never meets in one task. When the
-runs outnumber `fanout` they are merged into one.
+inside it. Consecutive windows mostly share one, so the index holds every window's fingerprint
+in run-length form: a row (fingerprint, document, first window, end window) per stretch. There
+is one immutable run per batch, hash-partitioned and sorted by fingerprint (a bucketed table). A
+new batch is written as a run and merge-joined with the older runs to find fingerprints met
+before; the windows under those are verified by two independent 64-bit hashes of all their
+words. The earliest place of each window follows from one grouped minimum, which is combined
+before the shuffle. When the runs outnumber `fanout` they are compacted into one.
+
+A fingerprint that a sample finds in many documents of a batch (a passage that all share) is
+known to repeat: its rows are dealt at random instead of by fingerprint and need no join.
 """
 
 from __future__ import annotations
@@ -20,12 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.runtime import chunks, cut, partitions_for, text_bytes
-from tidemark.llm.words import Words, gram_starts, grams
+from tidemark.llm.runtime import chunks, cut, drop, partitions_for, shuffles_removed, text_bytes
+from tidemark.llm.words import Words, gram_starts, grams, mix
 
 GRAM = 8
 #: Hashed ids that a broadcast filter of documents may hold.
 ID_SLOTS = 1 << 20
+#: One of so many documents is looked at for fingerprints in at least HOT_DOCS of them; of these
+#: the HOT_PRINTS most frequent (8 bytes each, broadcast) are dealt at random, all others by value.
+HOT_PART, HOT_DOCS, HOT_PRINTS = 64, 16, 1 << 16
 _FIRST = -(2**63)
 
 
@@ -60,16 +65,27 @@ def _stretches(words: Words, width: int) -> tuple[np.ndarray, ...]:
     return least[first], text[first], starts[first] - base, starts[end - 1] - base + 1, times
 
 
-def fingerprints(docs: DataFrame, width: int) -> DataFrame:
-    """(fp, id, lo, hi, times): windows lo..hi-1 of the document share the fingerprint."""
+def fingerprints(docs: DataFrame, width: int, hot=None) -> DataFrame:
+    """(route, fp, id, lo, hi, times): windows lo..hi-1 of the document share the fingerprint.
+
+    route is the fingerprint and fp null, but for fingerprints in `hot` (broadcast of a sorted
+    array): these have route at random and the fingerprint in fp.
+    """
 
     def run(batches):
         for part in chunks(batches, "text"):
-            fp, text, lo, hi, times = _stretches(Words(*text_bytes(part.column(1))), width)
-            if len(fp):
-                yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), part.column(0).take(pa.array(text)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(np.minimum(times, 2).astype(np.int32))], ["fp", "id", "lo", "hi", "times"])
+            raw, text, lo, hi, times = _stretches(Words(*text_bytes(part.column(1))), width)
+            if not len(raw):
+                continue
+            fp = raw.view(np.int64)
+            known = np.zeros(len(fp), bool)
+            if hot is not None and len(hot.value):
+                known = hot.value[np.minimum(np.searchsorted(hot.value, fp), len(hot.value) - 1)] == fp
+            ids = part.column(0).take(pa.array(text))
+            spread = mix(raw + ids.to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(known, spread, fp)), pa.array(fp, mask=~known), ids, pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(np.minimum(times, 2).astype(np.int32))], ["route", "fp", "id", "lo", "hi", "times"])
 
-    return docs.select("id", "text").mapInArrow(run, "fp long, id long, lo int, hi int, times int")
+    return docs.select("id", "text").mapInArrow(run, "route long, fp long, id long, lo int, hi int, times int")
 
 
 def _spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,27 +145,44 @@ def normal(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] =
 
 
 class FingerprintIndex:
-    """Runs of stretch fingerprints of all documents added so far."""
+    """Runs of the fingerprints of all windows of the documents added so far."""
 
-    def __init__(self, spark: SparkSession, width: int = 20, fanout: int = 4, partitions: int | None = None):
+    def __init__(self, spark: SparkSession, width: int = 20, fanout: int = 1, partitions: int | None = None):
         if width < GRAM:
             raise ValueError(f"windows have at least {GRAM} words")
         self.spark, self.width, self.fanout = spark, width, fanout
         self.buckets = partitions or partitions_for(spark)
         self.runs: list[str] = []
+        self.hot: dict[str, np.ndarray] = {}
 
-    def _write(self, rows: DataFrame) -> str:
+    def _write(self, rows: DataFrame, hot: np.ndarray) -> str:
         name = f"fingerprints_{uuid.uuid4().hex}"
-        rows.repartition(self.buckets, "fp").write.bucketBy(self.buckets, "fp").sortBy("fp").format("parquet").option("compression", "zstd").saveAsTable(name)
+        with shuffles_removed(self.spark):
+            rows.repartition(self.buckets, "route").write.bucketBy(self.buckets, "route").sortBy("route").format("parquet").option("compression", "zstd").saveAsTable(name)
+        self.hot[name] = hot
         return name
 
+    def _hot(self, batch: DataFrame) -> np.ndarray:
+        sample = fingerprints(batch.where(F.pmod(F.xxhash64(F.lit("hot"), "id"), F.lit(HOT_PART)) == 0), self.width)
+        often = sample.groupBy(F.col("route").alias("fp")).agg(F.countDistinct("id").alias("n")).where(F.col("n") >= HOT_DOCS)
+        return np.sort(np.array([r.fp for r in often.orderBy(F.desc("n"), "fp").limit(HOT_PRINTS).collect()], np.int64))
+
+    def _listed(self, prints: np.ndarray, name: str) -> DataFrame:
+        return F.broadcast(self.spark.createDataFrame([(x,) for x in prints.tolist()], f"{name} long"))
+
     def compact(self) -> None:
         """Merge all runs into one."""
         if len(self.runs) > 1:
             whole = self.spark.table(self.runs[0])
             for run in self.runs[1:]:
                 whole = whole.unionByName(self.spark.table(run))
-            merged = self._write(whole)
+            hot = np.unique(np.concatenate([self.hot[run] for run in self.runs]))
+            if len(hot) > HOT_PRINTS:  # so many that the rest is dealt by value again
+                hot = hot[np.argsort(hot.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15), kind="stable")[:HOT_PRINTS]]
+                hot.sort()
+                listed = self._listed(hot, "fp").withColumn("_hot", F.lit(True))
+                whole = whole.join(listed, "fp", "left").select(F.when(F.col("_hot") | F.col("fp").isNull(), F.col("route")).otherwise(F.col("fp")).alias("route"), F.when(F.col("_hot"), F.col("fp")).alias("fp"), "id", "lo", "hi", "times")
+            merged = self._write(whole, hot)
             self.drop()
             self.runs = [merged]
 
@@ -161,31 +194,41 @@ class FingerprintIndex:
     def add(self, batch: DataFrame, archive: DataFrame | None = None) -> DataFrame:
         """Add a batch whose ids are all above those added before; returns its decisions.
 
-        batch and archive have columns id (long, not null) and text; archive must hold the
-        documents added before. The decisions are (id, spans, kept): of the windows in
+        batch and archive have columns id (long, not null, one text each) and text; archive must
+        hold the documents added before. The decisions are (id, spans, kept): of the windows in
         spans, those starting at `kept` are the first of their kind, the others repeat an
         earlier one. Documents without a row repeat nothing.
         """
-        name = self._write(fingerprints(batch, self.width))
+        hot = self._hot(batch)
+        name = self._write(fingerprints(batch, self.width, self.spark.sparkContext.broadcast(hot)), hot)
         new = self.spark.table(name)
-        own = new.groupBy("fp").agg(F.sum("times").alias("n"))
-        met = own.withColumn("old", F.lit(False))
-        for i, run in enumerate(self.runs):
-            seen = self.spark.table(run).select("fp").distinct().withColumn(f"_r{i}", F.lit(True))
-            met = met.join(seen, "fp", "left").withColumn("old", F.col("old") | F.coalesce(F.col(f"_r{i}"), F.lit(False))).drop(f"_r{i}")
-        again = cut(met.where("old or n > 1").select("fp", "old"))
-        spans = new.join(again.select("fp"), "fp").select("id", "lo", "hi")
+        met = new.where("fp is null").groupBy("route").agg(F.sum("times").alias("n")).withColumn("old", F.lit(False))
+        for run in self.runs:
+            seen = self.spark.table(run).where("fp is null").select("route").distinct().withColumn("_seen", F.lit(True))
+            met = met.join(seen, "route", "left").join(self._listed(self.hot[run], "route").withColumn("_hot", F.lit(True)), "route", "left")
+            met = met.select("route", "n", (F.col("old") | F.coalesce("_seen", "_hot", F.lit(False))).alias("old"))
+        again = cut(met.where("old or n > 1").select("route", "old"))
+        places = ["id", "lo", "hi"]
+        spans = new.where("fp is null").join(again.select("route"), "route").select(places).unionByName(new.where("fp is not null").select(places))
         history = None
         for run in self.runs:
-            part = self.spark.table(run).join(again.where("old").select("fp"), "fp").select("id", "lo", "hi")
+            past = self.spark.table(run)
+            cold, often = past.where("fp is null"), past.where("fp is not null")
+            asked = self._listed(self.hot[run], "route").join(again.where("old"), "route", "left_semi").unionByName(self._listed(hot, "route")).distinct()
+            part = cold.join(again.where("old").select("route"), "route").select(places)
+            part = part.unionByName(cold.join(self._listed(hot, "route"), "route", "left_semi").select(places))
+            part = part.unionByName(often.join(F.broadcast(asked.withColumnRenamed("route", "fp")), "fp", "left_semi").select(places))
             history = part if history is None else history.unionByName(part)
+        used = [again]
         mine = cut(spans.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
         windows = _window_hashes(self._with_spans(batch, mine), self.width)
         if history is not None and archive is not None:
             theirs = cut(history.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
+            used.append(theirs)
             windows = windows.unionByName(_window_hashes(self._with_spans(archive, theirs), self.width))
         kept = self._first(windows, batch if archive is None else archive.unionByName(batch))
         decisions = cut(mine.join(kept.groupBy("id").agg(F.collect_list("at").alias("kept")), "id", "left"))
+        drop(mine, *used)
         self.runs.append(name)
         if len(self.runs) > self.fanout:
             self.compact()
@@ -268,19 +311,32 @@ def apply_decisions(docs: DataFrame, decisions: DataFrame, width: int, carry: tu
     return rows.mapInArrow(run, f"id long, n_words long, n_removed long, kept_text string{more}")
 
 
-def remove_repeats(docs: DataFrame, width: int = 20, batches: int = 2, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), keep_whole: bool = False) -> DataFrame:
+def _one_text_an_id(rows: DataFrame) -> DataFrame:
+    """rows with a column key: the id, or where ids stand for several texts a number in order of (id, text hash)."""
+    texts = rows.select("id", F.xxhash64("text").alias("h"))
+    pairs = cut(texts.distinct())
+    if pairs.groupBy("id").count().where("count > 1").isEmpty():
+        drop(pairs)
+        return rows.withColumn("key", F.col("id"))
+    numbered = cut(pairs.repartitionByRange(partitions_for(rows.sparkSession), "id", "h").sortWithinPartitions("id", "h").withColumn("key", F.monotonically_increasing_id()))
+    drop(pairs)
+    return cut(rows.withColumn("h", F.xxhash64("text")).join(numbered, ["id", "h"]).drop("h"))
+
+
+def remove_repeats(docs: DataFrame, width: int = 20, batches: int = 3, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), keep_whole: bool = False) -> DataFrame:
     """Remove each word covered by a window that also starts earlier in `docs`.
 
     Earlier is a smaller id, or a smaller place in the same document; windows are judged on the
     input. The documents enter a new index in `batches` ranges of ids. Columns: id (long),
     n_words, n_removed, kept_text (kept words joined by one space). Null and empty texts have
-    no words; a null id counts as the smallest; rows that repeat an id must repeat its text,
-    and then all of them keep or lose the same words. Other columns are left out, but for those
-    named in `carry` (no name of a column used here). With keep_whole, a text that loses no
-    word keeps its white space.
+    no words; a null id counts as the smallest. Rows that repeat id and text all keep or lose
+    the same words; rows that share an id but not their text are documents of their own, in
+    order of a hash of the text. Other columns are left out, but for those named in `carry` (no
+    name of a column used here). With keep_whole, a text that loses no word keeps its white
+    space. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    full = normal(docs, id_col, text_col, carry)
+    full = _one_text_an_id(normal(docs, id_col, text_col, carry)).select(F.col("key").alias("id"), "text", *carry, F.col("id").alias("_id"))
     rows = full.select("id", "text")
     cuts = sorted({int(x) for x in rows.select("id").where(F.col("id") != _FIRST).approxQuantile("id", [i / batches for i in range(1, batches)], 0.001)}) if batches > 1 else []
     index = FingerprintIndex(spark, width)
@@ -295,5 +351,5 @@ def remove_repeats(docs: DataFrame, width: int = 20, batches: int = 2, id_col: s
         decisions = got if decisions is None else decisions.unionByName(got)
         low = high
     index.drop()
-    done = apply_decisions(full, decisions, width, carry, keep_whole)
-    return done.select(F.when(F.col("id") != _FIRST, F.col("id")).alias(id_col), "n_words", "n_removed", "kept_text", *carry)
+    done = apply_decisions(full, decisions, width, (*carry, "_id"), keep_whole)
+    return done.select(F.when(F.col("_id") != _FIRST, F.col("_id")).alias(id_col), "n_words", "n_removed", "kept_text", *carry)
