@@ -311,15 +311,16 @@ def test_decontamination(spark):
     for p in range(0, 30, 6):
         near[p] = "changed"
     texts += ["lead in " + items[0].upper() + " and out", texts[5] + " " + items[1], " ".join(near), " ".join(words(4)[:9]), None, ""]
+    texts += [" ".join(texts[:60]) * 20 + " " + items[5] + " " + texts[7], texts[3] + " " + " ".join(words(6)[4:20]) + " " + texts[4]]
     bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)] + [(99, None)], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontam.decontaminate(docs(spark, texts), bench).collect()}
-    assert got == {(80, 0), (81, 1), (82, 3)}
+    assert got == {(80, 0), (81, 1), (82, 3), (86, 5), (87, 6)}
     assert decontam.decontaminate(docs(spark, texts), bench.limit(0)).count() == 0
     kept = decontam.Screen(docs(spark, texts), bench).clean(docs(spark, texts))
-    assert kept.columns == ["doc_id", "text", "size"] and kept.count() == len(texts) - 3
+    assert kept.columns == ["doc_id", "text", "size"] and kept.count() == len(texts) - 5
 
 
-@pytest.mark.parametrize("rows, copies", [(20, 3), (90, 30)])
+@pytest.mark.parametrize("rows, copies", [(20, 3), (90, 30), (200, 2)])
 def test_decontamination_of_an_item_copied_often(spark, rows, copies):
     rng = random.Random(rows)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
