@@ -31,8 +31,11 @@ def sessions(messages: DataFrame, cap_us: int = GAP_CAP_US, more: tuple[str, ...
     """One row per session: bounds, messages, active time, engagement.
 
     messages: agent, session_id, ts_us, is_real_user, text and the constant columns in `more`;
-    is_scheduled is used if there. Gaps and totals share one shuffle by session.
+    is_scheduled is used if there, and rows of subagents (is_subagent) make no sessions. Gaps and
+    totals share one shuffle by session.
     """
+    if "is_subagent" in messages.columns:
+        messages = messages.where(~F.col("is_subagent"))
     scheduled = F.col("is_scheduled") if "is_scheduled" in messages.columns else F.lit(False)
     order = W.partitionBy(*SESSION).orderBy("ts_us")
     after = F.lead("ts_us").over(order)
@@ -50,6 +53,22 @@ def sessions(messages: DataFrame, cap_us: int = GAP_CAP_US, more: tuple[str, ...
     return out.withColumn("active_sec", F.expr("active_us div 1000000")).withColumn("engaged", engaged(F.col("user_msg_count"), F.col("active_us"), F.col("is_scheduled")))
 
 
+def session_facts(messages: DataFrame, chars: int = 200) -> DataFrame:
+    """First cwd, first and latest user text and final assistant text of each session, in file order.
+
+    messages: agent, session_id, path, line_no, role, text, is_real_user, cwd, is_subagent.
+    Rows of subagents and blank texts don't count; the first user text is cut to `chars`.
+    """
+    place = F.struct("path", "line_no")
+    said = F.when(F.trim("text") != "", F.col("text"))
+    user, answer = F.when(F.col("is_real_user"), said), F.when(F.col("role") == "assistant", said)
+    of = lambda pick, value: pick(value, F.when(value.isNotNull(), place))
+    return messages.where(~F.col("is_subagent")).groupBy(*SESSION).agg(
+        of(F.min_by, F.col("cwd")).alias("cwd"), F.left(of(F.min_by, user), F.lit(chars)).alias("first_user_text"),
+        of(F.max_by, user).alias("latest_user_text"), of(F.max_by, answer).alias("final_assistant_text"),
+    )
+
+
 def overlapping(rows: DataFrame, windows: DataFrame) -> DataFrame:
     """Sessions whose closed span meets a window (start before its end, end not before its start)."""
     w = F.broadcast(windows)  # a report has at most a few dozen windows

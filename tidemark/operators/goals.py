@@ -6,6 +6,7 @@ import re
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.time import as_ntz, split_local_days
@@ -94,3 +95,10 @@ def scaled_hours(rows: DataFrame, totals: DataFrame, columns: tuple[str, ...]) -
     scale = F.when(F.coalesce("raw_us", F.lit(0)) > 0, F.col("wall_us").cast("double") / F.col("raw_us")).otherwise(F.lit(1.0))
     joined = rows.join(F.broadcast(totals.select("window_key", "raw_us", "wall_us")), "window_key", "left")
     return joined.withColumns({c.replace("_us", "_hours"): F.col(c) * scale / 3.6e9 for c in columns}).drop("raw_us", "wall_us")
+
+
+def top_goals(rows: DataFrame, n: int = 5) -> DataFrame:
+    """The n goals of each window with most time, exclusive and shared; ties by id."""
+    total = F.col("exclusive_us") + F.col("shared_us")
+    rank = F.row_number().over(W.partitionBy("window_key").orderBy(F.desc(total), "goal_id"))  # a report has a few goals
+    return rows.withColumn("rank", rank).where(F.col("rank") <= n)

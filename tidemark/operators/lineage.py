@@ -5,11 +5,27 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder and read back; a temporary folder only where none is set."""
+    """df written to the checkpoint folder and read back; a temporary folder only in local mode where none is set."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """rows with their place 1, 2, ... in `order` (ascending, nulls first): sorted by ranges, so no task gets them all."""
+    at = F.monotonically_increasing_id()
+    dealt = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_task", F.shiftright(at, 33)).withColumn("_at", at.bitwiseAND(F.lit((1 << 33) - 1))))
+    before, shifts = 1, []
+    for r in sorted(dealt.groupBy("_task").count().collect()):  # a row for each task
+        shifts.append((r["_task"], before))
+        before += r["count"]
+    shift = F.broadcast(rows.sparkSession.createDataFrame(shifts, "_task long, _shift long"))
+    return dealt.join(shift, "_task").withColumn(name, F.col("_at") + F.col("_shift")).drop("_task", "_at", "_shift")

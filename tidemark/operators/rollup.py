@@ -62,8 +62,8 @@ def trend_points(windows: DataFrame, totals: DataFrame, usage: DataFrame, quota_
     """One row per window, empty ones too: hours, output tokens, cost and the part of the quota spent."""
     days = F.greatest(F.lit(1.0), (F.col("until_us") - F.col("since_us")) / F.lit(86_400e6))
     rows = windows.join(totals.select("window_key", "wall_us"), "window_key", "left").join(usage.select("window_key", "output_tokens", "cost_usd"), "window_key", "left")
-    rows = rows.select("window_key", "ord", (F.coalesce("wall_us", F.lit(0)) / HOUR_US).alias("hours"), F.coalesce("output_tokens", F.lit(0)).cast("long").alias("output_tokens"), F.coalesce("cost_usd", F.lit(0.0)).alias("cost_usd"), days.alias("_days"))
-    quota = F.when(F.lit(quota_usd > 0), F.col("cost_usd") / (F.lit(float(quota_usd)) * F.col("_days") / 30.0) * 100.0)
+    rows = rows.select("window_key", "ord", (F.coalesce("wall_us", F.lit(0)) / HOUR_US).alias("hours"), F.coalesce("output_tokens", F.lit(0)).cast("long").alias("output_tokens"), F.coalesce("cost_usd", F.lit(0).cast("decimal(38,12)")).alias("cost_usd"), days.alias("_days"))
+    quota = F.when(F.lit(quota_usd > 0), F.col("cost_usd").cast("double") / (F.lit(float(quota_usd)) * F.col("_days") / 30.0) * 100.0)
     return rows.withColumn("quota_pct", quota).drop("_days")
 
 

@@ -155,3 +155,8 @@ def first_texts(rows: DataFrame, per_project: int = 2, chars: int = 160, project
     rank = F.row_number().over(W.partitionBy("project").orderBy("first"))
     total = text.groupBy("project").agg(F.sum("active_us").alias("total")).orderBy(F.desc("total"), "project").limit(projects)
     return text.where("text is not null and text <> ''").withColumn("rank", rank).where(F.col("rank") <= per_project).join(F.broadcast(total), "project").select("project", "rank", "text")
+
+
+def with_texts(plan: DataFrame, texts: DataFrame, id_col: str, rank_col: str) -> DataFrame:
+    """Chosen rows with their texts, by rank; ids without a text go."""
+    return plan.join(texts, id_col).orderBy(rank_col, id_col)

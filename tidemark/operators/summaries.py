@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.lineage import numbered
+
 from tidemark.functions.text import collapse
 
 # Fixed values.
@@ -93,8 +95,14 @@ def refresh_worklist(found: DataFrame, table: DataFrame, prompt_version: int, na
     """
     fields = table.select("session_id", "source", "prompt_version", "narrator_fingerprint", "evidence_fingerprint")
     todo = found.join(fields, "session_id", "left").where(needs_refresh(prompt_version, narrator, force=force))
-    order = W.orderBy((~F.col("has_reason")).cast("int"), "plan_rank", "session_id")
-    return todo.select("session_id", "plan_rank", "has_reason", "source").withColumn("priority", F.row_number().over(order))
+    todo = todo.select("session_id", "plan_rank", "has_reason", "source", (~F.col("has_reason")).cast("int").alias("_later"))
+    return numbered(todo, ["_later", "plan_rank", "session_id"], "priority").drop("_later")
+
+
+def newest_generated(table: DataFrame, n: int) -> DataFrame:
+    """(session_id, created_at) of the n newest generated summaries, oldest first; ties by id."""
+    rows = table.where(F.col("source") == GENERATED).select("session_id", "created_at")
+    return rows.orderBy(F.desc("created_at"), F.desc("session_id")).limit(n).orderBy("created_at", "session_id")
 
 
 def resolve(identities: DataFrame, table: DataFrame) -> DataFrame:

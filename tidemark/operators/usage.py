@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators.activity import events_in
+from tidemark.operators.lineage import cut
 
 COUNTERS = ["input_tokens", "cache_creation", "cache_read", "output_tokens"]
 TOTALS = ["input_total", "cached_total", "write_total", "output_total"]
@@ -70,30 +69,22 @@ def grown(deltas: DataFrame) -> DataFrame:
     )
 
 
-def _cut(rows: DataFrame) -> DataFrame:
-    """rows without their lineage, in the shared checkpoint folder; a temporary one only where none is configured."""
-    sc = rows.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(rows.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
-    return rows.checkpoint()
-
-
 def ancestors(branches: DataFrame) -> DataFrame:
     """(branch, ancestor) once for each ancestor of each branch(branch, parent); in a cycle none is its own.
 
     Each round doubles the generations that are known: those up to 2^k, then 2^k further up from
     each. It ends with the first round that finds no new pair.
     """
-    jump = _cut(branches.where("parent is not null and branch <> parent").select("branch", F.col("parent").alias("ancestor")).distinct())
+    jump = cut(branches.where("parent is not null and branch <> parent").select("branch", F.col("parent").alias("ancestor")).distinct())
     out = jump
     while not jump.isEmpty():
         onward = jump.select(F.col("branch").alias("ancestor"), F.col("ancestor").alias("next"))
         further = out.join(onward, "ancestor").select("branch", F.col("next").alias("ancestor")).where("branch <> ancestor").distinct()
-        new = _cut(further.join(out, ["branch", "ancestor"], "left_anti"))
+        new = cut(further.join(out, ["branch", "ancestor"], "left_anti"))
         if new.isEmpty():
             break
         out = out.unionByName(new)
-        jump = _cut(jump.join(onward, "ancestor").select("branch", F.col("next").alias("ancestor")).distinct())
+        jump = cut(jump.join(onward, "ancestor").select("branch", F.col("next").alias("ancestor")).distinct())
     return out
 
 
@@ -188,12 +179,21 @@ def resolve_prices(models: DataFrame, prices: DataFrame, aliases: DataFrame) ->
 
 
 def cost(usage: DataFrame, rates: DataFrame) -> DataFrame:
-    """by_model rows with cost_usd, cost_uncached_usd (all input at the input rate) and whether a price was found."""
-    million = F.lit(1e6)
-    rate = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    own = (F.col("input_tokens") * rate("inp") + F.col("output_tokens") * rate("out") + F.col("cache_creation") * rate("cw") + F.col("cache_read") * rate("cr")) / million
-    plain = ((F.col("input_tokens") + F.col("cache_creation") + F.col("cache_read")) * rate("inp") + F.col("output_tokens") * rate("out")) / million
-    return usage.join(F.broadcast(rates), "model", "left").withColumn("cost_usd", own).withColumn("cost_uncached_usd", plain).withColumn("priced", F.col("inp").isNotNull())
+    """by_model rows with cost_usd, cost_uncached_usd (all input at the input rate) and whether a price was found.
+
+    Costs are DECIMAL(38,12), exact for rates of up to six decimals, so that no sum depends on its order.
+    """
+    rate = lambda c: F.coalesce(F.col(c), F.lit(0.0)).cast("decimal(10,6)")
+    tokens = lambda c: c.cast("decimal(19,0)")
+    dollars = lambda c: (c.cast("decimal(25,6)") * F.lit("0.000001").cast("decimal(7,6)")).cast("decimal(38,12)")
+    own = tokens(F.col("input_tokens")) * rate("inp") + tokens(F.col("output_tokens")) * rate("out") + tokens(F.col("cache_creation")) * rate("cw") + tokens(F.col("cache_read")) * rate("cr")
+    plain = tokens(F.col("input_tokens") + F.col("cache_creation") + F.col("cache_read")) * rate("inp") + tokens(F.col("output_tokens")) * rate("out")
+    return usage.join(F.broadcast(rates), "model", "left").withColumn("cost_usd", dollars(own)).withColumn("cost_uncached_usd", dollars(plain)).withColumn("priced", F.col("inp").isNotNull())
+
+
+def rounded(column: str, digits: int = 6) -> Column:
+    """A cost rounded once, half up, and then a double."""
+    return F.round(column, digits).cast("double").alias(column)
 
 
 def usage_totals(costed: DataFrame, keys: tuple[str, ...] = ("window_key",)) -> DataFrame:

@@ -93,6 +93,11 @@ def rollup(rows=W2) -> str:
     return base(rows) + ",\n" + ROLLUP
 
 
+def _usd(micro: str) -> str:
+    """Millionths of a dollar, exact, as dollars rounded once to six decimals."""
+    return f"CAST(round({micro}, 0) AS DOUBLE) / 1000000.0::DOUBLE"
+
+
 def usage(rows=W2) -> str:
     rates = {"opus-x": B.FAMILY_PRICES["opus"], "sonnet-y": B.USER_PRICES["sonnet-y"], "haiku-z": B.LISTED_PRICES["haiku-z"]}
     return f"""{windows(rows)},
@@ -102,13 +107,13 @@ raw_usage AS (SELECT {_case("user_id % 3", ["agent_a", "agent_b", "agent_c"])} A
 windowed AS (SELECT w.window_key, u.*, row_number() OVER (PARTITION BY w.window_key, message_id ORDER BY ts_us, event_id) AS rn FROM raw_usage u JOIN windows w ON ts_us BETWEEN since_us AND until_us),
 used AS (SELECT * FROM windowed WHERE message_id IS NULL OR rn = 1),
 by_model AS (SELECT window_key, model, count(*) AS turns, CAST(sum(k) AS BIGINT) AS input_tokens, CAST(sum(2 * k) AS BIGINT) AS cache_creation, CAST(sum(10 * k) AS BIGINT) AS cache_read, CAST(sum(output_tokens) AS BIGINT) AS output_tokens FROM used GROUP BY ALL),
-rates(model, inp, outp, cw, cr) AS (VALUES {_values([(m, *map(float, r)) for m, r in rates.items()])}),
+rates AS (SELECT model, {", ".join(f"CAST({c} AS DECIMAL(10,6)) AS {c}" for c in ("inp", "outp", "cw", "cr"))} FROM (VALUES {_values([(m, *map(float, r)) for m, r in rates.items()])}) v(model, inp, outp, cw, cr)),
 costed AS (SELECT m.*, r.model IS NOT NULL AS priced,
-    (input_tokens * coalesce(inp, 0) + m.output_tokens * coalesce(outp, 0) + cache_creation * coalesce(cw, 0) + cache_read * coalesce(cr, 0)) / 1e6 AS cost_usd,
-    ((input_tokens + cache_creation + cache_read) * coalesce(inp, 0) + m.output_tokens * coalesce(outp, 0)) / 1e6 AS cost_uncached_usd
+    input_tokens * coalesce(inp, 0) + m.output_tokens * coalesce(outp, 0) + cache_creation * coalesce(cw, 0) + cache_read * coalesce(cr, 0) AS cost_micro,
+    (input_tokens + cache_creation + cache_read) * coalesce(inp, 0) + m.output_tokens * coalesce(outp, 0) AS plain_micro
   FROM by_model m LEFT JOIN rates r ON r.model = m.model),
 usage_sums AS (SELECT window_key, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(cache_creation) AS BIGINT) AS cache_creation, CAST(sum(cache_read) AS BIGINT) AS cache_read,
-    CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(turns) AS BIGINT) AS turns, sum(cost_usd) AS cost, sum(cost_uncached_usd) AS plain,
+    CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(turns) AS BIGINT) AS turns, sum(cost_micro) AS cost, sum(plain_micro) AS plain,
     coalesce(string_agg(CASE WHEN NOT priced THEN model END, ',' ORDER BY model), '') AS unpriced_models FROM costed GROUP BY window_key)"""
 
 
@@ -169,8 +174,8 @@ years AS (SELECT 'y' || y AS window_key, epoch_us(make_timestamp(y, 1, 1, 0, 0,
 in_year AS (SELECT * FROM repos JOIN years ON ts_us >= since_us AND ts_us < until_us),
 cm AS (SELECT window_key, repo, count(*) AS commits, string_agg(CASE WHEN r <= 3 THEN 'order ' || o_orderkey END, ' | ' ORDER BY r) AS newest FROM (
   SELECT *, row_number() OVER (PARTITION BY window_key, repo ORDER BY ts_us DESC, 'order ' || o_orderkey) AS r FROM in_year WHERE o_orderstatus <> 'P') GROUP BY ALL),
-mr AS (SELECT window_key, repo, count(DISTINCT CASE WHEN o_orderkey % 9 <> 0 THEN o_orderkey // 4 END) + count(*) FILTER (o_orderkey % 9 = 0) AS merged FROM in_year WHERE o_orderkey % 3 = 0 GROUP BY ALL),
-rl AS (SELECT window_key, repo, count(*) AS releases, string_agg('v' || o_orderkey, ',' ORDER BY 'v' || o_orderkey) AS tags FROM in_year WHERE o_orderkey % 50 = 1 AND o_orderstatus <> 'F' GROUP BY ALL),
+mr AS (SELECT window_key, repo, count(DISTINCT CASE WHEN o_orderkey % 9 <> 0 THEN o_orderkey // 4 END) + count(*) FILTER (o_orderkey % 9 = 0) AS merged FROM in_year GROUP BY ALL),
+rl AS (SELECT window_key, repo, count(*) AS releases, string_agg('v' || o_orderkey, ',' ORDER BY 'v' || o_orderkey) AS tags FROM in_year WHERE o_orderstatus <> 'F' GROUP BY ALL),
 repo_rows AS (SELECT *, row_number() OVER (PARTITION BY window_key ORDER BY commits DESC, repo) AS rank FROM (
   SELECT window_key, repo, coalesce(commits, 0) AS commits, coalesce(newest, '') AS newest, coalesce(merged, 0) AS merged, coalesce(releases, 0) AS releases, coalesce(tags, '') AS tags
   FROM cm FULL JOIN mr USING (window_key, repo) FULL JOIN rl USING (window_key, repo)))"""
@@ -205,9 +210,9 @@ ORACLE: dict[str, str] = {
     "label_distribution": base() + f""" SELECT area, string_agg(DISTINCT project, ',' ORDER BY project) AS projects, count(*) AS sessions FROM (SELECT project, {" ".join(["CASE project", *[f"WHEN '{p}' THEN '{a}'" for p, a in _AREAS.items()], "ELSE 'coding' END"])} AS area FROM sessions) GROUP BY area""",
     "usage_by_model_window": f"WITH {usage()} SELECT * FROM by_model",
     "usage_merged_by_agent": f"WITH {usage()} SELECT * FROM by_model",
-    "usage_cost_by_model": f"WITH {usage()} SELECT window_key, model, round(cost_usd, 6) AS cost_usd, round(cost_uncached_usd, 6) AS cost_uncached_usd, priced FROM costed",
+    "usage_cost_by_model": f"WITH {usage()} SELECT window_key, model, {_usd("cost_micro")} AS cost_usd, {_usd("plain_micro")} AS cost_uncached_usd, priced FROM costed",
     "usage_cost_totals": f"""WITH {usage()} SELECT window_key, input_tokens, cache_creation, cache_read, output_tokens, turns, input_tokens + cache_creation + cache_read + output_tokens AS total_tokens, unpriced_models,
- CASE WHEN input_tokens + cache_creation + cache_read > 0 THEN CAST(cache_read AS DOUBLE) / CAST(input_tokens + cache_creation + cache_read AS DOUBLE) ELSE 0.0 END AS cache_hit, round(cost, 6) AS cost_usd, round(plain, 6) AS cost_uncached_usd, round(plain - cost, 6) AS savings_usd FROM usage_sums""",
+ CASE WHEN input_tokens + cache_creation + cache_read > 0 THEN CAST(cache_read AS DOUBLE) / CAST(input_tokens + cache_creation + cache_read AS DOUBLE) ELSE 0.0 END AS cache_hit, {_usd("cost")} AS cost_usd, {_usd("plain")} AS cost_uncached_usd, {_usd("plain - cost")} AS savings_usd FROM usage_sums""",
     "usage_coverage": base() + " SELECT window_key, NOT bool_or(agent = 'agent_c') AS usage_complete, CASE WHEN bool_or(agent = 'agent_c') THEN 'agent_c' ELSE '' END AS partial_agents, '' AS unavailable_agents FROM slices GROUP BY ALL",
     "usage_step_dedup": f"WITH {usage()} SELECT agent AS session_id, count(*) AS steps, CAST(sum(k) AS BIGINT) AS input_tokens FROM raw_usage WHERE event_id % 3 <> 0 GROUP BY ALL",
     "cumulative_delta": f"WITH {SNAPSHOTS} SELECT branch, ts_us, model, 2 * d AS input_tokens, 2 * d AS cache_creation, d AS cache_read, 5 * d AS output_tokens FROM deltas WHERE d > 0",
@@ -227,14 +232,15 @@ ORACLE: dict[str, str] = {
  SELECT area, coalesce(max(minutes) FILTER (window_key = 'current'), 0.0) AS current_min, coalesce(max(minutes) FILTER (window_key = 'previous'), 0.0) AS previous_min FROM rollup_rows WHERE is_area GROUP BY area)""",
     "comparison_totals": base() + ", " + usage().split(",\n", 1)[1] + """ SELECT max(hours) FILTER (window_key = 'current') AS current_hours, max(o) FILTER (window_key = 'current') AS current_output_tokens, max(c) FILTER (window_key = 'current') AS current_cost_usd,
  max(hours) FILTER (window_key = 'previous') AS previous_hours, max(o) FILTER (window_key = 'previous') AS previous_output_tokens, max(c) FILTER (window_key = 'previous') AS previous_cost_usd
- FROM (SELECT t.window_key, wall_us / 3600000000.0::DOUBLE AS hours, u.output_tokens AS o, round(cost, 6) AS c FROM totals t JOIN usage_sums u ON u.window_key = t.window_key)""",
-    "trend_points": base(W4) + ", " + usage(W4).split(",\n", 1)[1] + """ SELECT w.window_key, CAST(w.ord AS INT) AS ord, coalesce(wall_us, 0) / 3600000000.0::DOUBLE AS hours, coalesce(output_tokens, 0) AS output_tokens, round(coalesce(cost, 0.0), 6) AS cost_usd,
- round(coalesce(cost, 0.0) / (3500.0::DOUBLE * 7.0::DOUBLE / 30.0::DOUBLE) * 100.0::DOUBLE, 6) AS quota_pct FROM windows w LEFT JOIN totals t ON t.window_key = w.window_key LEFT JOIN usage_sums u ON u.window_key = w.window_key""",
+ FROM (SELECT t.window_key, wall_us / 3600000000.0::DOUBLE AS hours, u.output_tokens AS o, """ + _usd("cost") + """ AS c FROM totals t JOIN usage_sums u ON u.window_key = t.window_key)""",
+    "trend_points": base(W4) + ", " + usage(W4).split(",\n", 1)[1] + """ SELECT w.window_key, CAST(w.ord AS INT) AS ord, coalesce(wall_us, 0) / 3600000000.0::DOUBLE AS hours, coalesce(output_tokens, 0) AS output_tokens, coalesce(""" + _usd("cost") + """, 0.0) AS cost_usd,
+ round(coalesce(CAST(cost AS DOUBLE) / 1e6, 0.0) / (3500.0::DOUBLE * 7.0::DOUBLE / 30.0::DOUBLE) * 100.0::DOUBLE, 6) AS quota_pct FROM windows w LEFT JOIN totals t ON t.window_key = w.window_key LEFT JOIN usage_sums u ON u.window_key = w.window_key""",
     "trend_matrix": rollup(W4) + " SELECT a.area, w.window_key, CAST(w.ord AS INT) AS ord, coalesce(r.minutes, 0.0) AS minutes FROM (SELECT DISTINCT area FROM rollup_rows) a CROSS JOIN windows w LEFT JOIN rollup_rows r ON r.area = a.area AND r.window_key = w.window_key AND r.is_area",
     "trend_change": rollup(W4) + """ SELECT area, window_key, minutes, previous, round(CASE WHEN previous > 0 THEN (minutes - previous) / previous * 100 END, 6) AS pct, round(mean, 6) AS mean FROM (
  SELECT *, lag(minutes) OVER (PARTITION BY area ORDER BY ord) AS previous, avg(minutes) OVER (PARTITION BY area) AS mean FROM (
  SELECT a.area, w.window_key, w.ord, coalesce(r.minutes, 0.0) AS minutes FROM (SELECT DISTINCT area FROM rollup_rows) a CROSS JOIN windows w LEFT JOIN rollup_rows r ON r.area = a.area AND r.window_key = w.window_key AND r.is_area))""",
     "goal_breakdown": goals() + " SELECT * FROM goal_rows",
+    "top_goals": goals() + " SELECT window_key, goal_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY window_key ORDER BY exclusive_us + shared_us DESC, goal_id) AS rank FROM goal_rows) WHERE rank <= 2",
     "goal_lanes": goals() + " SELECT window_key, CAST(sum(CASE WHEN n = 1 THEN amount ELSE 0 END) AS BIGINT) AS exclusive_us, CAST(sum(CASE WHEN n > 1 THEN amount ELSE 0 END) AS BIGINT) AS shared_us, CAST(sum(CASE WHEN n = 0 THEN amount ELSE 0 END) AS BIGINT) AS unattributed_us, CAST(sum(amount) AS BIGINT) AS covered_us FROM (SELECT DISTINCT window_key, project, local_date, amount, n FROM met) GROUP BY ALL",
     "goal_history": goals(W4) + """ SELECT g.window_key, goal_id, exclusive_us, shared_us, latest_date, exclusive_us * s / 3600000000.0::DOUBLE AS exclusive_hours, shared_us * s / 3600000000.0::DOUBLE AS shared_hours
  FROM (SELECT r.*, CASE WHEN coalesce(raw_us, 0) > 0 THEN CAST(wall_us AS DOUBLE) / CAST(raw_us AS DOUBLE) ELSE 1.0::DOUBLE END AS s FROM goal_rows r LEFT JOIN totals t ON t.window_key = r.window_key) g""",
@@ -256,6 +262,15 @@ ORACLE: dict[str, str] = {
  SELECT coalesce(a, b) AS session_id, CASE WHEN k THEN ts ELSE ss END AS summary, CASE WHEN k THEN tq ELSE sq END AS source, CASE WHEN k THEN te ELSE fp END AS evidence_fingerprint, CASE WHEN k THEN tt ELSE fp END AS observed_evidence_fingerprint, CASE WHEN k THEN tc ELSE sc END AS created_at FROM j""",
     "evidence_status": f"""WITH {SUMMARY}, st AS (SELECT session_id, source, CASE WHEN source = 'no_evidence' THEN 'unavailable' WHEN source <> 'generated' THEN 'not_applicable' WHEN evidence_fingerprint IN ('', 'legacy-unknown') THEN 'legacy'
  WHEN observed_evidence_fingerprint IN ('', 'unavailable') THEN 'unavailable' WHEN evidence_fingerprint = observed_evidence_fingerprint THEN 'current' ELSE 'stale' END AS status FROM summary_table) SELECT session_id, status, source = 'provided' OR (source = 'generated' AND status = 'current') AS eligible FROM st""",
+    "newest_generated": f"WITH {SUMMARY} SELECT session_id, n AS created_at FROM (SELECT *, row_number() OVER (ORDER BY n DESC, session_id DESC) AS r FROM summary_table WHERE source = 'generated') WHERE r <= 20",
+    "session_facts": """WITH t AS (SELECT *, CASE WHEN trim(text) <> '' THEN text END AS said, role = 'user' AND trim(coalesce(text, '')) <> '' AND NOT starts_with(coalesce(text, ''), '<') AND NOT contains(coalesce(text, ''), 'tool_use_id') AS real FROM conversations)
+ SELECT 'agent_a' AS agent, conv_id AS session_id, arg_min('/d' || turn, turn) FILTER (turn % 2 = 1) AS cwd, left(arg_min(said, turn) FILTER (real AND said IS NOT NULL), 200) AS first_user_text, arg_max(said, turn) FILTER (real AND said IS NOT NULL) AS latest_user_text,
+ arg_max(said, turn) FILTER (role = 'assistant' AND said IS NOT NULL) AS final_assistant_text FROM t GROUP BY conv_id""",
+    "price_changes": """WITH p AS (SELECT 'p' || p_partkey AS model, p_partkey % 10 AS k, p_partkey % 7 AS inp, p_partkey % 11 AS out, p_partkey % 5 AS cw, p_partkey % 3 AS cr FROM part),
+ o AS (SELECT * FROM p WHERE k <> 1), n AS (SELECT * REPLACE (inp + CASE WHEN k = 3 THEN 1 ELSE 0 END AS inp) FROM p WHERE k <> 2)
+ SELECT coalesce(o.model, n.model) AS model, CASE WHEN o.model IS NULL THEN 'added' WHEN n.model IS NULL THEN 'removed' ELSE 'changed' END AS change
+ FROM o FULL JOIN n ON o.model = n.model WHERE o.model IS NULL OR n.model IS NULL OR (o.inp, o.out, o.cw, o.cr) <> (n.inp, n.out, n.cw, n.cr)""",
+    "coverage_over_weeks": base(W4) + " SELECT DISTINCT agent, CASE agent WHEN 'agent_c' THEN 'partial' ELSE 'complete' END AS usage_coverage FROM slices",
     "refresh_worklist": f"""WITH {SUMMARY}, j AS (SELECT t.session_id, t.n, t.conv_id, CASE WHEN t.conv_id % 11 = 0 THEN 'unavailable' ELSE CAST(t.n AS VARCHAR) END AS seen, CASE WHEN t.conv_id % 7 <> 0 THEN t.source END AS source, t.conv_id % 3 AS version, t.evidence_fingerprint AS fp FROM summary_table t)
  SELECT session_id, n AS plan_rank, conv_id % 5 = 0 AS has_reason, row_number() OVER (ORDER BY conv_id % 5 <> 0, n, session_id) AS priority FROM j WHERE source IS NULL OR (source = 'no_evidence' AND seen <> 'unavailable') OR (source = 'extracted' AND seen <> 'unavailable')
  OR (source = 'generated' AND seen <> 'unavailable' AND (version < 2 OR fp = 'legacy-unknown' OR fp <> seen))""",

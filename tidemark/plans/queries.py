@@ -18,6 +18,7 @@ from tidemark.operators import rollup as U
 from tidemark.operators import sampling as S
 from tidemark.operators import summaries as M
 from tidemark.operators import usage as K
+from tidemark.operators.lineage import numbered
 from tidemark.sources import bindings as B
 
 WIDE_CAP_US = 21_600_000_000
@@ -173,8 +174,7 @@ def project_names(spark, sf_dir):
 def duplicate_memberships(spark, sf_dir):
     """Parts of project names that several folders share: needles that would be in more than one area."""
     parts = B.activity(spark, sf_dir).select("project_raw", F.explode(F.split(T.project_name(F.col("project_raw")), "-")).alias("needle")).distinct()
-    priority = F.dense_rank().over(W.orderBy("project_raw"))
-    areas = parts.select("project_raw").distinct().withColumn("priority", priority)
+    areas = numbered(parts.select("project_raw").distinct(), ["project_raw"], "priority")
     return C.duplicate_memberships(parts.join(F.broadcast(areas), "project_raw").select("needle", F.col("project_raw").alias("area"), "priority"))
 
 
@@ -214,13 +214,13 @@ def usage_merged_by_agent(spark, sf_dir):
 
 @query
 def usage_cost_by_model(spark, sf_dir):
-    return _costed(spark, sf_dir).select("window_key", "model", F.round("cost_usd", 6).alias("cost_usd"), F.round("cost_uncached_usd", 6).alias("cost_uncached_usd"), "priced")
+    return _costed(spark, sf_dir).select("window_key", "model", K.rounded("cost_usd"), K.rounded("cost_uncached_usd"), "priced")
 
 
 @query
 def usage_cost_totals(spark, sf_dir):
     t = K.usage_totals(_costed(spark, sf_dir))
-    return t.select("window_key", *K.COUNTERS, "turns", "total_tokens", "unpriced_models", "cache_hit", *[F.round(c, 6).alias(c) for c in ("cost_usd", "cost_uncached_usd", "savings_usd")])
+    return t.select("window_key", *K.COUNTERS, "turns", "total_tokens", "unpriced_models", "cache_hit", *[K.rounded(c) for c in ("cost_usd", "cost_uncached_usd", "savings_usd")])
 
 
 @query
@@ -306,7 +306,7 @@ def period_comparison(spark, sf_dir):
 def comparison_totals(spark, sf_dir):
     """Hours, output tokens and cost of both windows side by side."""
     t = A.window_totals(_clipped(spark, sf_dir)).select("window_key", (F.col("wall_us") / 3.6e9).alias("hours"))
-    u = K.usage_totals(_costed(spark, sf_dir)).select("window_key", "output_tokens", F.round("cost_usd", 6).alias("cost_usd"))
+    u = K.usage_totals(_costed(spark, sf_dir)).select("window_key", "output_tokens", K.rounded("cost_usd"))
     both = t.join(u, "window_key")
     pick = lambda k, p: both.where(F.col("window_key") == k).select(*[F.col(c).alias(f"{p}_{c}") for c in ("hours", "output_tokens", "cost_usd")])
     return pick("current", "current").join(F.broadcast(pick("previous", "previous")), F.lit(True))
@@ -316,7 +316,7 @@ def comparison_totals(spark, sf_dir):
 def trend_points(spark, sf_dir):
     w = B.weekly(spark)
     got = U.trend_points(w, A.window_totals(_clipped(spark, sf_dir, w)), K.usage_totals(_costed(spark, sf_dir, w)))
-    return got.select("window_key", "ord", "hours", "output_tokens", F.round("cost_usd", 6).alias("cost_usd"), F.round("quota_pct", 6).alias("quota_pct"))
+    return got.select("window_key", "ord", "hours", "output_tokens", K.rounded("cost_usd"), F.round("quota_pct", 6).alias("quota_pct"))
 
 
 @query
@@ -348,6 +348,12 @@ def goal_breakdown(spark, sf_dir):
     return G.goal_breakdown(attributed, goals, B.windows(spark), B.ZONE)
 
 
+@query
+def top_goals(spark, sf_dir):
+    attributed, goals = _attributed(spark, sf_dir, B.windows(spark))
+    return G.top_goals(G.goal_breakdown(attributed, goals, B.windows(spark), B.ZONE), 2).select("window_key", "goal_id", F.col("rank").cast("long").alias("rank"))
+
+
 @query
 def goal_lanes(spark, sf_dir):
     attributed, _ = _attributed(spark, sf_dir, B.windows(spark))
@@ -476,6 +482,18 @@ def evidence_status(spark, sf_dir):
     return _summary_table(spark, sf_dir).select("session_id", M.evidence_status().alias("status"), M.eligible().alias("eligible"))
 
 
+@query
+def newest_generated(spark, sf_dir):
+    return M.newest_generated(_summary_table(spark, sf_dir).withColumn("created_at", F.col("n")), 20)
+
+
+@query
+def session_facts(spark, sf_dir):
+    """First, latest and final texts of conversations."""
+    rows = B.turns(spark, sf_dir).select(F.lit("agent_a").alias("agent"), F.col("conv_id").alias("session_id"), F.lit("f").alias("path"), F.col("turn").alias("line_no"), "role", "text", "is_real_user", F.when(F.col("turn") % 2 == 1, F.concat(F.lit("/d"), F.col("turn"))).alias("cwd"), F.lit(False).alias("is_subagent"))
+    return A.session_facts(rows)
+
+
 @query
 def refresh_worklist(spark, sf_dir):
     table = _summary_table(spark, sf_dir)
@@ -519,8 +537,8 @@ def _repo_inputs(spark, sf_dir):
     o = B.table(spark, sf_dir, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey"))
     o = o.select("repo", "o_orderkey", epoch_us("o_orderdate").alias("ts_us"), "o_orderstatus")
     c = o.select("repo", F.concat(F.lit("order "), F.col("o_orderkey")).alias("subject"), "ts_us", (F.col("o_orderstatus") == "P").alias("is_merge"))
-    m = o.where("o_orderkey % 3 = 0").select("repo", F.when(F.col("o_orderkey") % 9 != 0, F.expr("o_orderkey div 4")).alias("number"), F.col("ts_us").alias("merged_us"))
-    r = o.where("o_orderkey % 50 = 1").select("repo", F.concat(F.lit("v"), F.col("o_orderkey")).alias("tag"), F.col("ts_us").alias("published_us"), (F.col("o_orderstatus") == "F").alias("draft"))
+    m = o.select("repo", F.when(F.col("o_orderkey") % 9 != 0, F.expr("o_orderkey div 4")).alias("number"), F.col("ts_us").alias("merged_us"))
+    r = o.select("repo", F.concat(F.lit("v"), F.col("o_orderkey")).alias("tag"), F.col("ts_us").alias("published_us"), (F.col("o_orderstatus") == "F").alias("draft"))
     return c, m, r
 
 

@@ -18,7 +18,7 @@ from tidemark.functions.text import file_stem, is_narrative, is_real_user, strip
 from tidemark.functions.time import parse_iso
 from tidemark.operators import usage as K
 
-MESSAGES = ["agent", "session_id", "path", "line_no", "ts_us", "is_activity", "counts_msg", "is_real_user", "text", "narrative", "cwd", "is_subagent"]
+MESSAGES = ["agent", "session_id", "path", "line_no", "ts_us", "is_activity", "counts_msg", "is_real_user", "text", "narrative", "cwd", "is_subagent", "is_scheduled"]
 
 
 def raw_lines(spark: SparkSession, paths: list[str], recursive: bool = False, modified_after: str | None = None, name: str = "*.jsonl") -> DataFrame:
@@ -74,11 +74,14 @@ def message_log(lines: DataFrame) -> DataFrame:
     rows = lines.where(F.col("v").isNotNull()).withColumn("type", _text("$.type")).where(F.col("type").isin("user", "assistant"))
     text = F.coalesce(content_text("$.message.content", False), F.lit(""))
     sub = F.array_contains(F.split("path", "/"), "subagents")
+    opening = F.first(F.when((F.col("type") == "user") & (F.trim(text) != ""), text), ignorenulls=True)
+    opening = opening.over(W.partitionBy("path").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     return rows.select(
         F.lit("agent_a").alias("agent"), file_stem(F.col("path")).alias("session_id"), "path", "line_no", parse_iso(_text("$.timestamp")).alias("ts_us"),
         F.lit(True).alias("is_activity"), F.lit(True).alias("counts_msg"), ((F.col("type") == "user") & is_real_user(text)).alias("is_real_user"),
         text.alias("text"), is_narrative(text).alias("narrative"), _text("$.cwd").alias("cwd"), sub.alias("is_subagent"),
         F.regexp_extract("path", r"projects/([^/]+)/", 1).alias("project_raw"), F.col("type").alias("role"),
+        F.coalesce(opening.startswith("<scheduled-task"), F.lit(False)).alias("is_scheduled"),
     )
 
 
@@ -109,7 +112,7 @@ def rollout_log(lines: DataFrame) -> DataFrame:
     return rows.select(
         F.lit("agent_b").alias("agent"), "session_id", "path", "line_no", parse_iso(_text("$.timestamp")).alias("ts_us"), F.coalesce(item | event & F.col("kind").isin("user_message", "agent_message"), F.lit(False)).alias("is_activity"),
         F.coalesce(counts, F.lit(False)).alias("counts_msg"), F.coalesce(user & (F.trim(said) != ""), F.lit(False)).alias("is_real_user"), said.alias("text"), is_narrative(said).alias("narrative"), _text("$.payload.cwd").alias("cwd"), "is_subagent",
-        F.lit(None).cast("string").alias("project_raw"), F.when(user, "user").otherwise(F.col("role")).alias("role"),
+        F.lit(None).cast("string").alias("project_raw"), F.when(user, "user").otherwise(F.col("role")).alias("role"), F.lit(False).alias("is_scheduled"),
     )
 
 
@@ -140,7 +143,7 @@ def step_log(lines: DataFrame) -> DataFrame:
     return rows.select(
         F.lit("agent_c").alias("agent"), "session_id", "path", "line_no", parse_iso(_text("$.created_at")).alias("ts_us"), F.lit(True).alias("is_activity"), (F.col("user") | answer).alias("counts_msg"),
         (F.col("user") & is_real_user(F.col("said"))).alias("is_real_user"), F.col("said").alias("text"), is_narrative(F.col("said")).alias("narrative"), F.lit(None).cast("string").alias("cwd"), F.lit(False).alias("is_subagent"),
-        F.lit(None).cast("string").alias("project_raw"), F.when(F.col("user"), "user").when(answer, "assistant").alias("role"),
+        F.lit(None).cast("string").alias("project_raw"), F.when(F.col("user"), "user").when(answer, "assistant").alias("role"), F.lit(False).alias("is_scheduled"),
     )
 
 
