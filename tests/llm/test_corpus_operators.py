@@ -236,6 +236,16 @@ def test_languages(spark):
     assert langid.fit(labelled.limit(0)).languages == []
 
 
+def test_many_languages_and_letterless_texts(spark):
+    letters = [chr(0x4E00 + 3 * i) + chr(0x4E01 + 3 * i) + chr(0x4E02 + 3 * i) for i in range(70)]
+    rows = [(i, " ".join([letters[i], letters[i][::-1]] * 6), f"l{i:02d}") for i in range(70)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    filters = langid.fit(table)
+    assert {r.doc_id: r.lang_pred for r in langid.identify(table, filters).collect()} == {i: lang for i, _, lang in rows}
+    bare = spark.createDataFrame([(1, "12 34", "xx"), (2, "", "yy")], "doc_id long, text string, lang string")
+    assert [r.lang_pred for r in langid.identify(table, langid.fit(bare)).limit(2).collect()] == ["und", "und"]
+
+
 def test_toxicity(spark):
     rng = random.Random(9)
     words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(400)]
@@ -302,6 +312,15 @@ def test_main_text(spark, monkeypatch, broadcast):
     assert (got[6].text, got[7].text, got[8].text, got[8].n_chars) == ("", "", "Only this", 9)
 
 
+def test_article_keeps_its_parts(spark):
+    page = '<main><h1>T</h1><div class="related-work"><p>Kept one</p></div><section class="alert">Kept two</section><div class="comments">No</div><div class="ad-box">No</div></main>'
+    rows = spark.createDataFrame([(1, "http://a.b/c", page), (1, "http://a.b/c", page), (2, None, "<p>" + "long " * 50000), (None, "http://a.b/d", None)], "page_id long, url string, html string").withColumn("text", F.lit(0))
+    got = html_main.main_text(rows).collect()
+    assert sorted((r.page_id or 0, r.n_chars) for r in got) == [(0, 0), (1, 19), (1, 19), (2, 249999)]
+    assert {r.text for r in got if r.page_id == 1} == {"T Kept one Kept two"}
+    assert html_main.main_text(rows.limit(0)).count() == 0
+
+
 def test_decontamination(spark):
     texts = corpus(10, 80)
     rng = random.Random(11)

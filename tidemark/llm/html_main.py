@@ -38,6 +38,12 @@ _JUNK = re.compile(
     r"masthead|topbar|comments?|commentlist|disqus|respond|repl(?:y|ies)|discussion|related|recommend\w*|shar(?:e|ing)|social|widgets?|pagination|pager|login|search|toolbar|complementary|contentinfo|alert)(?:$|[-_\s\d])",
     re.I,
 )
+#: Inside article and main elements only these are no text of the article.
+_JUNK_INSIDE = re.compile(
+    r"(?:^|[-_\s])(?:ads?|advert\w*|banners?|promo\w*|sponsor\w*|cookies?|consent|notices?|newsletter|subscri\w+|signup|sidebars?|menus?|nav|navbar|navigation|breadcrumbs?|"
+    r"comments?|commentlist|disqus|respond|repl(?:y|ies)|shar(?:e|ing)|social|pagination|pager|login)(?:$|[-_\s\d])",
+    re.I,
+)
 _HEADER = re.compile(r"(?:^|[-_\s])(?:header|banner)(?:$|[-_\s\d])", re.I)
 _DIGITS = re.compile(r"\d+")
 #: Hosts whose paths may be broadcast (about 100 bytes each); more are joined over salted hosts.
@@ -118,7 +124,7 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
         else:
             kind, marks, hidden = "", "", False
         if not junk:
-            junk = hidden or tag in JUNK_TAGS or bool(marks and _JUNK.search(marks) and not (tag in ("body", "html", "main", "article") and not re.search(r"comment|repl", marks, re.I)))
+            junk = hidden or tag in JUNK_TAGS or bool(marks and (_JUNK_INSIDE if main else _JUNK).search(marks) and not (tag in ("body", "html", "main", "article") and not re.search(r"comment|repl", marks, re.I)))
             junk = junk or not main and (tag == "header" or bool(marks and _HEADER.search(marks)) and tag not in ("body", "html"))
         if tag in CONTAINERS and not main:
             name = ".".join([tag, *sorted(_DIGITS.sub("#", kind).split())])

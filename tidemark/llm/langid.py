@@ -1,7 +1,7 @@
 """Language identification by bit-sliced Bloom filters of character trigrams.
 
-Each filter slot holds one bit per language, so one probe of a trigram's slots returns the
-mask of all languages that contain it. A text's hits per language are popcounts over its
+Each filter slot holds one bit per language (in words of 64), so one probe of a trigram's slots
+returns the mask of all languages that contain it. A text's hits per language are popcounts over its
 trigrams, less the hits that the language's filter gives by chance.
 """
 
@@ -17,7 +17,6 @@ from tidemark.llm.words import mix
 
 SLOTS = 1 << 17
 PROBES = 2
-MOST_LANGUAGES = 64
 #: A trigram belongs to a language from this share of the language's trigrams on ...
 LEAST_SHARE = 5e-5
 #: ... if that share is at least this part of the largest share in any language.
@@ -61,14 +60,20 @@ def _sums(values: np.ndarray, offs: np.ndarray) -> np.ndarray:
 class Filters:
     """The fitted filters: languages, slots (a bit per language) and each language's chance hit rate."""
 
-    def __init__(self, languages: list[str], grams: np.ndarray, masks: np.ndarray):
+    def __init__(self, languages: list[str], grams: np.ndarray, owners: np.ndarray):
+        """grams: trigrams of the languages whose numbers are in owners."""
         self.languages = languages
-        self.slots = np.zeros(SLOTS, np.uint64)
+        self.slots = np.zeros((-(-len(languages) // 64), SLOTS), np.uint64)
+        bits = np.uint64(1) << (owners % 64).astype(np.uint64)
         for probe in self._probes(grams):
-            np.bitwise_or.at(self.slots, probe, masks)
-        fill = np.array([((self.slots >> np.uint64(i)) & np.uint64(1)).mean() for i in range(len(languages))])
+            np.bitwise_or.at(self.slots, (owners // 64, probe), bits)
+        fill = np.array([self._bit(self.slots, i).mean() for i in range(len(languages))])
         self.chance = fill**PROBES
 
+    @staticmethod
+    def _bit(masks: np.ndarray, language: int) -> np.ndarray:
+        return (masks[language // 64] >> np.uint64(language % 64)) & np.uint64(1)
+
     @staticmethod
     def _probes(grams: np.ndarray) -> list[np.ndarray]:
         return [((grams >> np.uint64(17 * i)) & np.uint64(SLOTS - 1)).astype(np.int64) for i in range(PROBES)]
@@ -77,10 +82,10 @@ class Filters:
         grams, offs, n = trigrams(texts)
         if not self.languages:
             return ["und"] * len(texts), np.zeros(len(texts))
-        masks = self.slots[self._probes(grams)[0]]
+        masks = self.slots[:, self._probes(grams)[0]]
         for probe in self._probes(grams)[1:]:
-            masks &= self.slots[probe]
-        hits = np.stack([_sums(((masks >> np.uint64(i)) & np.uint64(1)).astype(np.int64), offs) for i in range(len(self.languages))])
+            masks &= self.slots[:, probe]
+        hits = np.stack([_sums(self._bit(masks, i).astype(np.int64), offs) for i in range(len(self.languages))])
         real = np.maximum((hits - self.chance[:, None] * n) / (1 - np.minimum(self.chance, 0.999))[:, None], 0)
         best = real.argmax(0)
         total = real.sum(0)
@@ -93,20 +98,18 @@ class Filters:
 def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample: int = SAMPLE_PER_LANGUAGE) -> Filters:
     """Fit on at most about `sample` texts of each language, chosen by a hash of the row id.
 
-    Rows without text or language teach nothing. The driver receives the trigrams above
-    LEAST_SHARE, at most 1 / LEAST_SHARE of each of at most MOST_LANGUAGES languages.
+    Rows without text or language teach nothing, nor do texts without a letter; if nothing is
+    learned, every text is `und`. The driver receives the trigrams above LEAST_SHARE, at most
+    1 / LEAST_SHARE of each language.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().limit(MOST_LANGUAGES + 1).collect()}
-    if not counts:  # nothing to learn: every text is `und`
-        return Filters([], np.zeros(0, np.uint64), np.zeros(0, np.uint64))
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"at most {MOST_LANGUAGES} languages can be learned")
+    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
+    nothing = Filters([], np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    if not counts:
+        return nothing
     languages = sorted(counts)
-    keep = F.lit(False)
-    for name in languages:
-        part = min(1.0, sample / counts[name])
-        keep = keep | ((F.col(lang_col) == name) & (F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)) < int(part * (1 << 20))))
+    parts = F.create_map(*[F.lit(x) for name in languages for x in (name, int(min(1.0, sample / counts[name]) * (1 << 20)))])
+    keep = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)) < parts[F.col(lang_col)]
     number = {name: i for i, name in enumerate(languages)}
 
     def count(batches):
@@ -128,12 +131,14 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_
 
     grams = cut(grams)
     totals = {r[0]: r[1] for r in grams.groupBy("lang").agg(F.sum("n")).collect()}
+    if not totals:
+        return nothing
     total = F.create_map(*[F.lit(x) for pair in totals.items() for x in pair])
     shares = grams.withColumn("share", F.col("n") / total[F.col("lang")]).where(F.col("share") >= LEAST_SHARE)
     largest = shares.groupBy("gram").agg(F.collect_list(F.struct("lang", "share")).alias("langs"), F.max("share").alias("top"))
     kept = largest.select("gram", F.explode("langs").alias("l"), "top").where(F.col("l.share") >= F.col("top") * LEAST_OF_LARGEST)
-    masks = kept.groupBy("gram").agg(F.expr("bit_or(shiftleft(cast(1 as bigint), cast(l.lang as int)))").alias("mask")).collect()
-    return Filters(languages, np.array([r.gram for r in masks], np.int64).view(np.uint64), np.array([r.mask for r in masks], np.int64).view(np.uint64))
+    found = kept.select("gram", F.col("l.lang").alias("lang")).collect()
+    return Filters(languages, np.array([r.gram for r in found], np.int64).view(np.uint64), np.array([r.lang for r in found], np.int64))
 
 
 def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -87,5 +87,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_media_sequences": op10_media_sequences,
 }
 
-#: None of the ten can be said in SQL; tests hold them against brute force.
-ORACLE: dict[str, str] = {}
+#: The others learn, search or encode by means that SQL lacks; tests hold them against libraries or brute force.
+ORACLE: dict[str, str] = {
+    "op6_substring_dedup": r"""WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+ starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS pos FROM texts),
+ windows AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY array_to_string(ws[pos:pos + 19], ' ') ORDER BY doc_id, pos) AS nth FROM starts),
+ gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS pos FROM windows WHERE nth > 1),
+ words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM texts),
+ kept AS (SELECT w.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY w.pos) AS text FROM words w ANTI JOIN gone g ON g.doc_id = w.doc_id AND g.pos = w.pos GROUP BY w.doc_id)
+ SELECT t.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256 FROM texts t LEFT JOIN kept k ON k.doc_id = t.doc_id""",
+}
