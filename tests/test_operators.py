@@ -295,3 +295,57 @@ def test_streaming_total(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert one(spark.table("running")).active_us == 150 * S1
+
+
+def plain_batch_excerpt(blocks, most):
+    """The rule of batch_excerpt, step by step, for blocks [(role, text)] of normal texts."""
+    def short(text, n):
+        if len(text) <= n or n <= 0:
+            return text if n > 0 else ""
+        if n < 3:
+            return text[-1:] if n == 1 else text[0] + text[-1]
+        head = max(1, (n - 1) // 2)
+        return text[:head] + "…" + text[-(n - head - 1):]
+
+    users, ends = [b for b in blocks if b[0] != "ASSISTANT END"], [b for b in blocks if b[0] == "ASSISTANT END"]
+    kept = users[:1] + [b for b in users[-1:] if b != users[0]] + ends[-1:]
+    least = lambda b: min(len(b[1]), 3 if b[0] == "ASSISTANT END" else 1)
+    marks = lambda bs: sum(len(b[0]) + 3 for b in bs) + 2 * (len(bs) - 1)
+    while marks(kept) + sum(map(least, kept)) > most:
+        users = [b for b in kept if b[0] != "ASSISTANT END"]
+        if not users:
+            return short(ends[-1][1], most)
+        kept.remove(users[-1])
+        if not kept:
+            return None
+    weight = [2 if b[0] == "ASSISTANT END" else 1 for b in kept]
+    size = [least(b) for b in kept]
+    spare = most - marks(kept) - sum(size)
+    size = [n + min(spare * w // sum(weight), len(b[1]) - n) for n, w, b in zip(size, weight, kept)]
+    spare = most - marks(kept) - sum(size)
+    for i in sorted(range(len(kept)), key=lambda i: -weight[i]):
+        more = min(spare, len(kept[i][1]) - size[i])
+        size[i], spare = size[i] + more, spare - more
+    return "\n\n".join(f"[{r}]\n{short(t, n)}" for (r, t), n in zip(kept, size))
+
+
+@pytest.mark.parametrize("most", [1, 2, 20, 25, 40, 47, 60, 90, 200, 700])
+def test_batch_excerpt(spark, most):
+    texts = ["a" * 5, "bc" * 40, "d", "efg" * 100]
+    cases = [[("USER 1", u), ("USER 2", v), ("USER LATE", w), ("ASSISTANT END", a)] for u in texts for v in texts[:1] for w in texts for a in texts]
+    cases += [[("USER 1", u), ("ASSISTANT END", a)] for u in texts for a in texts] + [[("ASSISTANT END", a)] for a in texts] + [[("USER 1", u)] for u in texts]
+    rows = [(i, "\n\n".join(f"[{r}]\n{t}" for r, t in c)) for i, c in enumerate(cases)] + [(-1, ""), (-2, None)]
+    df = spark.createDataFrame(rows, "i int, e string").repartition(3)
+    got = {r.i: r.x for r in df.select("i", T.batch_excerpt(F.col("e"), most).alias("x")).collect()}
+    assert got[-1] == got[-2] == ""
+    for i, c in enumerate(cases):
+        want = plain_batch_excerpt(c, most)
+        assert len(got[i]) <= most and (want is None or got[i] == want), (c, most)
+
+
+def test_inherited_prefix_passes_by(spark):
+    row = lambda b, t, v: (b, t, v, 0, 0, 0)
+    values = {"a": [1, 2, 1, 3, 5], "b": [2, 3, 4], "c": [1, 1, 3, 5, 5], "d": [9, 1]}
+    snaps = spark.createDataFrame([row(b, t, v) for b, vs in values.items() for t, v in enumerate(vs)], ["branch", "ts_us", *K.TOTALS])
+    line = spark.createDataFrame([(b, "a") for b in "bcd"], ["branch", "ancestor"])
+    assert dict(map(tuple, K.inherited_prefix(snaps, line).collect())) == {"b": 2, "c": 4, "d": 0}

@@ -16,6 +16,7 @@ SALIENCE = {
 }
 USER_HEAD, USER_TAIL, ASSISTANT_TAIL = 3, 2, 1
 USER_CHARS, ASSISTANT_CHARS = 500, 300
+BATCH_CHARS = 700
 _MARKER = r"(?m)^(\s*(?:\[(?:USER \d+|USER LATE|ASSISTANT END)\]|\.\.\.)\s*$)"
 
 
@@ -98,6 +99,68 @@ def excerpt_blocks(text: Column) -> Column:
     return F.transform(pieces, lambda p: F.struct(F.regexp_extract(p, r"^\[([^\]]*)\]", 1).alias("role"), F.trim(F.regexp_replace(p, r"^\[[^\]]*\]\n", "")).alias("text")))
 
 
+def shortened(text: Column, budget: Column) -> Column:
+    """As `compact`, for evidence text that is already normal and a budget that is a column."""
+    head = F.greatest(F.lit(1), F.floor((budget - 1) / 2).cast("int"))
+    cut = F.concat(F.left(text, head), F.lit("…"), F.right(text, (budget - head - 1).cast("int")))
+    two = F.concat(F.left(text, F.lit(1)), F.right(text, F.lit(1)))
+    short = F.when(budget <= 0, "").when(budget == 1, F.right(text, F.lit(1))).when(budget == 2, two).otherwise(cut)
+    return F.when(F.length(text) <= budget, text).otherwise(short)
+
+
+def batch_excerpt(text: Column, budget: int = BATCH_CHARS) -> Column:
+    """An excerpt's first and latest user message and its last answer within `budget` characters.
+
+    What the marks leave is shared 1:1:2; room a block doesn't need goes to the answer, then to the
+    messages in order. If the least of each (1, 1 and 3 characters) doesn't fit, the latest message
+    goes first, then the first one; at last the answer stands without its mark.
+    """
+    bound = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    is_end = lambda b: b.role == "ASSISTANT END"
+    least = lambda b: F.least(F.length(b.text), F.when(is_end(b), 3).otherwise(1))
+    marks = lambda bs: F.aggregate(bs, F.lit(0), lambda n, b: n + F.length(b.role) + 3) + 2 * F.greatest(F.lit(0), F.size(bs) - 1)
+    fits = lambda bs: (F.size(bs) > 0) & (marks(bs) + F.aggregate(bs, F.lit(0), lambda n, b: n + least(b)) <= budget)
+    some = lambda *bs: F.filter(F.array(*bs), lambda b: b.isNotNull())
+
+    def share(bs: Column) -> Column:
+        # the answer comes first, as it is the first to get what others leave
+        spare = budget - marks(bs) - F.aggregate(bs, F.lit(0), lambda n, b: n + least(b))
+        weights = F.aggregate(bs, F.lit(0), lambda n, b: n + F.when(is_end(b), 2).otherwise(1))
+
+        def first(spare_and_weights: Column) -> Column:
+            own = lambda b: F.floor(spare_and_weights.spare * F.when(is_end(b), 2).otherwise(1) / spare_and_weights.weights).cast("int")
+            return F.transform(bs, lambda b: F.struct(b.alias("b"), (least(b) + F.least(own(b), F.length(b.text) - least(b))).alias("n")))
+
+        def rest(dealt: Column) -> Column:
+            left = budget - marks(bs) - F.aggregate(dealt, F.lit(0), lambda n, d: n + d.n)
+            room = lambda i: F.aggregate(F.slice(dealt, F.lit(1), i), F.lit(0), lambda n, d: n + F.length(d.b.text) - d.n)
+            more = lambda d, i: F.least(F.length(d.b.text) - d.n, F.greatest(F.lit(0), left - room(i)))
+            return F.transform(dealt, lambda d, i: F.concat(F.lit("["), d.b.role, F.lit("]\n"), shortened(d.b.text, d.n + more(d, i))))
+
+        parts = bound(bound(F.struct(spare.alias("spare"), weights.alias("weights")), first), rest)
+        in_order = lambda p: F.when(is_end(bs[0]), F.concat(F.slice(p, 2, 2), F.slice(p, 1, 1))).otherwise(p)
+        return F.array_join(bound(parts, in_order), "\n\n")
+
+    def chosen(blocks: Column) -> Column:
+        users = F.filter(blocks, lambda b: b.role.startswith("USER"))
+        end = F.try_element_at(F.filter(blocks, is_end), F.lit(-1))
+        early, late = F.try_element_at(users, F.lit(1)), F.try_element_at(users, F.lit(-1))
+        return F.struct(some(end, early, F.when(late != early, late)).alias("three"), some(end, early).alias("two"), some(end).alias("one"))
+
+    def made(c: Column) -> Column:
+        kept = F.when(fits(c.three), c.three).when(fits(c.two), c.two).when(fits(c.one), c.one)
+        bare = F.coalesce(F.get(c.one, F.lit(0)).text, evidence_text(text))
+        return bound(kept, lambda k: F.when(k.isNull(), shortened(bare, F.lit(budget))).otherwise(share(k)))
+
+    whole = bound(bound(excerpt_blocks(text), chosen), made)
+    return F.when((F.coalesce(text, F.lit("")) == "") | F.lit(budget <= 0), "").otherwise(whole)
+
+
+def provenance(source: Column, native: Column) -> Column:
+    """Where a session's shown text comes from: its summary's source, its native title or its first message."""
+    return F.coalesce(source, F.when(F.coalesce(native, F.lit("")) != "", "native_title").otherwise("first_message"))
+
+
 def narrative(text: Column) -> Column:
     """Fallback summary of an excerpt: the first user message, or both ends of the user's messages."""
     users = F.transform(F.filter(excerpt_blocks(text), lambda b: b.role.startswith("USER")), lambda b: b.text)

@@ -94,3 +94,18 @@ def shown_projects(rollup: DataFrame, n: int = 3) -> DataFrame:
     """The first n projects of each area and how many more there are."""
     own = rollup.where("not is_area").groupBy("window_key", "area").agg(F.sort_array(F.collect_list(F.struct((-F.col("minutes")).alias("m"), "project"))).alias("p"))
     return own.select("window_key", "area", F.array_join(F.transform(F.slice("p", 1, n), lambda r: r.project), ",").alias("projects"), F.greatest(F.lit(0), F.size("p") - n).alias("more"))
+
+
+def area_texts(rollup: DataFrame, tops: DataFrame, details: int = 4, projects: int = 3) -> DataFrame:
+    """A text for each area of a window that has no prose: counts, then its top sessions' summaries or its projects.
+
+    tops: window_key, area, rank, summary, which is null where a session has none that may be shown.
+    """
+    key = ["window_key", "area"]
+    told = tops.where("trim(summary) <> ''").groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("rank", F.trim("summary").alias("s")))).alias("t"))
+    own = rollup.where("not is_area").groupBy(*key).agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("minutes")).alias("m"), "project"))), 1, projects).alias("p"))
+    rows = rollup.where("is_area").select(*key, "sessions", "minutes").join(told, key, "left").join(own, key, "left")
+    names = F.concat(F.lit("Projects: "), F.array_join(F.transform("p", lambda r: r.project), ", "), F.lit("."))
+    lines = F.coalesce(F.transform(F.slice("t", 1, details), lambda r: r.s), F.array(F.coalesce(names, F.lit("No generated session summary was available."))))
+    head = F.concat("area", F.lit(": "), F.col("sessions").cast("string"), F.when(F.col("sessions") == 1, " session · ").otherwise(" sessions · "), F.bround("minutes").cast("long").cast("string"), F.lit(" active min.\n\n"))
+    return rows.select(*key, F.concat(head, F.array_join(F.transform(lines, lambda line: F.concat(F.lit("- "), line)), "\n")).alias("text"))

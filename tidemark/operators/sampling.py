@@ -56,55 +56,52 @@ def plan(sketches: DataFrame) -> DataFrame:
 def budgeted_plan(sketches: DataFrame, char_budget: int | None = None, max_selected: int | None = None) -> DataFrame:
     """The same passes under a budget of characters and a largest number of sessions, per window.
 
-    A session that doesn't fit is skipped and adds no reason; the scan goes on. Each window is
-    one group (the sessions of one report), folded in Python: the choice is sequential.
+    A session that doesn't fit is skipped and adds no reason; the scan goes on. The passes' offers
+    of a window are sorted by Spark and read as one stream, as each choice depends on those before;
+    only the chosen ids and covered days are held. Sessions of unknown size count as empty.
     """
     import pandas as pd
 
-    columns = ["window_key", "internal_id", "provider", "project", "local_day", "active_us", "start_us", "chars", "salience"]
-
-    def fold(table: pd.DataFrame) -> pd.DataFrame:
-        rows = table.sort_values(["active_us", "start_us", "provider", "internal_id"], ascending=[False, True, True, True], kind="stable").drop_duplicates("internal_id").reset_index(drop=True)
-        chosen: dict[str, list[str]] = {}
-        left = float("inf") if char_budget is None else char_budget
-        most = len(rows) if max_selected is None else max_selected
-
-        def offer(row, reason: str) -> bool:
-            nonlocal left
-            if row.internal_id not in chosen:
-                if len(chosen) >= most or row.chars > left:
-                    return False
-                chosen[row.internal_id] = []
-                left -= row.chars
-            if reason not in chosen[row.internal_id]:
-                chosen[row.internal_id].append(reason)
-            return True
-
-        def tops(by: str):
-            total = rows.groupby(by).active_us.sum()
-            for value in sorted(total.index, key=lambda v: (-total[v], v)):
-                yield value, next(rows[rows[by] == value].itertuples())
-
-        for _, row in tops("provider"):
-            offer(row, "provider_top")
-        for _, row in tops("project"):
-            offer(row, "project_top")
-        covered = set(rows[rows.internal_id.isin(list(chosen))].local_day)
-        for day, row in tops("local_day"):
-            if day not in covered and offer(row, "day_top"):
-                covered.add(day)
-        for code in SALIENCE:
-            for row in rows.itertuples():
-                if code in row.salience and row.internal_id not in chosen:
-                    offer(row, f"salience:{code}")
-                    break
-        for row in rows.itertuples():
-            if row.internal_id not in chosen:
-                offer(row, "budget_fill")
-        rank = {i: n + 1 for n, i in enumerate(rows.internal_id)}
-        return pd.DataFrame([(table.window_key.iloc[0], i, rank[i], ",".join(why)) for i, why in chosen.items()], columns=["window_key", "internal_id", "plan_rank", "reasons"])
-
-    return sketches.select(*columns).groupBy("window_key").applyInPandas(fold, "window_key string, internal_id string, plan_rank long, reasons string")
+    first_code, fill = 4, 4 + len(SALIENCE)
+    rows = cut(canonical(sketches).withColumn("chars", F.coalesce(F.col("chars").cast("long"), F.lit(0).cast("long"))))
+    own = rows.select("window_key", "internal_id", "local_day", "chars", "plan_rank", "salience")
+    tops = _tops(rows, "provider", "provider_top", 1).unionByName(_tops(rows, "project", "project_top", 2)).unionByName(_tops(rows, "local_day", "day_top", 3))
+    codes = F.array(*[F.struct(F.lit(c).alias("code"), F.lit(f"salience:{c}").alias("reason"), F.lit(first_code + i).alias("stage")) for i, c in enumerate(SALIENCE)])
+    again = F.concat(F.filter(codes, lambda c: F.array_contains("salience", c.code)), F.array(F.struct(F.lit(None).cast("string").alias("code"), F.lit("budget_fill").alias("reason"), F.lit(fill).alias("stage"))))
+    others = own.withColumn("o", F.explode(again)).withColumns({"reason": F.col("o.reason"), "stage": F.col("o.stage"), "pos": F.col("plan_rank")}).drop("o", "salience")
+    offers = tops.join(own.drop("salience"), ["window_key", "internal_id"]).unionByName(others)
+    order = ["window_key", "stage", "pos", "internal_id"]
+
+    def fold(batches):
+        window = object()
+        for batch in batches:
+            keep = []
+            for key, stage, name, day, chars in zip(batch.window_key, batch.stage, batch.internal_id, batch.local_day, batch.chars, strict=True):
+                if key != window:
+                    window, chosen, days, asked = key, set(), set(), set()
+                    left = float("inf") if char_budget is None else char_budget
+                    room = float("inf") if max_selected is None else max_selected
+                fits, known = chars <= left and room >= 1, name in chosen
+                if stage < first_code:
+                    take = (known or fits) and not (stage == 3 and day in days)
+                elif stage < fill:  # the first session with the code that isn't chosen is asked, no other
+                    take = not known and stage not in asked and fits
+                    if not known:
+                        asked.add(stage)
+                else:
+                    take = not known and fits
+                if take and not known:
+                    chosen.add(name)
+                    left, room = left - chars, room - 1
+                if take:
+                    days.add(day)
+                keep.append(take)
+            yield batch.loc[pd.Series(keep, index=batch.index, dtype=bool)]
+
+    taken = offers.select(*order, "plan_rank", "reason", "local_day", "chars").repartition("window_key").sortWithinPartitions(*order)
+    taken = taken.mapInPandas(fold, taken.schema)
+    why = F.transform(F.array_sort(F.collect_list(F.struct("stage", "pos", "reason"))), lambda r: r.reason)
+    return taken.groupBy("window_key", "internal_id").agg(F.min("plan_rank").cast("long").alias("plan_rank"), F.array_join(why, ",").alias("reasons"))
 
 
 def coverage_of(sketches: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -116,23 +113,62 @@ def coverage_of(sketches: DataFrame, chosen: DataFrame) -> DataFrame:
     return rows.groupBy("window_key").agg(F.count("*").alias("population"), F.count_if("_in").alias("selected"), *aggs)
 
 
+def plan_projection(sketches: DataFrame, chosen: DataFrame) -> DataFrame:
+    """What a plan did in each window, without ids: counts, targets and hits, reasons, whether all targets were hit.
+
+    reasons is a JSON object with a count for every code of the vocabulary, in order.
+    """
+    cover = coverage_of(sketches, chosen)
+    vocabulary = sorted(["provider_top", "project_top", "day_top", "budget_fill", *[f"salience:{c}" for c in SALIENCE]])
+    given = chosen.groupBy("window_key").agg(*[F.count_if(F.array_contains(F.split("reasons", ","), c)).alias(c) for c in vocabulary])
+    counts = F.to_json(F.struct(*[F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(c) for c in vocabulary]))
+    whole = " and ".join(f"{d}_hit >= {d}_target" for d in ("provider", "project", "local_day"))
+    out = cover.join(given, "window_key", "left").withColumn("reasons", counts).drop(*vocabulary)
+    return out.withColumn("unselected", F.col("population") - F.col("selected")).withColumn("coverage_complete", F.expr(whole))
+
+
 def budget_fit(items: DataFrame, budget: int, overhead: int = 0, by: tuple[str, ...] = ("group",), order: tuple[str, ...] = ("pos",), chars: str = "chars") -> DataFrame:
     """Items that fit a budget of characters per group, in order; one too large is skipped, not cut.
 
-    A fold over each group's ordered list of (order, chars), as one item's fate depends on those
-    before it. Groups are the prompts of one report.
+    Items without a group, place or size are left out. Each group is sorted by Spark and read as one
+    stream, as an item's fate depends on those before it; only what is left of the budget is held,
+    and items larger than the whole budget don't enter the sort.
     """
-    listed = items.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(chars).cast("long").alias("_chars")))).alias("l"))
-    start = F.struct(F.lit(int(budget)).cast("long").alias("left"), F.array().cast(f"array<struct<{','.join(f'{c}:{items.schema[c].dataType.simpleString()}' for c in order)}>>").alias("took"))
-
-    def step(state, r):
-        fits = r["_chars"] + F.lit(overhead) <= state.left
-        return F.struct(F.when(fits, state.left - r["_chars"] - F.lit(overhead)).otherwise(state.left).alias("left"), F.when(fits, F.concat(state.took, F.array(F.struct(*[r[c].alias(c) for c in order])))).otherwise(state.took).alias("took"))
+    import pandas as pd
 
-    kept = listed.select(*by, F.explode(F.aggregate("l", start, step).took).alias("t")).select(*by, *[F.col(f"t.{c}").alias(c) for c in order])
+    keys, places = list(by), list(order)
+    small = items.select(*keys, *places, F.col(chars).cast("long").alias("_chars")).where(F.col("_chars") + overhead <= budget)
+    sorted_items = small.dropna().repartition(*keys).sortWithinPartitions(*keys, *places, "_chars")
+
+    def fold(batches):
+        group, left = None, budget
+        for batch in batches:
+            keep = []
+            for row in batch.itertuples(index=False, name=None):
+                if row[: len(keys)] != group:
+                    group, left = row[: len(keys)], budget
+                fits = row[-1] + overhead <= left
+                if fits:
+                    left -= row[-1] + overhead
+                keep.append(fits)
+            yield batch.loc[pd.Series(keep, index=batch.index, dtype=bool)]
+
+    kept = sorted_items.mapInPandas(fold, sorted_items.schema).drop("_chars")
     return items.join(kept, [*by, *order], "left_semi")
 
 
+def areas_under_budget(items: DataFrame, plan: DataFrame, budget: int, overhead: int = 0) -> DataFrame:
+    """Texts of all areas that fit one budget per window in plan order, then regrouped by area.
+
+    items: window_key, area, internal_id, text; plan: window_key, internal_id, plan_rank. Returns window_key, area, ids and
+    texts (arrays in plan order); what is collected is bounded by the budget.
+    """
+    ranked = items.join(plan.select("window_key", "internal_id", "plan_rank"), ["window_key", "internal_id"]).withColumn("chars", F.length("text"))
+    fitted = budget_fit(ranked, budget, overhead, ("window_key",), ("plan_rank",))
+    grouped = fitted.groupBy("window_key", "area").agg(F.sort_array(F.collect_list(F.struct("plan_rank", "internal_id", "text"))).alias("r"))
+    return grouped.select("window_key", "area", F.transform("r", lambda r: r.internal_id).alias("ids"), F.transform("r", lambda r: r.text).alias("texts"))
+
+
 def day_quota(rows: DataFrame, days: int = 7, most: int = 200, by: tuple[str, ...] = ()) -> DataFrame:
     """The most active sessions of each day up to a quota; free places go to the most active others.
 

@@ -91,21 +91,15 @@ def ancestors(branches: DataFrame) -> DataFrame:
 def inherited_prefix(snapshots: DataFrame, lineage: DataFrame) -> DataFrame:
     """(branch, inherited): the longest leading run of a branch's totals that an ancestor holds in order.
 
-    Each value is looked for after the place of the one before; the first that isn't found ends
-    the run. Branches without an ancestor inherit 0.
+    The ancestor's series is read once, in order, with the place reached in the branch's own: what
+    isn't the next value looked for is passed by. Branches without an ancestor inherit 0.
     """
     row = F.struct("ts_us", *TOTALS)
     value = lambda r: F.struct(*[r[c] for c in TOTALS])
     series = snapshots.groupBy("branch").agg(F.transform(F.sort_array(F.collect_list(row)), value).alias("values"))
     pairs = lineage.join(series, "branch").join(series.select(F.col("branch").alias("ancestor"), F.col("values").alias("theirs")), "ancestor")
-    start = F.struct(F.lit(0).cast("long").alias("cursor"), F.lit(0).cast("long").alias("matched"), F.lit(True).alias("going"))
-
-    def step(state, v):
-        at = F.array_position(F.slice(F.col("theirs"), (state.cursor + 1).cast("int"), F.size("theirs")), v)
-        hit = state.going & (at > 0)
-        return F.struct(F.when(hit, state.cursor + at).otherwise(state.cursor).alias("cursor"), F.when(hit, state.matched + 1).otherwise(state.matched).alias("matched"), hit.alias("going"))
-
-    return pairs.withColumn("m", F.aggregate("values", start, step).matched).groupBy("branch").agg(F.max("m").alias("inherited"))
+    matched = F.aggregate("theirs", F.lit(0), lambda at, v: at + F.get(F.col("values"), at).eqNullSafe(v).cast("int"))
+    return pairs.withColumn("m", matched.cast("long")).groupBy("branch").agg(F.max("m").alias("inherited"))
 
 
 def branch_usage(snapshots: DataFrame, branches: DataFrame) -> DataFrame:

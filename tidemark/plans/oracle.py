@@ -182,6 +182,43 @@ repo_rows AS (SELECT *, row_number() OVER (PARTITION BY window_key ORDER BY comm
 
 _SALIENT = " || ".join(f"CASE WHEN regexp_matches(text, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])(?:{p})(?:$|[^\\p{{L}}\\p{{N}}_])') THEN '{c},' ELSE '' END" for c, p in SALIENCE.items())
 
+
+
+SKETCHES = f"""sketches AS (
+  SELECT window_key, agent || '/' || session_id AS id, agent AS provider, project, area, CAST(CAST(make_timestamp(start_us + {_ZONE_US}) AS DATE) AS VARCHAR) AS local_day, active_us, start_us, msg_count,
+    row_number() OVER (PARTITION BY window_key ORDER BY active_us DESC, start_us, agent, agent || '/' || session_id) AS plan_rank FROM placed)"""
+
+
+def _plan() -> str:
+    """The passes of the sampling plan without a budget, each over what those before have chosen."""
+    top = lambda by, stage: (f"SELECT window_key, arg_min(id, plan_rank) AS id, '{by}_top' AS reason, {stage} AS stage, row_number() OVER (PARTITION BY window_key ORDER BY sum(active_us) DESC, {by}) AS pos, {by} AS value FROM sketches GROUP BY window_key, {by}").replace("'local_day_top'", "'day_top'")
+    steps = [
+        SKETCHES, f"tops AS ({top('provider', 1)} UNION ALL {top('project', 2)})",
+        "covered AS (SELECT DISTINCT s.window_key, s.local_day FROM sketches s JOIN tops t ON s.window_key = t.window_key AND s.id = t.id)",
+        f"pass0 AS (SELECT window_key, id, reason, stage, pos FROM tops UNION ALL SELECT window_key, id, reason, stage, pos FROM ({top('local_day', 3)}) d WHERE NOT EXISTS (SELECT 1 FROM covered c WHERE c.window_key = d.window_key AND c.local_day = d.value))",
+    ]
+    for i, code in enumerate(SALIENCE):
+        steps.append(f"""pass{i + 1} AS (SELECT * FROM pass{i} UNION ALL SELECT window_key, arg_min(id, plan_rank), 'salience:{code}', {4 + i}, 1 FROM sketches s
+  WHERE msg_count % {i + 7} = 0 AND NOT EXISTS (SELECT 1 FROM pass{i} p WHERE p.window_key = s.window_key AND p.id = s.id) GROUP BY window_key)""")
+    steps.append(f"""plan AS (SELECT s.window_key, s.id AS internal_id, any_value(plan_rank) AS plan_rank, coalesce(string_agg(reason, ',' ORDER BY stage, pos), 'budget_fill') AS reasons,
+  any_value(provider) AS provider, any_value(project) AS project, any_value(local_day) AS local_day FROM sketches s LEFT JOIN pass{len(SALIENCE)} p ON p.window_key = s.window_key AND p.id = s.id GROUP BY s.window_key, s.id)""")
+    return base() + ", " + ", ".join(steps)
+
+
+def _plan_counts() -> str:
+    codes = sorted(["provider_top", "project_top", "day_top", "budget_fill", *[f"salience:{c}" for c in SALIENCE]])
+    counts = " || ',' || ".join(f"""'"{c}":' || count_if(list_contains(string_split(reasons, ','), '{c}'))""" for c in codes)
+    hits = ", ".join(f"count(DISTINCT {d}) AS {d}_target, count(DISTINCT {d}) AS {d}_hit" for d in ("provider", "project", "local_day"))
+    return f"SELECT window_key, count(*) AS population, count(*) AS selected, 0::BIGINT AS unselected, {hits}, '{{' || {counts} || '}}' AS reasons, true AS coverage_complete FROM plan GROUP BY window_key"
+
+
+def _fit(grp: str, source: str, budget: int, overhead: int) -> str:
+    """Items chosen from `source` (grp, pos, chars): the next that fits, again and again."""
+    return f"""fit(grp, pos, chars, room) AS (SELECT DISTINCT {grp}, -1::BIGINT, 0::BIGINT, {budget}::BIGINT FROM {source} WHERE {grp} IS NOT NULL
+  UNION ALL SELECT grp, pos, chars, room FROM (SELECT f.grp, d.pos, d.chars, f.room - d.chars - {overhead} AS room, row_number() OVER (PARTITION BY f.grp ORDER BY d.pos) AS n
+    FROM fit f JOIN {source} d ON d.{grp} = f.grp AND d.pos > f.pos AND d.chars + {overhead} <= f.room) WHERE n = 1)"""
+
+
 ORACLE: dict[str, str] = {
     "active_time_per_session": f"WITH {ACTIVITY}, {sessions()} SELECT agent, session_id, start_us, end_us, msg_count, user_msg_count, active_us, active_us // 1000000 AS active_sec FROM sessions",
     "active_time_wide_gap": f"WITH {ACTIVITY}, {sessions(WIDE)} SELECT agent, session_id, active_us FROM sessions",
@@ -284,4 +321,18 @@ ORACLE: dict[str, str] = {
  at_day AS (SELECT window_key, p.repo, CAST(arg_max(stars, day) AS BIGINT) AS stars, CAST(arg_max(stars, day) FILTER (day < CAST(make_timestamp(since_us) AS DATE)) AS BIGINT) AS before FROM per_day p JOIN years ON day <= CAST(make_timestamp(until_us) AS DATE) GROUP BY ALL)
  SELECT window_key, repo, stars, before, stars - before AS delta FROM at_day""",
     "parsed_timestamps": "SELECT event_id, CASE event_id % 4 WHEN 3 THEN NULL WHEN 2 THEN epoch_us(date_trunc('second', ts)) - 7200000000 ELSE epoch_us(date_trunc('second', ts)) END AS ts_us FROM events",
+    "sampling_plan_unbudgeted": _plan() + " SELECT window_key, internal_id, plan_rank, reasons FROM plan",
+    "plan_projection": _plan() + " " + _plan_counts(),
+    "budget_fit": "WITH RECURSIVE docs AS (SELECT source, doc_id AS pos, length(text) AS chars FROM documents), " + _fit("source", "docs", 6000, 5) + ' SELECT grp AS "group", pos, CAST(chars AS INT) AS chars FROM fit WHERE pos >= 0',
+    "areas_under_budget": (base() + f""", {SKETCHES}, items AS (SELECT window_key, plan_rank AS pos, area, id, project || ': ' || repeat('step ', msg_count) AS text, length(project || ': ') + 5 * msg_count AS chars FROM sketches),
+ {_fit("window_key", "items", 3000, 5)} SELECT i.window_key, area, string_agg(id, ',' ORDER BY i.pos) AS ids, string_agg(text, '|' ORDER BY i.pos) AS texts
+ FROM items i JOIN fit f ON f.grp = i.window_key AND f.pos = i.pos GROUP BY ALL""").replace("WITH ", "WITH RECURSIVE ", 1),
+    "area_texts": rollup() + """, ranked AS (SELECT *, row_number() OVER (PARTITION BY window_key, area ORDER BY active_us DESC, start_us, agent, session_id) AS rank FROM placed),
+ told AS (SELECT window_key, area, string_agg('- worked on ' || project || ' in ' || session_id, chr(10) ORDER BY rank) AS lines FROM (
+   SELECT *, row_number() OVER (PARTITION BY window_key, area ORDER BY rank) AS n FROM ranked WHERE rank <= 5 AND msg_count % 2 = 0 AND area <> 'coding') WHERE n <= 4 GROUP BY ALL),
+ own AS (SELECT window_key, area, '- Projects: ' || string_agg(project, ', ' ORDER BY r) || '.' AS lines FROM (
+   SELECT *, row_number() OVER (PARTITION BY window_key, area ORDER BY minutes DESC, project) AS r FROM rollup_rows WHERE NOT is_area) WHERE r <= 3 GROUP BY ALL)
+ SELECT a.window_key, a.area, a.area || ': ' || sessions || CASE WHEN sessions = 1 THEN ' session · ' ELSE ' sessions · ' END || CAST(round_even(minutes, 0) AS BIGINT) || ' active min.' || chr(10) || chr(10) || coalesce(t.lines, o.lines) AS text
+ FROM rollup_rows a LEFT JOIN told t ON t.window_key = a.window_key AND t.area = a.area LEFT JOIN own o ON o.window_key = a.window_key AND o.area = a.area WHERE is_area""",
+    "summary_provenance": f"WITH {SUMMARY} SELECT session_id, CASE WHEN conv_id % 5 <> 0 THEN source WHEN conv_id % 3 = 0 THEN 'native_title' ELSE 'first_message' END AS provenance FROM summary_table",
 }

@@ -397,6 +397,21 @@ def narratives(spark, sf_dir):
     return _excerpts(spark, sf_dir).select("conv_id", T.narrative(F.col("excerpt")).alias("narrative"))
 
 
+@query
+def batch_excerpts(spark, sf_dir):
+    """Excerpts within 700 and within 90 characters."""
+    rows = _excerpts(spark, sf_dir)
+    return rows.select("conv_id", T.batch_excerpt(F.col("excerpt")).alias("batch"), T.batch_excerpt(F.col("excerpt"), 90).alias("short"))
+
+
+@query
+def summary_provenance(spark, sf_dir):
+    """Where each conversation's shown text comes from; a fifth have no summary, a third of all a native title."""
+    table = _summary_table(spark, sf_dir)
+    native = F.when(F.col("conv_id") % 3 == 0, "title").otherwise("")
+    return table.select("session_id", T.provenance(F.when(F.col("conv_id") % 5 != 0, F.col("source")), native).alias("provenance"))
+
+
 @query
 def compact_documents(spark, sf_dir):
     return B.table(spark, sf_dir, "documents").select("doc_id", T.compact(F.col("text"), 120).alias("short"))
@@ -427,6 +442,29 @@ def sampling_plan_unbudgeted(spark, sf_dir):
     return S.plan(_sketches(spark, sf_dir))
 
 
+@query
+def plan_projection(spark, sf_dir):
+    """Counts, coverage and reasons of the plan without a budget."""
+    rows = _sketches(spark, sf_dir)
+    return S.plan_projection(rows, S.plan(rows))
+
+
+@query
+def areas_under_budget(spark, sf_dir):
+    """Sessions of all areas in one prompt of 3,000 characters per window."""
+    items = _slices(spark, sf_dir).select("window_key", "area", F.concat_ws("/", "agent", "session_id").alias("internal_id"), F.concat("project", F.lit(": "), F.repeat(F.lit("step "), F.col("msg_count").cast("int"))).alias("text"))
+    got = S.areas_under_budget(items, S.canonical(_sketches(spark, sf_dir)), 3000, 5)
+    return got.select("window_key", "area", F.array_join("ids", ",").alias("ids"), F.array_join("texts", "|").alias("texts"))
+
+
+@query
+def area_texts(spark, sf_dir):
+    """Area texts without prose: half of the sessions of areas other than coding have a summary."""
+    tops = U.top_sessions(_slices(spark, sf_dir))
+    summary = F.when((F.col("msg_count") % 2 == 0) & (F.col("area") != "coding"), F.concat(F.lit(" worked on "), "project", F.lit(" in "), "session_id"))
+    return U.area_texts(_rollup(spark, sf_dir), tops.select("window_key", "area", "rank", summary.alias("summary")))
+
+
 @query
 def sampling_plan_budgeted(spark, sf_dir):
     return S.budgeted_plan(_sketches(spark, sf_dir), char_budget=6000)
