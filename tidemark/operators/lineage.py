@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -29,3 +30,22 @@ def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
         before += r["count"]
     shift = F.broadcast(rows.sparkSession.createDataFrame(shifts, "_task long, _shift long"))
     return dealt.join(shift, "_task").withColumn(name, F.col("_at") + F.col("_shift")).drop("_task", "_at", "_shift")
+
+
+def running_sums(rows: DataFrame, by: list[str], order: list[str], values: dict[str, str]) -> DataFrame:
+    """rows with exclusive running sums: values maps a new column to the column (long, no nulls) summed over the rows before.
+
+    A segmented prefix sum: rows are sorted by ranges of (by, order), each range sums what it
+    holds of each group, and a row gets its group's sums of the ranges before and the sum
+    inside its own. A group of all rows is as many ranges as any other; its totals are a row a range.
+    Rows that are equal in (by, order) are taken in any one order. Nulls in `by` are a group.
+    """
+    dealt = cut(rows.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()))
+    totals = dealt.groupBy("_range", *by).agg(*[F.sum(c).alias(f"_t_{n}") for n, c in values.items()])
+    ranges = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select("_range", *by, *[F.coalesce(F.sum(f"_t_{n}").over(ranges), F.lit(0)).alias(f"_b_{n}") for n in values])
+    inside = W.partitionBy("_range", *by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    local = dealt.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_i_{n}") for n, c in values.items()])
+    same = [F.col("l._range") == F.col("r._range"), *[F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by]]
+    joined = local.alias("l").join(totals.alias("r"), same)
+    return joined.select(*[F.col(f"l.{c}") for c in rows.columns], *[(F.col(f"_i_{n}") + F.col(f"_b_{n}")).cast("long").alias(n) for n in values])
