@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, html_main, jaccard, langid, media, shards, substr, tokens, toxicity
+from tidemark.llm import decontam, html_main, jaccard, langid, media, merkle, shards, substr, tokens, toxicity
 from tidemark.llm.runtime import read
 
 SHARDS = 40
@@ -74,6 +74,12 @@ def op10_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.col("caption").cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    got = merkle.manifest(merkle.document_leaves(read(spark, sf_dir, "documents"), tampered))
+    return got.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified", F.col("grp").alias("lang"), "slot")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_histogram_shards": op1_histogram_shards,
     "op2_language_filters": op2_language_filters,
@@ -85,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_compression_toxicity": op8_compression_toxicity,
     "op9_token_counts": op9_token_counts,
     "op10_media_sequences": op10_media_sequences,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 #: The others learn, search or encode by means that SQL lacks; tests hold them against libraries or brute force.
