@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, html_main, jaccard, langid, media, merkle, shards, substr, tokens, toxicity
-from tidemark.llm.runtime import read
+from tidemark.llm import decontam, html_main, jaccard, langid, media, merkle, shards, substr, tokens, toxicity, warc
+from tidemark.llm.runtime import read, remove
 
 SHARDS = 40
 HELD_OUT = 2
@@ -74,6 +74,16 @@ def op10_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.col("caption").cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op11_warc_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.archive_folder(spark)
+    try:
+        warc.write(read(spark, sf_dir, "pages"), folder)
+        got = warc.read(spark, folder)
+    finally:
+        remove(spark, folder)
+    return got.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
     got = merkle.manifest(merkle.document_leaves(read(spark, sf_dir, "documents"), tampered))
@@ -91,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_compression_toxicity": op8_compression_toxicity,
     "op9_token_counts": op9_token_counts,
     "op10_media_sequences": op10_media_sequences,
+    "op11_warc_chains": op11_warc_chains,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
