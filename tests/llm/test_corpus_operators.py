@@ -321,6 +321,23 @@ def test_article_keeps_its_parts(spark):
     assert html_main.main_text(rows.limit(0)).count() == 0
 
 
+LONG = "This sentence is as long as one of an article would be, and it goes on."
+PARTED = {
+    "parts of one post": (f'<div class="post"><h1>Heading</h1><p>Introduction. {LONG}</p><div class="body"><p>{LONG * 3}</p></div><div class="more"><p>{LONG}</p></div></div>', f"Heading Introduction. {LONG} {LONG * 3} {LONG}"),
+    "sections side by side": (f'<section><h2>One</h2><p>{LONG * 2}</p></section><section><h2>Two</h2><p>{LONG}</p></section><section class="summary"><p>Wrap up.</p></section>', f"One {LONG * 2} Two {LONG} Wrap up."),
+    "topics named like junk": (f'<article><p>{LONG}</p><div class="social-history"><p>Kept A</p></div><div class="notice-period">Kept B</div><div class="social">no</div><div class="share-buttons">no</div></article>', f"{LONG} Kept A Kept B"),
+    "nested": (f'<div id="wrap"><div class="col"><div class="text"><p>{LONG}</p><div class="quote"><p>{LONG}</p></div></div><div class="text"><p>Last part.</p></div></div><div class="sidebar-left"><p>{LONG * 9}</p></div></div>', f"{LONG} {LONG} Last part."),
+}
+
+
+@pytest.mark.parametrize("kind", sorted(PARTED))
+def test_main_text_keeps_all_parts(spark, kind):
+    body, want = PARTED[kind]
+    page = f'<html><body><header><p>Site name</p></header><nav><a href="/">Home</a></nav>{body}<ul class="menu"><li><a href="/a">Some link</a></ul><footer>Us</footer></body></html>'
+    rows = spark.createDataFrame([(i, f"http://{kind.replace(' ', '')}.example/{i}", page) for i in range(3)], "page_id long, url string, html string")
+    assert {r.text for r in html_main.main_text(rows).collect()} == {want}
+
+
 def test_decontamination(spark):
     texts = corpus(10, 80)
     rng = random.Random(11)
