@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, html_main, jaccard, langid, media, merkle, shards, substr, tokens, toxicity, warc
+from tidemark.llm import decontam, html_main, jaccard, langid, media, merkle, phrases, shards, substr, tokens, toxicity, warc
 from tidemark.llm.runtime import read, remove
 
 SHARDS = 40
@@ -84,6 +84,10 @@ def op11_warc_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"), top=2000, least=100)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
     got = merkle.manifest(merkle.document_leaves(read(spark, sf_dir, "documents"), tampered))
@@ -102,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_media_sequences": op10_media_sequences,
     "op11_warc_chains": op11_warc_chains,
+    "op12_phrase_collocations": op12_phrase_collocations,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
