@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.runtime import chunks, cut, drop, partitions_for, shuffles_removed, text_bytes
+from tidemark.llm.runtime import chunks, cut, drop, ensure_checkpoint_dir, partitions_for, remove, shuffles_removed, text_bytes
 from tidemark.llm.words import Words, gram_starts, grams, mix
 
 GRAM = 8
@@ -153,12 +153,15 @@ class FingerprintIndex:
         self.spark, self.width, self.fanout = spark, width, fanout
         self.buckets = partitions or partitions_for(spark)
         self.runs: list[str] = []
+        self.places: dict[str, str] = {}
         self.hot: dict[str, np.ndarray] = {}
 
     def _write(self, rows: DataFrame, hot: np.ndarray) -> str:
         name = f"fingerprints_{uuid.uuid4().hex}"
+        # the catalog knows the buckets; the files lie in the folder that all machines share
+        self.places[name] = f"{ensure_checkpoint_dir(self.spark)}/{name}"
         with shuffles_removed(self.spark):
-            rows.repartition(self.buckets, "route").write.bucketBy(self.buckets, "route").sortBy("route").format("parquet").option("compression", "zstd").saveAsTable(name)
+            rows.repartition(self.buckets, "route").write.bucketBy(self.buckets, "route").sortBy("route").format("parquet").option("compression", "zstd").option("path", self.places[name]).saveAsTable(name)
         self.hot[name] = hot
         return name
 
@@ -182,15 +185,21 @@ class FingerprintIndex:
                 hot.sort()
                 listed = self._listed(hot, "fp").withColumn("_hot", F.lit(True))
                 whole = whole.join(listed, "fp", "left").select(F.when(F.col("_hot") | F.col("fp").isNull(), F.col("route")).otherwise(F.col("fp")).alias("route"), F.when(F.col("_hot"), F.col("fp")).alias("fp"), "id", "lo", "hi", "times")
-            merged = self._write(whole, hot)
-            self.drop()
-            self.runs = [merged]
+            before, self.runs = self.runs, [*self.runs, self._write(whole, hot)]
+            for run in before:
+                self._remove(run)
+            self.runs = self.runs[-1:]
 
     def drop(self) -> None:
-        for run in self.runs:
-            self.spark.sql(f"DROP TABLE IF EXISTS {run}")
+        """Delete all runs, those of an addition that failed too."""
+        for run in list(self.places):
+            self._remove(run)
         self.runs = []
 
+    def _remove(self, run: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {run}")
+        remove(self.spark, self.places.pop(run))
+
     def add(self, batch: DataFrame, archive: DataFrame | None = None) -> DataFrame:
         """Add a batch whose ids are all above those added before; returns its decisions.
 
@@ -341,15 +350,17 @@ def remove_repeats(docs: DataFrame, width: int = 20, batches: int = 3, id_col: s
     cuts = sorted({int(x) for x in rows.select("id").where(F.col("id") != _FIRST).approxQuantile("id", [i / batches for i in range(1, batches)], 0.001)}) if batches > 1 else []
     index = FingerprintIndex(spark, width)
     decisions, low = None, None
-    for high in [*cuts, None]:
-        inside = F.lit(True)
-        if low is not None:
-            inside = inside & (F.col("id") > low)
-        if high is not None:
-            inside = inside & (F.col("id") <= high)
-        got = index.add(rows.where(inside), rows.where(F.col("id") <= low) if low is not None else None)
-        decisions = got if decisions is None else decisions.unionByName(got)
-        low = high
-    index.drop()
+    try:
+        for high in [*cuts, None]:
+            inside = F.lit(True)
+            if low is not None:
+                inside = inside & (F.col("id") > low)
+            if high is not None:
+                inside = inside & (F.col("id") <= high)
+            got = index.add(rows.where(inside), rows.where(F.col("id") <= low) if low is not None else None)
+            decisions = got if decisions is None else decisions.unionByName(got)
+            low = high
+    finally:
+        index.drop()
     done = apply_decisions(full, decisions, width, (*carry, "_id"), keep_whole)
     return done.select(F.when(F.col("_id") != _FIRST, F.col("_id")).alias(id_col), "n_words", "n_removed", "kept_text", *carry)

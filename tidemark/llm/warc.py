@@ -273,7 +273,7 @@ def owners(found: DataFrame) -> DataFrame:
     slim = found.select("path", "split", "offset", "next")
     exits = cut(slim.groupBy("path", "split").applyInPandas(_exits, "path string, split long, offset long, leaves long"))
     entered = exits.select("path", F.col("leaves").alias("offset")).union(exits.select("path", F.lit(0).cast("long"))).distinct()
-    jump = cut(exits.join(entered, ["path", "offset"], "left_semi").select("path", "offset", "leaves"))
+    jump = cut(exits.join(entered.hint("merge"), ["path", "offset"], "left_semi").select("path", "offset", "leaves"))
     drop(exits)
     places = jump.select("path", "offset")
     reached = cut(jump.where("offset = 0").select("path", "offset"))
@@ -286,7 +286,7 @@ def owners(found: DataFrame) -> DataFrame:
         reached = cut(reached.unionByName(new))
         onward = jump.select("path", F.col("offset").alias("leaves"), F.col("leaves").alias("_on"))
         jump = cut(jump.join(onward, ["path", "leaves"], "left").select("path", "offset", F.coalesce("_on", "leaves").alias("leaves")))
-    entries = slim.join(reached, ["path", "offset"], "left_semi").select("path", "split", "offset").toDF("p", "s", "enter")
+    entries = slim.join(reached.hint("merge"), ["path", "offset"], "left_semi").select("path", "split", "offset").toDF("p", "s", "enter")
     marked = slim.groupBy("path", "split").cogroup(entries.groupBy("p", "s")).applyInPandas(_mark, "path string, split long, offset long, record long")
     marked = cut(marked)
     # what comes before a split's first record belongs to the last record of the splits before
@@ -334,7 +334,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     with _same_splits(spark):
         found = cut(candidates(spark, folder))
         own = cut(owners(found))
-        heads = found.join(own.where("record = offset").select("path", "offset"), ["path", "offset"], "left_semi").withColumn("complete", F.coalesce(F.col("next") <= F.col("size"), F.lit(False)))
+        heads = found.join(own.where("record = offset").select("path", "offset").hint("merge"), ["path", "offset"], "left_semi").withColumn("complete", F.coalesce(F.col("next") <= F.col("size"), F.lit(False)))
         broken = heads.where("complete and payload_digest is null").select("path", F.col("offset").alias("record"), "head", "length", "content_type")
         parts = cut(own.join(broken, ["path", "record"]).join(found.select("path", "offset", "rel"), ["path", "offset"]))
         if not parts.isEmpty():
@@ -344,7 +344,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     told = heads.where("type <> 'revisit'").select(F.col("record_id").alias("_id"), F.col("payload_bytes").alias("_n"), F.col("payload_digest").alias("_d"))
     visits = heads.where("type = 'revisit'")
     target = told.join(visits.select(F.col("refers_to_id").alias("_id")).distinct(), "_id", "left_semi").groupBy("_id").agg(F.min(F.struct("_n", "_d")).alias("_t"))
-    visits = visits.join(target, F.col("refers_to_id") == F.col("_id"), "left").withColumn("payload_bytes", F.col("_t._n")).withColumn("payload_digest", F.coalesce("_t._d", F.regexp_extract("declared_digest", r"^sha1:(\w+)$", 1))).drop("_id", "_t")
+    visits = visits.join(target.hint("merge"), F.col("refers_to_id") == F.col("_id"), "left").withColumn("payload_bytes", F.col("_t._n")).withColumn("payload_digest", F.coalesce("_t._d", F.regexp_extract("declared_digest", r"^sha1:(\w+)$", 1))).drop("_id", "_t")
     out = heads.where("type is null or type <> 'revisit'").unionByName(visits).select("path", "offset", "type", "record_id", "target_uri", "page_id", "payload_bytes", "payload_digest", "refers_to_id", "refers_to", "complete")
     out = cut(out)
     drop(found, own, parts, heads)
