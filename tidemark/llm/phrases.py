@@ -87,7 +87,7 @@ class Stretch:
         return pa.RecordBatch.from_arrays([lang, phrase, pa.array(np.full(len(at), k, np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], schema=_SCHEMA)
 
 
-def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[Stretch]:
+def stretches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Stretch]:
     """The texts of batches (lang, text), parted only between texts or pieces, which no phrase crosses."""
     for batch in batches:
         if not batch.num_rows:
@@ -98,7 +98,7 @@ def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[Stretch]:
         ends = np.union1d(np.flatnonzero(raw == 10) + 1, offs[1:])
         at = 0
         while at < len(raw):
-            i = int(np.searchsorted(ends, at + STRETCH, "right")) - 1
+            i = int(np.searchsorted(ends, at + most, "right")) - 1
             to = int(ends[i]) if i >= 0 and ends[i] > at else int(ends[i + 1])
             a, b = int(np.searchsorted(offs, at, "right")) - 1, int(np.searchsorted(offs, to, "left"))
             part = Stretch(raw[at:to], np.clip(offs[a : b + 1], at, to) - at, langs[a:b])
@@ -108,7 +108,7 @@ def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[Stretch]:
 
 
 def in_filter(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys & np.uint64((1 << FILTER_BITS) - 1)
+    at = keys & np.uint64(8 * len(bits) - 1)
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
@@ -125,8 +125,10 @@ def key_filter(rows: DataFrame) -> np.ndarray:
 def count(texts: DataFrame, emit: Callable[[Stretch], Iterator[tuple[int, np.ndarray, np.ndarray]]], least: int) -> DataFrame:
     """(lang, phrase, k, h, f) of the n-grams that `emit` gives for a stretch as (k, positions, keys), met at least `least` times."""
 
+    most = STRETCH
+
     def run(batches):
-        for part in stretches(batches):
+        for part in stretches(batches, most):
             for k, at, keys in emit(part):
                 if len(at):
                     yield part.counted(k, at, keys)
@@ -173,15 +175,17 @@ def _around(wanted, found, frequent, longest: int):
 
     def emit(part: Stretch):
         word = in_filter(frequent.value, part.keys(1))
-        for k in range(2, longest):
+        shorter = None
+        for k in range(2, longest + 1):
             ok = part.starts_of(k)
             if not len(ok):
                 return
             keys = part.keys(k)
-            yield k, np.flatnonzero(ok & in_filter(wanted.value, keys)), keys
-            wider = part.starts_of(k + 1)
-            if len(wider):
-                yield k + 1, np.flatnonzero(wider & word[: len(wider)] & in_filter(found.value, keys[1:])), part.keys(k + 1)
+            asked = in_filter(wanted.value, keys) if k < longest else np.zeros(len(ok), bool)
+            if shorter is not None:
+                asked |= word[: len(ok)] & shorter[1 : len(ok) + 1]
+            yield k, np.flatnonzero(ok & asked), keys
+            shorter = ok & in_filter(found.value, keys)
 
     return emit
 

@@ -119,4 +119,42 @@ ORACLE: dict[str, str] = {
  words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM texts),
  kept AS (SELECT w.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY w.pos) AS text FROM words w ANTI JOIN gone g ON g.doc_id = w.doc_id AND g.pos = w.pos GROUP BY w.doc_id)
  SELECT t.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256 FROM texts t LEFT JOIN kept k ON k.doc_id = t.doc_id""",
+    "op11_warc_chains": r"""WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+ d AS (SELECT page_id, octet_length(encode(html)) AS n, sha1(html) AS hx, min(page_id) OVER (PARTITION BY html) AS first FROM p),
+ b AS (SELECT *, list_transform(range(8), lambda i: CAST('0x' || hx[5 * i + 1:5 * i + 5] AS INT)) AS v FROM d)
+ SELECT page_id, n AS payload_bytes, array_to_string(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v[j // 4 + 1] >> (15 - 5 * (j % 4))) & 31) + 1, 1)), '') AS payload_digest,
+   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM b""",
+    "op12_phrase_collocations": r"""WITH pieces AS (SELECT coalesce(lang, 'und') AS lang,
+   unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+ texts AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+ totals AS (SELECT lang, CAST(sum(len(ws)) AS HUGEINT) AS n FROM texts GROUP BY lang),
+ spans AS (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM texts, range(1, 6) AS ks(k)),
+ f AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, CAST(count(*) AS HUGEINT) AS f FROM spans GROUP BY ALL HAVING count(*) >= 100),
+ cuts AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws, unnest(range(1, k)) AS j FROM f WHERE k >= 2),
+ scored AS (SELECT c.lang, c.k, c.phrase, a, l.f AS l, r.f AS r, n, 1000 * a * n // (l.f * r.f) AS score, j FROM cuts c JOIN totals t ON t.lang = c.lang
+   JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(ws[1:j], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(ws[j + 1:c.k], ' ')),
+ best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+ alive AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM f x WHERE x.lang = b.lang AND x.k > b.k AND 100 * x.f >= 100 * b.a AND contains(' ' || x.phrase || ' ', ' ' || b.phrase || ' ')))
+ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+ FROM alive QUALIFY rank <= 2000""",
+    "op13_merkle_manifest": r"""WITH RECURSIVE crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN (a & 1) = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS tab FROM range(256) AS r(i)),
+ fields AS (SELECT *, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS a, coalesce(strlen(text) || ':' || text, '-') AS z,
+   xor(list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda x, y: xor(x >> 8, tab[(xor(x, y) & 255) + 1])), 4294967295) % 7 = 0 AS bad FROM documents, crc),
+ leaves AS (SELECT doc_id, lang, sha256(a || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || z) AS leaf,
+   sha256(a || coalesce(strlen(CAST(n_chars + CAST(bad AS INT) AS VARCHAR)) || ':' || (n_chars + CAST(bad AS INT)), '-') || z) AS claim FROM fields),
+ placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS slot, count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+ nodes AS (SELECT lang, 0 AS lv, slot, leaf AS h, n FROM placed
+   UNION ALL SELECT lang, lv + 1, slot // 2, sha256(string_agg(h, '' ORDER BY slot)), (any_value(n) + 1) // 2 FROM nodes WHERE n > 1 GROUP BY lang, lv, slot // 2),
+ subroots AS (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS slot, count(*) OVER () AS n FROM nodes WHERE n = 1),
+ tops AS (SELECT 0 AS lv, slot, h, n FROM subroots UNION ALL SELECT lv + 1, slot // 2, sha256(string_agg(h, '' ORDER BY slot)), (any_value(n) + 1) // 2 FROM tops WHERE n > 1 GROUP BY lv, slot // 2),
+ steps AS (SELECT p.doc_id, v.lv AS k, (p.slot >> v.lv) & 1 = 1 AS after, s.h AS sib FROM placed p JOIN (SELECT DISTINCT lang, lv FROM nodes WHERE n > 1) v ON v.lang IS NOT DISTINCT FROM p.lang
+     LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM p.lang AND s.lv = v.lv AND s.slot = xor(p.slot >> v.lv, 1)
+   UNION ALL SELECT p.doc_id, 100 + v.lv, (g.slot >> v.lv) & 1 = 1, s.h FROM placed p JOIN subroots g ON g.lang IS NOT DISTINCT FROM p.lang CROSS JOIN (SELECT DISTINCT lv FROM tops WHERE n > 1) v LEFT JOIN tops s ON s.lv = v.lv AND s.slot = xor(g.slot >> v.lv, 1)),
+ way AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS i FROM steps),
+ folded AS (SELECT doc_id, 0 AS i, claim AS h FROM placed
+   UNION ALL SELECT f.doc_id, f.i + 1, CASE WHEN sib IS NULL THEN sha256(f.h) WHEN after THEN sha256(sib || f.h) ELSE sha256(f.h || sib) END FROM folded f JOIN way w ON w.doc_id = f.doc_id AND w.i = f.i),
+ proofs AS (SELECT doc_id, sha256(coalesce(string_agg(sib, '' ORDER BY k), '')) AS proof_sha256 FROM steps GROUP BY doc_id),
+ ends AS (SELECT doc_id, arg_max(h, i) AS folded_root FROM folded GROUP BY doc_id), root AS (SELECT h AS root FROM tops WHERE n = 1)
+ SELECT p.doc_id, leaf, g.h AS subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified, p.lang, p.slot
+ FROM placed p JOIN subroots g ON g.lang IS NOT DISTINCT FROM p.lang JOIN ends e ON e.doc_id = p.doc_id LEFT JOIN proofs q ON q.doc_id = p.doc_id CROSS JOIN root""",
 }
