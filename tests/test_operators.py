@@ -1,6 +1,7 @@
 """Exact cases of single operators."""
 
 import json
+import random
 from datetime import UTC, datetime
 
 import pytest
@@ -210,6 +211,83 @@ def test_budget_fit_skips(spark):
     assert [r.pos for r in S.budget_fit(rows, 10).orderBy("pos").collect()] == [0, 2]
 
 
+def greedy(sizes, budget):
+    """Places of the sizes that a scan with skips takes."""
+    out = []
+    for i, n in enumerate(sizes):
+        if n <= budget:
+            budget -= n
+            out.append(i)
+    return out
+
+
+@pytest.mark.parametrize(("seed", "budget"), [(1, 100), (2, 5000), (3, 37), (4, 0)])
+def test_budget_fit_is_the_greedy_scan(spark, seed, budget):
+    """Many groups and one of nearly all rows, sizes from nothing to more than the budget."""
+    rng = random.Random(seed)
+    rows = [("all" if rng.random() < 0.8 else f"g{rng.randrange(5)}", i, int(rng.choice([0, 1, 3, budget // 9, budget // 2, budget // 2 + 1, budget, budget + 5]) * rng.random())) for i in range(400)]
+    got = S.budget_fit(spark.createDataFrame(rows, "group string, pos int, chars int").repartition(6), budget).collect()
+    want = set()
+    for g in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == g]
+        want |= {own[i] for i in greedy([r[2] for r in own], budget)}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_budget_holds_for_tied_places(spark):
+    rows = [("a", 1, 60), ("a", 1, 60), ("a", 2, 30), ("b", 1, 50), ("b", 1, 10), ("b", 1, 50), (None, 1, 1), ("a", None, 1), ("a", 3, None)]
+    got = S.budget_fit(spark.createDataFrame(rows, "group string, pos int, chars int"), 100).collect()
+    assert sorted(map(tuple, got)) == [("a", 1, 60), ("a", 2, 30), ("b", 1, 10), ("b", 1, 50)]
+    assert S.budget_fit(spark.createDataFrame([], "group string, pos int, chars int"), 100).count() == 0
+
+
+def test_budgets_have_no_python_and_no_group_in_a_task(spark):
+    rows = spark.range(300).selectExpr("'g' as `group`", "id as pos", "id % 7 + 1 as chars")
+    got = S.budget_fit(rows.repartition(4), 500)
+    plan = got._jdf.queryExecution().toString()
+    assert "Pandas" not in plan and "Python" not in plan and "Arrow" not in plan
+    assert [r.pos for r in got.orderBy("pos").collect()] == greedy([i % 7 + 1 for i in range(300)], 500)
+
+
+def plain_plan(rows, budget, most):
+    """What the passes choose, by their definitions: (id, reasons)."""
+    order = sorted(rows, key=lambda r: (-r[5], r[6], r[2], r[1]))
+    chosen, reasons, left = {}, {}, budget
+
+    def offer(r, reason):
+        nonlocal left
+        if r[1] not in chosen:
+            if r[7] > left or len(chosen) >= most:
+                return
+            chosen[r[1]] = r
+            left -= r[7]
+        reasons.setdefault(r[1], []).append(reason)
+
+    for column, reason in ((2, "provider_top"), (3, "project_top"), (4, "day_top")):
+        total = {}
+        for r in rows:
+            total[r[column]] = total.get(r[column], 0) + r[5]
+        days = {r[4] for r in chosen.values()}
+        for value in sorted(total, key=lambda v: (-total[v], v)):
+            if reason != "day_top" or value not in days:
+                offer(next(r for r in order if r[column] == value), reason)
+    for code in T.SALIENCE:
+        first = next((r for r in order if code in r[8] and r[1] not in chosen), None)
+        if first:
+            offer(first, f"salience:{code}")
+    for r in order:
+        if r[1] not in chosen:
+            offer(r, "budget_fill")
+    return {(i, ",".join(x)) for i, x in reasons.items()}
+
+
+@pytest.mark.parametrize(("budget", "most"), [(60, 4), (130, 99), (7, 3), (10**6, 12)])
+def test_budgeted_plan_follows_its_passes(spark, budget, most):
+    frame = sketches(spark, 40)
+    want = plain_plan([tuple(r) for r in frame.collect()], budget, most)
+    assert {(r.internal_id, r.reasons) for r in S.budgeted_plan(frame.repartition(3), budget, most).collect()} == want
+
+
 def test_upsert_authority(spark):
     kind = "session_id string, summary string, source string, evidence_fingerprint string, observed_evidence_fingerprint string, created_at long"
     table = spark.createDataFrame([("a", "mine", "provided", "", "", 1), ("b", "old", "generated", "f", "f", 1)], kind)

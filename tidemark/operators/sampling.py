@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import SALIENCE
-from tidemark.operators.lineage import cut
+from tidemark.operators.lineage import cut, running_sums
 
 
 def tie_break() -> list[Column]:
@@ -15,11 +15,17 @@ def tie_break() -> list[Column]:
     return [F.desc("active_us"), F.asc("start_us"), F.asc("provider"), F.asc("internal_id")]
 
 
-def canonical(sketches: DataFrame) -> DataFrame:
-    """One sketch per internal_id, with its place in plan order per window (plan_rank)."""
+def unique_sketches(sketches: DataFrame) -> DataFrame:
+    """One sketch per window_key and internal_id: the first in tie-break order."""
     own = F.row_number().over(W.partitionBy("window_key", "internal_id").orderBy(*tie_break()))
-    rows = sketches.withColumn("_n", own).where("_n = 1").drop("_n")
-    return rows.withColumn("plan_rank", F.row_number().over(W.partitionBy("window_key").orderBy(*tie_break())))
+    return sketches.withColumn("_n", own).where("_n = 1").drop("_n")
+
+
+def canonical(sketches: DataFrame) -> DataFrame:
+    """One sketch per internal_id, with its place in plan order per window (plan_rank), numbered by ranges."""
+    rows = unique_sketches(sketches).withColumns({"_less": -F.col("active_us"), "_one": F.lit(1).cast("long")})
+    ranked = running_sums(rows, ["window_key"], ["_less", "start_us", "provider", "internal_id"], {"_ahead": "_one"})
+    return ranked.withColumn("plan_rank", (F.col("_ahead") + 1).cast("int")).drop("_less", "_one", "_ahead")
 
 
 def _tops(rows: DataFrame, by: str, reason: str, stage: int) -> DataFrame:
@@ -53,60 +59,91 @@ def plan(sketches: DataFrame) -> DataFrame:
     return rows.join(why, ["window_key", "internal_id"], "left").select("window_key", "internal_id", "plan_rank", F.coalesce("reasons", F.lit("budget_fill")).alias("reasons"))
 
 
+def _fit(items: DataFrame, limits: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """items that fit a budget in order: those too large for what is left are skipped, later ones may fit.
+
+    items has a column _size (long), limits the budget _left of each `by` (one row each, no nulls).
+    One range sort, then phases: while half of what is left isn't used, all items of at most
+    that half fit, and the first larger one that fits beside them ends the phase, as does passing the
+    half. A phase is a segmented prefix sum (a sum for each range and group, then inside the ranges), and
+    each at least halves the budget, so there are no more of them than the budget has bits. A group
+    may be all of the rows. The result has _pos, which ascends in `order`.
+    """
+    dealt = items.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("_pos", F.monotonically_increasing_id())
+    dealt = cut(dealt.withColumn("_range", F.shiftright("_pos", 33)))
+    none = F.lit(None).cast("long")
+    step = F.struct(F.col("_after").alias("after"), F.col("_to").alias("to"), F.col("_left").alias("most"))
+    state = cut(limits.select(*by, F.col("_left").cast("long").alias("_left"), F.lit(-1).cast("long").alias("_after"), F.array().cast("array<struct<after:bigint,to:bigint,most:bigint>>").alias("_steps"), F.lit(True).alias("_open")))
+    ranges = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("_range", *by).orderBy("_pos").rowsBetween(W.unboundedPreceding, -1)
+    while not state.where("_open").isEmpty():
+        asked = dealt.select(*by, "_range", "_pos", "_size").join(state.where("_open").select(*by, "_left", "_after"), by).where("_pos > _after and _size <= _left")
+        asked = asked.withColumn("_small", 2 * F.col("_size") <= F.col("_left")).withColumn("_sure", F.when(F.col("_small"), F.col("_size")).otherwise(0))
+        sums = asked.groupBy(*by, "_range").agg(F.sum("_sure").alias("_sum"))
+        sums = sums.select(*by, "_range", F.coalesce(F.sum("_sum").over(ranges), F.lit(0)).alias("_base"))
+        run = asked.withColumn("_in", F.coalesce(F.sum("_sure").over(inside), F.lit(0))).join(sums, [*by, "_range"])
+        run = run.withColumn("_used", F.col("_base") + F.col("_in") + F.col("_size"))
+        ends = run.where("case when _small then 2 * _used > _left else _used <= _left end").groupBy(*by).agg(F.min(F.struct("_pos", "_used")).alias("_end"))
+        now = state.where("_open").join(ends, by, "left").withColumn("_to", F.coalesce(F.col("_end._pos"), none))
+        now = now.select(*by, F.coalesce(F.col("_left") - F.col("_end._used"), F.col("_left")).alias("_left"), F.coalesce("_to", "_after").alias("_after"), F.concat("_steps", F.array(step)).alias("_steps"), F.col("_to").isNotNull().alias("_open"))
+        state = cut(now.unionByName(state.where("not _open")))
+    took = F.exists("_steps", lambda t: (F.col("_pos") > t.after) & F.coalesce(F.col("_pos") <= t.to, F.lit(True)) & ((2 * F.col("_size") <= t.most) | F.coalesce(F.col("_pos") == t.to, F.lit(False))))
+    return dealt.join(state.select(*by, "_steps"), by).where(took).drop("_steps", "_range")
+
+
 def budgeted_plan(sketches: DataFrame, char_budget: int | None = None, max_selected: int | None = None) -> DataFrame:
     """The same passes under a budget of characters and a largest number of sessions, per window.
 
-    A session that doesn't fit is skipped and adds no reason; the scan goes on. The passes' offers
-    of a window are sorted by Spark and read as one stream, as each choice depends on those before;
-    only the chosen ids and covered days are held. Sessions of unknown size count as empty.
+    A session that doesn't fit is skipped and adds no reason; the scan goes on. Each pass is a fit of its
+    offers to what the passes before have left (see _fit), so no window is read by one task. Sessions
+    of unknown size count as empty.
     """
-    import pandas as pd
-
-    first_code, fill = 4, 4 + len(SALIENCE)
-    rows = cut(canonical(sketches).withColumn("chars", F.coalesce(F.col("chars").cast("long"), F.lit(0).cast("long"))))
-    own = rows.select("window_key", "internal_id", "local_day", "chars", "plan_rank", "salience")
-    tops = _tops(rows, "provider", "provider_top", 1).unionByName(_tops(rows, "project", "project_top", 2)).unionByName(_tops(rows, "local_day", "day_top", 3))
-    codes = F.array(*[F.struct(F.lit(c).alias("code"), F.lit(f"salience:{c}").alias("reason"), F.lit(first_code + i).alias("stage")) for i, c in enumerate(SALIENCE)])
-    again = F.concat(F.filter(codes, lambda c: F.array_contains("salience", c.code)), F.array(F.struct(F.lit(None).cast("string").alias("code"), F.lit("budget_fill").alias("reason"), F.lit(fill).alias("stage"))))
-    others = own.withColumn("o", F.explode(again)).withColumns({"reason": F.col("o.reason"), "stage": F.col("o.stage"), "pos": F.col("plan_rank")}).drop("o", "salience")
-    offers = tops.join(own.drop("salience"), ["window_key", "internal_id"]).unionByName(others)
-    order = ["window_key", "stage", "pos", "internal_id"]
-
-    def fold(batches):
-        window = object()
-        for batch in batches:
-            keep = []
-            for key, stage, name, day, chars in zip(batch.window_key, batch.stage, batch.internal_id, batch.local_day, batch.chars, strict=True):
-                if key != window:
-                    window, chosen, days, asked = key, set(), set(), set()
-                    left = float("inf") if char_budget is None else char_budget
-                    room = float("inf") if max_selected is None else max_selected
-                fits, known = chars <= left and room >= 1, name in chosen
-                if stage < first_code:
-                    take = (known or fits) and not (stage == 3 and day in days)
-                elif stage < fill:  # the first session with the code that isn't chosen is asked, no other
-                    take = not known and stage not in asked and fits
-                    if not known:
-                        asked.add(stage)
-                else:
-                    take = not known and fits
-                if take and not known:
-                    chosen.add(name)
-                    left, room = left - chars, room - 1
-                if take:
-                    days.add(day)
-                keep.append(take)
-            yield batch.loc[pd.Series(keep, index=batch.index, dtype=bool)]
-
-    taken = offers.select(*order, "plan_rank", "reason", "local_day", "chars").repartition("window_key").sortWithinPartitions(*order)
-    taken = taken.mapInPandas(fold, taken.schema)
+    most = 1 << 60
+    key, both = ["window_key"], ["window_key", "internal_id"]
+    rows = cut(canonical(sketches).withColumn("_size", F.coalesce(F.col("chars").cast("long"), F.lit(0).cast("long"))))
+    own = rows.select(*both, "local_day", "_size", "plan_rank")
+    state = cut(rows.select(*key).distinct().select(*key, F.lit(most if char_budget is None else char_budget).alias("_left"), F.lit(most if max_selected is None else max_selected).alias("_room")))
+    chosen = cut(own.limit(0).select(*both, "local_day"))
+    reasons = chosen.select(*both, F.lit("").alias("reason"), F.lit(0).alias("stage"), F.lit(0).alias("pos"))
+
+    def take(offers: DataFrame) -> DataFrame:
+        """Of offers (window_key, internal_id, local_day, _size, pos) not chosen yet, those that fit; the state goes on."""
+        nonlocal state, chosen
+        new = _fit(offers.join(chosen.select(*both), both, "left_anti"), state, key, ["pos", "internal_id"])
+        one = new.withColumn("_one", F.lit(1).cast("long"))
+        if max_selected is not None:
+            one = running_sums(one, key, ["_pos"], {"_ahead": "_one"}).join(state.select(*key, "_room"), key).where("_ahead < _room").drop("_ahead", "_room")
+        new = cut(one)
+        used = new.groupBy(*key).agg(F.sum("_size").alias("_u"), F.sum("_one").alias("_k"))
+        state = cut(state.join(used, key, "left").select(*key, (F.col("_left") - F.coalesce("_u", F.lit(0))).alias("_left"), (F.col("_room") - F.coalesce("_k", F.lit(0))).alias("_room")))
+        chosen = cut(chosen.unionByName(new.select(*both, "local_day")))
+        return new
+
+    for by, reason, stage in (("provider", "provider_top", 1), ("project", "project_top", 2), ("local_day", "day_top", 3)):
+        offers = _tops(rows, by, reason, stage).join(own.select(*both, "local_day", "_size"), both)
+        if by == "local_day":
+            offers = offers.join(chosen.select(*key, "local_day").distinct(), [*key, "local_day"], "left_anti")
+        offers = cut(offers)
+        take(offers)
+        reasons = cut(reasons.unionByName(offers.join(chosen.select(*both), both, "left_semi").select(*reasons.columns)))
+    for i, code in enumerate(SALIENCE):
+        # the first session with the code that isn't chosen is asked, no other
+        left = rows.where(F.array_contains("salience", code)).join(chosen.select(*both), both, "left_anti")
+        asked = left.groupBy(*key).agg(F.min(F.struct("plan_rank", "internal_id", "local_day", "_size")).alias("s")).select(*key, "s.*")
+        new = cut(asked.join(state, key).where("_size <= _left and _room >= 1"))
+        state = cut(state.join(new.select(*key, F.col("_size").alias("_u")), key, "left").select(*key, (F.col("_left") - F.coalesce("_u", F.lit(0))).alias("_left"), (F.col("_room") - F.when(F.col("_u").isNotNull(), 1).otherwise(0)).alias("_room")))
+        chosen = cut(chosen.unionByName(new.select(*both, "local_day")))
+        reasons = reasons.unionByName(new.select(*both, F.lit(f"salience:{code}").alias("reason"), F.lit(4 + i).alias("stage"), F.col("plan_rank").alias("pos")))
+    new = take(own.withColumn("pos", F.col("plan_rank")))
+    reasons = reasons.unionByName(new.select(*both, F.lit("budget_fill").alias("reason"), F.lit(4 + len(SALIENCE)).alias("stage"), "pos"))
     why = F.transform(F.array_sort(F.collect_list(F.struct("stage", "pos", "reason"))), lambda r: r.reason)
-    return taken.groupBy("window_key", "internal_id").agg(F.min("plan_rank").cast("long").alias("plan_rank"), F.array_join(why, ",").alias("reasons"))
+    told = reasons.groupBy(*both).agg(F.array_join(why, ",").alias("reasons"))
+    return told.join(rows.select(*both, F.col("plan_rank").cast("long").alias("plan_rank")), both).select(*both, "plan_rank", "reasons")
 
 
 def coverage_of(sketches: DataFrame, chosen: DataFrame) -> DataFrame:
     """Targets and hits of providers, projects and days per window, and what was left out."""
-    rows = canonical(sketches).join(chosen.select("window_key", "internal_id", F.lit(True).alias("_in")), ["window_key", "internal_id"], "left")
+    rows = unique_sketches(sketches).join(chosen.select("window_key", "internal_id", F.lit(True).alias("_in")), ["window_key", "internal_id"], "left")
     aggs = []
     for d in ("provider", "project", "local_day"):
         aggs += [F.count_distinct(d).alias(f"{d}_target"), F.count_distinct(F.when(F.col("_in"), F.col(d))).alias(f"{d}_hit")]
@@ -130,31 +167,14 @@ def plan_projection(sketches: DataFrame, chosen: DataFrame) -> DataFrame:
 def budget_fit(items: DataFrame, budget: int, overhead: int = 0, by: tuple[str, ...] = ("group",), order: tuple[str, ...] = ("pos",), chars: str = "chars") -> DataFrame:
     """Items that fit a budget of characters per group, in order; one too large is skipped, not cut.
 
-    Items without a group, place or size are left out. Each group is sorted by Spark and read as one
-    stream, as an item's fate depends on those before it; only what is left of the budget is held,
-    and items larger than the whole budget don't enter the sort.
+    Items without a group, place or size are left out. Items that share a place are taken by size,
+    then by their other columns, and each is fitted for itself. See _fit for the phases.
     """
-    import pandas as pd
-
     keys, places = list(by), list(order)
-    small = items.select(*keys, *places, F.col(chars).cast("long").alias("_chars")).where(F.col("_chars") + overhead <= budget)
-    sorted_items = small.dropna().repartition(*keys).sortWithinPartitions(*keys, *places, "_chars")
-
-    def fold(batches):
-        group, left = None, budget
-        for batch in batches:
-            keep = []
-            for row in batch.itertuples(index=False, name=None):
-                if row[: len(keys)] != group:
-                    group, left = row[: len(keys)], budget
-                fits = row[-1] + overhead <= left
-                if fits:
-                    left -= row[-1] + overhead
-                keep.append(fits)
-            yield batch.loc[pd.Series(keep, index=batch.index, dtype=bool)]
-
-    kept = sorted_items.mapInPandas(fold, sorted_items.schema).drop("_chars")
-    return items.join(kept, [*by, *order], "left_semi")
+    sized = items.withColumn("_size", F.col(chars).cast("long") + overhead).dropna(subset=[*keys, *places, "_size"]).where(F.col("_size") <= budget)
+    ties = [f.name for f in items.schema.fields if f.name not in (*keys, *places) and f.dataType.typeName() not in ("map", "variant")]
+    limits = sized.select(*keys).distinct().withColumn("_left", F.lit(budget).cast("long"))
+    return _fit(sized, limits, keys, [*places, "_size", *ties]).select(*items.columns)
 
 
 def areas_under_budget(items: DataFrame, plan: DataFrame, budget: int, overhead: int = 0) -> DataFrame:
