@@ -219,7 +219,30 @@ def _fit(grp: str, source: str, budget: int, overhead: int) -> str:
     FROM fit f JOIN {source} d ON d.{grp} = f.grp AND d.pos > f.pos AND d.chars + {overhead} <= f.room) WHERE n = 1)"""
 
 
+def _budgeted(budget: int) -> str:
+    """The passes' offers of a window, one after another, each against what those before have left."""
+    top = lambda by, reason, stage: f"SELECT s.window_key, {stage} AS stage, t.pos, s.id, '{reason}' AS reason, s.local_day, 40 * s.msg_count AS chars FROM (SELECT window_key, arg_min(id, plan_rank) AS id, row_number() OVER (PARTITION BY window_key ORDER BY sum(active_us) DESC, {by}) AS pos FROM sketches GROUP BY window_key, {by}) t JOIN sketches s ON s.window_key = t.window_key AND s.id = t.id"
+    fill = 4 + len(SALIENCE)
+    offers = [top("provider", "provider_top", 1), top("project", "project_top", 2), top("local_day", "day_top", 3)]
+    offers += [f"SELECT window_key, {4 + i}, plan_rank, id, 'salience:{code}', local_day, 40 * msg_count FROM sketches WHERE msg_count % {i + 7} = 0" for i, code in enumerate(SALIENCE)]
+    offers.append(f"SELECT window_key, {fill}, plan_rank, id, 'budget_fill', local_day, 40 * msg_count FROM sketches")
+    known, fits = "list_contains(r.chosen, o.id)", "o.chars <= r.room"
+    take = f"CASE WHEN o.stage < 4 THEN ({known} OR {fits}) AND NOT (o.stage = 3 AND list_contains(r.days, o.local_day)) WHEN o.stage < {fill} THEN NOT {known} AND {fits} AND NOT list_contains(r.asked, o.stage) ELSE NOT {known} AND {fits} END"
+    return (base() + f""", {SKETCHES}, offers AS ({" UNION ALL ".join(offers)}),
+ queue AS (SELECT *, row_number() OVER (PARTITION BY window_key ORDER BY stage, pos, id) AS n FROM offers),
+ run AS (SELECT window_key, 0::BIGINT AS n, {budget}::BIGINT AS room, []::VARCHAR[] AS chosen, []::VARCHAR[] AS days, []::INT[] AS asked, false AS took FROM (SELECT DISTINCT window_key FROM sketches)
+   UNION ALL SELECT window_key, n, CASE WHEN take AND NOT known THEN room - chars ELSE room END, CASE WHEN take AND NOT known THEN list_append(chosen, id) ELSE chosen END, CASE WHEN take THEN list_append(days, local_day) ELSE days END,
+     CASE WHEN stage BETWEEN 4 AND {fill - 1} AND NOT known THEN list_append(asked, stage) ELSE asked END, take
+   FROM (SELECT r.window_key, o.n, r.room, r.chosen, r.days, r.asked, o.id, o.stage, o.chars, o.local_day, {known} AS known, {take} AS take FROM run r JOIN queue o ON o.window_key = r.window_key AND o.n = r.n + 1)),
+ plan AS (SELECT q.window_key, q.id AS internal_id, CAST(any_value(s.plan_rank) AS BIGINT) AS plan_rank, string_agg(reason, ',' ORDER BY q.stage, q.pos) AS reasons
+   FROM run r JOIN queue q ON q.window_key = r.window_key AND q.n = r.n JOIN sketches s ON s.window_key = q.window_key AND s.id = q.id WHERE took GROUP BY q.window_key, q.id)""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_HITS = ", ".join(f"count(DISTINCT s.{d}) AS {d}_target, count(DISTINCT CASE WHEN p.internal_id IS NOT NULL THEN s.{d} END) AS {d}_hit" for d in ("provider", "project", "local_day"))
+
 ORACLE: dict[str, str] = {
+    "sampling_plan_budgeted": _budgeted(6000) + " SELECT window_key, internal_id, plan_rank, reasons FROM plan",
+    "sampling_coverage": _budgeted(6000) + f" SELECT s.window_key, count(*) AS population, count(p.internal_id) AS selected, {_HITS} FROM sketches s LEFT JOIN plan p ON p.window_key = s.window_key AND p.internal_id = s.id GROUP BY s.window_key",
     "active_time_per_session": f"WITH {ACTIVITY}, {sessions()} SELECT agent, session_id, start_us, end_us, msg_count, user_msg_count, active_us, active_us // 1000000 AS active_sec FROM sessions",
     "active_time_wide_gap": f"WITH {ACTIVITY}, {sessions(WIDE)} SELECT agent, session_id, active_us FROM sessions",
     "engaged_sessions": f"WITH {ACTIVITY}, {sessions()} SELECT agent, session_id, user_msg_count, active_us FROM engagement WHERE engaged",
