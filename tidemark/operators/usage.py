@@ -92,14 +92,31 @@ def inherited_prefix(snapshots: DataFrame, lineage: DataFrame) -> DataFrame:
     """(branch, inherited): the longest leading run of a branch's totals that an ancestor holds in order.
 
     The ancestor's series is read once, in order, with the place reached in the branch's own: what
-    isn't the next value looked for is passed by. Branches without an ancestor inherit 0.
+    isn't the next value looked for is passed by. Branches without an ancestor are left out, those
+    without a match inherit 0. Each pair of equal values (place in the branch, place in the
+    ancestor) is a row that points to the next place of the branch's next value; how far the first
+    pair leads is found by pointer doubling, a logarithmic number of rounds. No series is in one row; a value
+    that both hold several times makes as many pairs as their product, but only up to the branch's first value that the ancestor lacks.
     """
-    row = F.struct("ts_us", *TOTALS)
-    value = lambda r: F.struct(*[r[c] for c in TOTALS])
-    series = snapshots.groupBy("branch").agg(F.transform(F.sort_array(F.collect_list(row)), value).alias("values"))
-    pairs = lineage.join(series, "branch").join(series.select(F.col("branch").alias("ancestor"), F.col("values").alias("theirs")), "ancestor")
-    matched = F.aggregate("theirs", F.lit(0), lambda at, v: at + F.get(F.col("values"), at).eqNullSafe(v).cast("int"))
-    return pairs.withColumn("m", matched.cast("long")).groupBy("branch").agg(F.max("m").alias("inherited"))
+    pair = ["branch", "ancestor"]
+    least = F.lit(-(2**63))
+    place = F.row_number().over(W.partitionBy("branch").orderBy("ts_us", *TOTALS)) - 1
+    placed = cut(snapshots.select("branch", place.alias("i"), *[F.coalesce(F.col(c).cast("long"), least).alias(c) for c in TOTALS]))
+    theirs = placed.select(F.col("branch").alias("ancestor"), F.col("i").alias("j"), *TOTALS)
+    met = cut(lineage.select(*pair).distinct().join(placed, "branch").join(theirs, ["ancestor", *TOTALS], "left").select(*pair, "i", "j"))
+    ends = met.where("j is null").groupBy(*pair).agg(F.min("i").alias("end"))
+    nodes = met.where("j is not null").join(ends, pair, "left").where("end is null or i < end").select(*pair, "i", "j")
+    # the places of the next value stand among those that look for it; read backwards, the last one seen is the nearest
+    asked = nodes.select(*pair, "i", "j", F.lit(1).alias("asks")).unionByName(nodes.where("i > 0").select(*pair, (F.col("i") - 1).alias("i"), "j", F.lit(0).alias("asks")))
+    back = W.partitionBy(*pair, "i").orderBy(F.desc("j"), F.desc("asks")).rowsBetween(W.unboundedPreceding, -1)
+    chain = asked.withColumn("to_j", F.last(F.when(F.col("asks") == 0, F.col("j")), ignorenulls=True).over(back)).where("asks = 1")
+    chain = cut(chain.select(*pair, "i", "j", (F.col("i") + 1).alias("to_i"), "to_j"))
+    while not chain.where("to_j is not null").isEmpty():
+        on = chain.select(*pair, F.col("i").alias("to_i"), F.col("j").alias("to_j"), F.col("to_i").alias("_i"), F.col("to_j").alias("_j"))
+        chain = cut(chain.join(on, [*pair, "to_i", "to_j"], "left").select(*pair, "i", "j", F.coalesce("_i", "to_i").alias("to_i"), F.col("_j").alias("to_j")))
+    # to_i is the end of the chain from each pair, and the first pair of a chain is the first place of the first value
+    reached = chain.where("i = 0").groupBy(*pair).agg(F.min_by("to_i", "j").cast("long").alias("m"))
+    return lineage.select(*pair).distinct().join(reached, pair, "left").groupBy("branch").agg(F.max(F.coalesce("m", F.lit(0).cast("long"))).alias("inherited"))
 
 
 def branch_usage(snapshots: DataFrame, branches: DataFrame) -> DataFrame:

@@ -277,6 +277,12 @@ ORACLE: dict[str, str] = {
     "usage_step_dedup": f"WITH {usage()} SELECT agent AS session_id, count(*) AS steps, CAST(sum(k) AS BIGINT) AS input_tokens FROM raw_usage WHERE event_id % 3 <> 0 GROUP BY ALL",
     "cumulative_delta": f"WITH {SNAPSHOTS} SELECT branch, ts_us, model, 2 * d AS input_tokens, 2 * d AS cache_creation, d AS cache_read, 5 * d AS output_tokens FROM deltas WHERE d > 0",
     "inherited_prefix": f"WITH {SNAPSHOTS} SELECT branch || '-c' AS branch, count(*) // 2 AS inherited FROM snaps WHERE h > 0 GROUP BY branch",
+    "inherited_broken_runs": """WITH RECURSIVE o AS (SELECT 'c' || o_custkey AS branch, o_custkey, o_orderkey, (o_orderkey // 4) % 3 AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders),
+ tree AS (SELECT DISTINCT branch, 'c' || (o_custkey // 2) AS parent FROM o WHERE o_custkey % 4 >= 2),
+ up AS (SELECT branch, parent AS ancestor FROM tree UNION SELECT up.branch, t.parent FROM up JOIN tree t ON t.branch = up.ancestor),
+ scan AS (SELECT branch, ancestor, 0::BIGINT AS j, 0::BIGINT AS got FROM up
+   UNION ALL SELECT s.branch, s.ancestor, s.j + 1, s.got + CASE WHEN mine.v = theirs.v THEN 1 ELSE 0 END FROM scan s JOIN o theirs ON theirs.branch = s.ancestor AND theirs.i = s.j LEFT JOIN o mine ON mine.branch = s.branch AND mine.i = s.got)
+ SELECT branch, max(got) AS inherited FROM scan GROUP BY branch""",
     "branch_usage": f"""WITH {SNAPSHOTS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY branch ORDER BY ts_us, h) AS i, count(*) OVER (PARTITION BY branch) AS n, greatest(0, h - coalesce(lag(h) OVER (PARTITION BY branch ORDER BY ts_us, h), 0)) AS g FROM snaps WHERE h > 0),
  child AS (SELECT a.branch || '-c' AS branch, a.h AS x, coalesce(b.h, 0) AS y FROM ranked a LEFT JOIN ranked b ON b.branch = a.branch AND b.i = a.n // 2 WHERE a.i = a.n)
  SELECT branch, count(*) AS turns, CAST(sum(2 * g) AS BIGINT) AS input_tokens, CAST(sum(2 * g) AS BIGINT) AS cache_creation, CAST(sum(g) AS BIGINT) AS cache_read, CAST(sum(5 * g) AS BIGINT) AS output_tokens FROM ranked WHERE g > 0 GROUP BY branch

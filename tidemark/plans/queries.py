@@ -259,6 +259,21 @@ def inherited_prefix(spark, sf_dir):
     return K.inherited_prefix(K.distinct_snapshots(rows), K.ancestors(tree))
 
 
+def _order_branches(spark, sf_dir):
+    """Customers' orders as counters of few values, in a tree: what a branch shares with its ancestors is broken by other values."""
+    o = B.table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").cast("long").alias("ts_us"), F.expr("(o_orderkey div 4) % 3").cast("long").alias("v"))
+    rows = o.select(F.concat(F.lit("c"), "o_custkey").alias("branch"), "ts_us", F.lit("m1").alias("model"), F.col("v").alias("input_total"), F.lit(0).cast("long").alias("cached_total"), F.lit(0).cast("long").alias("write_total"), (2 * F.col("v")).alias("output_total"))
+    tree = o.where("o_custkey % 4 >= 2").select(F.concat(F.lit("c"), "o_custkey").alias("branch"), F.concat(F.lit("c"), F.expr("o_custkey div 2")).alias("parent")).distinct()
+    return rows, tree
+
+
+@query
+def inherited_broken_runs(spark, sf_dir):
+    """How much of each branch its ancestors hold in order, over several generations, runs broken and values repeated."""
+    rows, tree = _order_branches(spark, sf_dir)
+    return K.inherited_prefix(K.distinct_snapshots(rows), K.ancestors(tree))
+
+
 @query
 def branch_usage(spark, sf_dir):
     rows, tree = _branches(spark, sf_dir)
