@@ -364,6 +364,55 @@ def test_registry():
         L.providers("nobody")
 
 
+def test_line_numbers_over_splits(spark, tmp_path):
+    """Files of several splits are numbered as they read, and the lines themselves aren't moved."""
+    rng = random.Random(5)
+    want = {}
+    for f in range(3):
+        lines = ["" if rng.random() < 0.1 else json.dumps({"n": i, "x": "y" * rng.randint(0, 90)}) if rng.random() < 0.9 else "broken {" for i in range(200)]
+        (tmp_path / f"f{f}.jsonl").write_text("\n".join(lines) + "\n")
+        want |= {(f"f{f}", i + 1): line for i, line in enumerate(lines) if line}
+    keys = {"spark.sql.files.maxPartitionBytes": "3000", "spark.sql.files.openCostInBytes": "100"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        got = L.scan(spark, [str(tmp_path)])
+        rows = got.lines.collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {(r.path.rsplit("/", 1)[1][:2], r.line_no): r.value for r in rows} == want
+    assert got.metrics == {"files": 3, "lines": len(want), "bad_lines": sum(v == "broken {" for v in want.values()), "inventory_complete": False}
+    plan = got.lines._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Window" not in plan
+
+
+def test_a_failing_provider_is_a_report_row(spark, tmp_path):
+    def broken(lines):
+        raise ValueError("cannot read this")
+
+    line = lambda role, s: json.dumps({"type": role, "timestamp": f"2024-01-01T00:00:{s:02d}Z", "message": {"role": role, "content": "words", "model": "m", "id": f"i{s}", "usage": {"input_tokens": s, "output_tokens": 1}}})
+    for agent in ("agent_a", "agent_x", "agent_y"):
+        (tmp_path / agent).mkdir()
+        (tmp_path / agent / "s.jsonl").write_text("\n".join([line("user", 1), line("assistant", 31), "{"]) + "\n")
+    L.register(L.Provider("agent_x", "X", "partial", broken))
+    L.register(L.Provider("agent_y", "Y", "unavailable", lambda lines: L.message_log(lines).withColumn("agent", F.lit("agent_y"))))
+    try:
+        got = L.ingest(spark, {a: [str(tmp_path / a)] for a in ("agent_a", "agent_x", "agent_y")})
+    finally:
+        del L._REGISTRY["agent_x"], L._REGISTRY["agent_y"]
+    assert {r.agent: (r.files, r.lines, r.bad_lines, r.error) for r in got.report.collect()} == {"agent_a": (1, 3, 1, None), "agent_x": (1, 3, 1, "ValueError: cannot read this"), "agent_y": (1, 3, 1, None)}
+    assert sorted(r.agent for r in got.messages.collect()) == ["agent_a", "agent_a", "agent_y", "agent_y"]
+    assert [(r.agent, r.input_tokens) for r in got.usage.collect()] == [("agent_a", 31)]
+    start = D.to_us(datetime(2024, 1, 1, tzinfo=UTC))
+    assert {r.agent: r.active_us for r in L.sessions_between(got.messages, start, start + 60 * S1).collect()} == {"agent_a": 30 * S1, "agent_y": 30 * S1}
+    assert L.sessions_between(got.messages, start + 32 * S1).count() == 0 and L.sessions_between(got.messages, engaged_only=True).count() == 0
+    assert L.usage_between(got.usage, start + 31 * S1, agent="agent_a").count() == 1 and L.usage_between(got.usage, agent="agent_b").count() == 0
+    with pytest.raises(ValueError):
+        L.collect_messages(spark, {})
+
+
 def test_streaming_total(spark, tmp_path):
     from tidemark.streaming.activity import running_active_time
 

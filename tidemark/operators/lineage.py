@@ -3,23 +3,37 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder and read back; a temporary folder only in local mode where none is set."""
+def _shared_folder(df: DataFrame) -> str:
+    """The checkpoint folder; a temporary one only in local mode where none is set."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not folder and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder and read back."""
+    _shared_folder(df)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the checkpoint folder, of which later plans read only what they need."""
+    path = f"{_shared_folder(df)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """rows with their place 1, 2, ... in `order` (ascending, nulls first): sorted by ranges, so no task gets them all."""
     at = F.monotonically_increasing_id()

@@ -2,7 +2,7 @@
 
 raw_lines reads text once and keeps each line as a VARIANT; the adapters project it to columns
 early. A line that isn't a JSON object becomes a null and is counted, never fatal. Line numbers
-are taken at the scan, before any shuffle.
+are settled without moving the lines.
 """
 
 from __future__ import annotations
@@ -10,22 +10,52 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import file_stem, is_narrative, is_real_user, strip_task, unwrap_request
 from tidemark.functions.time import parse_iso
+from tidemark.operators import activity as A
 from tidemark.operators import usage as K
+from tidemark.operators.lineage import written
 
+#: Splits of log files whose counts are broadcast (about 100 bytes each).
+MOST_SPLITS = 200_000
 MESSAGES = ["agent", "session_id", "path", "line_no", "ts_us", "is_activity", "counts_msg", "is_real_user", "text", "narrative", "cwd", "is_subagent", "is_scheduled"]
 
 
-def raw_lines(spark: SparkSession, paths: list[str], recursive: bool = False, modified_after: str | None = None, name: str = "*.jsonl") -> DataFrame:
-    """(path, line_no, value, v) of every non-blank line; v is null where the line is no JSON object.
+@dataclass(frozen=True)
+class Scan:
+    """Log files read once: lines (path, line_no, value, v) as a written table, and what was met on the way."""
+
+    lines: DataFrame
+    metrics: dict[str, int]
+
+
+def numbered_lines(seen: DataFrame) -> DataFrame:
+    """seen (path, _block, _at, ...) with line_no in place of _block and _at: lines counted in two levels.
+
+    A split's lines are counted, the counts of a file's splits are summed up, and a line adds its
+    place in its split. Only a row for each split is shuffled; it is broadcast up to MOST_SPLITS
+    splits, beyond that joined.
+    """
+    first = W.partitionBy("path").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    splits = seen.groupBy("path", "_block").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    splits = written(splits.select("path", "_block", (F.coalesce(F.sum("_n").over(first), F.lit(0)) - F.col("_first") + 1).alias("_shift")))
+    few = splits.count() <= MOST_SPLITS
+    met = seen.join(F.broadcast(splits) if few else splits, ["path", "_block"])
+    return met.withColumn("line_no", F.col("_at") + F.col("_shift")).drop("_block", "_at", "_shift")
+
+
+def scan(spark: SparkSession, paths: list[str], recursive: bool = False, modified_after: str | None = None, name: str = "*.jsonl") -> Scan:
+    """The lines of log files, parsed once and written, so that all adapters and windows read the same table.
 
     Overlapping globs are one scan and a file counts once. modified_after prunes files by their
-    time and is for sessions only: usage trusts the instants inside.
+    time and is for sessions only: usage trusts the instants inside. Blank lines are numbered and left
+    out. metrics: files that have lines, lines and bad_lines (not blank; no JSON object), counted
+    during the scan, and inventory_complete.
     """
     reader = spark.read.option("pathGlobFilter", name)
     if recursive:
@@ -33,14 +63,23 @@ def raw_lines(spark: SparkSession, paths: list[str], recursive: bool = False, mo
     if modified_after:
         reader = reader.option("modifiedAfter", modified_after)
     lines = reader.text(list(dict.fromkeys(paths))).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
-    order = W.partitionBy("path").orderBy("_block", "_at")
-    lines = lines.withColumn("line_no", F.row_number().over(order)).where(F.trim("value") != "")
     v = F.try_parse_json("value")
-    return lines.withColumn("v", F.when(F.schema_of_variant(v).startswith("OBJECT"), v)).select("path", "line_no", "value", "v")
+    lines = lines.withColumn("v", F.when(F.schema_of_variant(v).startswith("OBJECT"), v))
+    told, there = Observation(), F.trim("value") != ""
+    lines = lines.observe(told, F.count_if(there).alias("lines"), F.count_if(there & F.col("v").isNull()).alias("bad_lines"))
+    seen = written(lines)
+    files = seen.where(there).select("path").distinct().count()
+    out = numbered_lines(seen).where(there).select("path", "line_no", "value", "v")
+    return Scan(out, {"files": files, **told.get, "inventory_complete": told.get["bad_lines"] == 0})
+
+
+def raw_lines(spark: SparkSession, paths: list[str], recursive: bool = False, modified_after: str | None = None, name: str = "*.jsonl") -> DataFrame:
+    """(path, line_no, value, v) of every non-blank line; v is null where the line is no JSON object. See scan."""
+    return scan(spark, paths, recursive, modified_after, name).lines
 
 
 def scan_metrics(lines: DataFrame) -> DataFrame:
-    """Files, lines, lines that didn't parse, and whether all did."""
+    """The same counts of lines that were not read by `scan`."""
     return lines.agg(F.count_distinct("path").alias("files"), F.count("*").alias("lines"), F.count_if(F.col("v").isNull()).alias("bad_lines")).withColumn("inventory_complete", F.col("bad_lines") == 0)
 
 
@@ -199,13 +238,14 @@ def transcript_index(lines: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Provider:
-    """An agent's adapter: name, label, how completely it reports usage, and its tables."""
+    """An agent's adapter: name, label, how completely it reports usage, and its tables from lines."""
 
     name: str
     label: str
     usage_coverage: str
-    messages: Callable[[SparkSession, list[str]], DataFrame]
-    usage: Callable[[SparkSession, list[str]], DataFrame] | None = None
+    messages: Callable[[DataFrame], DataFrame]
+    usage: Callable[[DataFrame], DataFrame] | None = None
+    recursive: bool = False
 
 
 _REGISTRY: dict[str, Provider] = {}
@@ -227,18 +267,70 @@ def providers(agent: str = "all") -> list[Provider]:
     return [_REGISTRY[agent]]
 
 
-def collect_messages(spark: SparkSession, roots: dict[str, list[str]], agent: str = "all") -> DataFrame:
-    """Messages of the chosen providers in one table; roots: paths of each provider."""
-    out = None
+@dataclass(frozen=True)
+class Logs:
+    """What the providers' files hold: messages and usage of all that could be read, and a report row for each.
+
+    report: agent, files, lines, bad_lines, error (null: read). messages and usage are None if no provider has any.
+    """
+
+    messages: DataFrame | None
+    usage: DataFrame | None
+    report: DataFrame
+
+
+def ingest(spark: SparkSession, roots: dict[str, list[str]], agent: str = "all", modified_after: str | None = None) -> Logs:
+    """Messages and usage of the chosen providers; roots: paths of each provider, those without one are left out.
+
+    Each provider's files are scanned once for both tables. A provider whose files or adapter fail
+    becomes a report row with the error; the others go on.
+    """
+    messages, usage, report = None, None, []
     for p in providers(agent):
-        if roots.get(p.name):
-            part = p.messages(spark, roots[p.name])
-            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    if out is None:
-        raise ValueError("no provider has a path")
-    return out
+        if not roots.get(p.name):
+            continue
+        met: dict = {}
+        try:
+            got = scan(spark, roots[p.name], p.recursive, modified_after)
+            met = got.metrics
+            said = written(p.messages(got.lines))
+            used = written(p.usage(got.lines).withColumn("agent", F.lit(p.name))) if p.usage else None
+        except (PySparkException, ValueError, KeyError, TypeError) as e:
+            report.append((p.name, met.get("files"), met.get("lines"), met.get("bad_lines"), f"{type(e).__name__}: {str(e).splitlines()[0][:200] if str(e) else ''}"))
+            continue
+        report.append((p.name, met["files"], met["lines"], met["bad_lines"], None))
+        messages = said if messages is None else messages.unionByName(said, allowMissingColumns=True)
+        if used is not None:
+            usage = used if usage is None else usage.unionByName(used, allowMissingColumns=True)
+    return Logs(messages, usage, spark.createDataFrame(report, "agent string, files long, lines long, bad_lines long, error string"))
 
 
-register(Provider("agent_a", "Agent A", "complete", lambda s, r: message_log(raw_lines(s, r)), lambda s, r: message_usage(raw_lines(s, r))))
-register(Provider("agent_b", "Agent B", "complete", lambda s, r: rollout_log(raw_lines(s, r, recursive=True)), lambda s, r: K.branch_usage(*rollout_snapshots(raw_lines(s, r, recursive=True)))))
-register(Provider("agent_c", "Agent C", "complete", lambda s, r: step_log(raw_lines(s, r)), lambda s, r: step_usage(raw_lines(s, r))))
+def collect_messages(spark: SparkSession, roots: dict[str, list[str]], agent: str = "all") -> DataFrame:
+    """Messages of the chosen providers in one table; roots: paths of each provider. A failing provider is an error here."""
+    got = ingest(spark, roots, agent)
+    failed = got.report.where("error is not null").first()
+    if failed is not None or got.messages is None:
+        raise ValueError(f"{failed.agent}: {failed.error}" if failed is not None else "no provider has a path")
+    return got.messages
+
+
+def sessions_between(messages: DataFrame, since_us: int | None = None, until_us: int | None = None, engaged_only: bool = False, cap_us: int = A.GAP_CAP_US) -> DataFrame:
+    """Sessions of messages whose closed span meets [since, until); open bounds are null."""
+    found = A.sessions(messages, cap_us)
+    if since_us is not None:
+        found = found.where(F.col("end_us") >= since_us)
+    if until_us is not None:
+        found = found.where(F.col("start_us") < until_us)
+    return found.where("engaged") if engaged_only else found
+
+
+def usage_between(usage: DataFrame, since_us: int | None = None, until_us: int | None = None, agent: str | None = None) -> DataFrame:
+    """Usage rows inside the closed bounds, of one agent or all; message ids aren't settled here (see usage_in_windows)."""
+    rows = usage if agent is None else usage.where(F.col("agent") == agent)
+    rows = rows if since_us is None else rows.where(F.col("ts_us") >= since_us)
+    return rows if until_us is None else rows.where(F.col("ts_us") <= until_us)
+
+
+register(Provider("agent_a", "Agent A", "complete", message_log, message_usage))
+register(Provider("agent_b", "Agent B", "complete", rollout_log, lambda lines: K.branch_usage(*rollout_snapshots(lines)), recursive=True))
+register(Provider("agent_c", "Agent C", "complete", step_log, step_usage))
