@@ -238,9 +238,51 @@ def _budgeted(budget: int) -> str:
    FROM run r JOIN queue q ON q.window_key = r.window_key AND q.n = r.n JOIN sketches s ON s.window_key = q.window_key AND s.id = q.id WHERE took GROUP BY q.window_key, q.id)""").replace("WITH ", "WITH RECURSIVE ", 1)
 
 
+def _real(text: str) -> str:
+    return f"(trim({text}) <> '' AND NOT starts_with({text}, '<') AND NOT contains({text}, 'tool_use_id'))"
+
+
+def _told(text: str) -> str:
+    return f"({text} <> '' AND NOT starts_with({text}, '<scheduled-task') AND NOT starts_with({text}, '<system-reminder>') AND NOT contains({text}, 'tool_use_id'))"
+
+
+# what the lines of bindings mean, said from the tables and without any JSON
+LINES_A = f"""said AS (SELECT conv_id, turn, role, CASE WHEN conv_id % 9 = 0 AND turn <= 1 AND role = 'user' THEN '<scheduled-task name="x"> ' || text ELSE text END AS text, length(text) AS chars, (conv_id * 7 + turn) % 23 = 0 AS broken,
+   CASE WHEN (conv_id + turn) % 13 <> 0 THEN (1705276800 + conv_id * 600 + turn * 37) * 1000000 END AS ts_us, {_case("conv_id % 8", B.FOLDERS)} AS folder, conv_id % 11 = 0 AS sub FROM conversations),
+ firsts AS (SELECT conv_id, arg_min(text, turn) AS opening FROM said WHERE role = 'user' AND NOT broken AND trim(text) <> '' GROUP BY conv_id),
+ msgs_a AS (SELECT 'agent_a' AS agent, 'conv-' || s.conv_id AS session_id, turn + 1 AS line_no, ts_us, role, role = 'user' AND {_real("text")} AS is_real_user, {_told("text")} AS narrative, text, '/work/' || (s.conv_id % 16) AS cwd, sub AS is_subagent, folder AS project_raw,
+   coalesce(starts_with(opening, '<scheduled-task'), false) AS is_scheduled FROM said s LEFT JOIN firsts f ON f.conv_id = s.conv_id WHERE NOT broken AND role IN ('user', 'assistant'))"""
+LINES_B = f"""msgs_b AS (SELECT 'agent_b' AS agent, 'u' || user_id AS session_id, event_id + 2 AS line_no, epoch_us(ts) AS ts_us, event_type <> 'signup' AND NOT (event_type = 'view' AND event_id % 3 = 0) AS is_activity, event_type IN ('click', 'purchase') OR (event_type = 'view' AND event_id % 3 <> 0) AS counts_msg,
+   event_type = 'click' AS is_real_user, CASE WHEN event_type IN ('click', 'error') THEN 'do ' || event_id WHEN event_type = 'purchase' THEN 'do ' || event_id || chr(10) || 'more' ELSE '' END AS text,
+   CASE WHEN event_type = 'click' THEN 'user' WHEN event_type = 'purchase' THEN CASE WHEN event_id % 2 = 0 THEN 'user' ELSE 'assistant' END END AS role FROM events WHERE user_id % 10 <> 7
+  UNION ALL SELECT 'agent_b', 'u' || user_id, 1, min(epoch_us(ts)), false, false, false, '', NULL FROM events WHERE user_id % 10 <> 7 GROUP BY user_id)"""
+LINES_C = f"""steps_c AS (SELECT user_id, event_id, event_type, epoch_us(ts) AS ts_us, event_type IN ('click', 'purchase') AS asks, CASE WHEN event_type IN ('click', 'purchase', 'signup') AND user_id % 25 = 0 THEN '<identity> ' ELSE '' END || 'say ' || CAST(json_extract(props, '$.k') AS BIGINT) AS text FROM events),
+ msgs_c AS (SELECT 'agent_c' AS agent, 'u' || user_id AS session_id, event_id + 1 AS line_no, ts_us, asks OR event_type IN ('view', 'error') AS counts_msg, asks AND {_real("text")} AS is_real_user, text, CASE WHEN asks THEN 'user' WHEN event_type IN ('view', 'error') THEN 'assistant' END AS role
+   FROM steps_c WHERE user_id NOT IN (SELECT user_id FROM steps_c WHERE asks AND user_id % 25 = 0))"""
+
 _HITS = ", ".join(f"count(DISTINCT s.{d}) AS {d}_target, count(DISTINCT CASE WHEN p.internal_id IS NOT NULL THEN s.{d} END) AS {d}_hit" for d in ("provider", "project", "local_day"))
 
 ORACLE: dict[str, str] = {
+    "log_messages_a": f"WITH {LINES_A} SELECT session_id, line_no, ts_us, role, is_real_user, narrative, text, cwd, is_subagent, project_raw, is_scheduled FROM msgs_a",
+    "log_usage_a": f"""WITH {LINES_A} SELECT 'projects/' || folder || CASE WHEN sub THEN '/subagents' ELSE '' END || '/conv-' || conv_id || '.jsonl' AS path, turn + 1 AS line_no, ts_us, CASE WHEN conv_id % 6 <> 5 THEN 'model-' || (conv_id % 3) ELSE 'unknown' END AS model,
+ 'm' || conv_id || '-' || (turn // 2) AS message_id, 10 * turn AS input_tokens, CASE WHEN turn % 2 = 0 THEN 5 ELSE 0 END AS cache_creation, chars % 100 AS cache_read, conv_id % 50 AS output_tokens FROM said WHERE role = 'assistant' AND NOT broken AND ts_us IS NOT NULL AND conv_id % 10 <> 3""",
+    "log_metrics": "SELECT count(DISTINCT conv_id) AS files, count(*) AS lines, count_if((conv_id * 7 + turn) % 23 = 0) AS bad_lines, count_if((conv_id * 7 + turn) % 23 = 0) = 0 AS inventory_complete FROM conversations",
+    "log_messages_b": f"WITH {LINES_B} SELECT session_id, line_no, ts_us, is_activity, counts_msg, is_real_user, text, role FROM msgs_b",
+    "log_usage_b": """WITH counted AS (SELECT user_id, event_id, epoch_us(ts) AS ts_us, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE event_type = 'signup'),
+ most AS (SELECT user_id, max(n) AS most FROM counted GROUP BY user_id), switches AS (SELECT user_id, event_id, 'm' || (event_id % 4) AS model FROM events WHERE event_type = 'view' AND event_id % 3 = 0),
+ own AS (SELECT c.*, (SELECT arg_max(model, s.event_id) FROM switches s WHERE s.user_id = c.user_id AND s.event_id < c.event_id) AS model FROM counted c),
+ up AS (SELECT user_id, user_id - 1 AS parent FROM most WHERE user_id % 10 = 7)
+ SELECT 'u' || o.user_id AS branch, ts_us, coalesce(model, 'unknown') AS model, 6 AS input_tokens, 1 AS cache_creation, 4 AS cache_read, 3 AS output_tokens
+ FROM own o LEFT JOIN up u ON u.user_id = o.user_id LEFT JOIN most m ON m.user_id = u.parent WHERE n > coalesce(m.most, 0)""",
+    "log_messages_c": f"WITH {LINES_C} SELECT session_id, line_no, ts_us, counts_msg, is_real_user, text, role FROM msgs_c",
+    "log_usage_c": """WITH e AS (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)
+ SELECT 'u' || user_id AS session_id, event_id AS step, epoch_us(ts) AS ts_us, CASE event_type WHEN 'view' THEN 's1' ELSE 's2' END AS model, k AS input_tokens, 0 AS cache_creation, CASE WHEN event_type = 'error' AND k % 2 = 0 THEN 2 * k ELSE 0 END AS cache_read, CASE event_type WHEN 'view' THEN k + 1 ELSE k END AS output_tokens
+ FROM e WHERE event_type = 'view' OR (event_type = 'error' AND event_id % 7 <> 0)""",
+    "log_sessions": f"""WITH {LINES_A}, {LINES_B}, {LINES_C},
+ rows AS (SELECT agent, session_id, ts_us, is_real_user, is_scheduled FROM msgs_a WHERE NOT is_subagent UNION ALL SELECT agent, session_id, ts_us, is_real_user, false FROM msgs_b WHERE is_activity UNION ALL SELECT agent, session_id, ts_us, is_real_user, false FROM msgs_c),
+ gaps AS (SELECT *, CASE WHEN lead(ts_us) OVER s IS NOT NULL THEN least(lead(ts_us) OVER s - ts_us, 300000000) ELSE 0 END AS gap FROM rows WHERE ts_us IS NOT NULL WINDOW s AS (PARTITION BY agent, session_id ORDER BY ts_us)),
+ whole AS (SELECT agent, session_id, min(ts_us) AS start_us, max(ts_us) AS end_us, count(*) AS msg_count, CAST(count_if(is_real_user) AS BIGINT) AS user_msg_count, CAST(sum(gap) AS BIGINT) AS active_us, max(is_scheduled) AS is_scheduled FROM gaps GROUP BY ALL)
+ SELECT * FROM whole WHERE end_us >= {B.WINDOWS[0][1]} AND start_us < {B.WINDOWS[0][1] + 12 * 86_400 * 1_000_000} AND CASE WHEN is_scheduled THEN user_msg_count >= 1 ELSE user_msg_count >= 2 OR (user_msg_count = 1 AND active_us >= 60000000) END""",
     "sampling_plan_budgeted": _budgeted(6000) + " SELECT window_key, internal_id, plan_rank, reasons FROM plan",
     "sampling_coverage": _budgeted(6000) + f" SELECT s.window_key, count(*) AS population, count(p.internal_id) AS selected, {_HITS} FROM sketches s LEFT JOIN plan p ON p.window_key = s.window_key AND p.internal_id = s.id GROUP BY s.window_key",
     "active_time_per_session": f"WITH {ACTIVITY}, {sessions()} SELECT agent, session_id, start_us, end_us, msg_count, user_msg_count, active_us, active_us // 1000000 AS active_sec FROM sessions",

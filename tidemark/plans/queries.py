@@ -20,6 +20,7 @@ from tidemark.operators import summaries as M
 from tidemark.operators import usage as K
 from tidemark.operators.lineage import numbered
 from tidemark.sources import bindings as B
+from tidemark.sources import logs as L
 
 WIDE_CAP_US = 21_600_000_000
 Query = Callable[[SparkSession, str], DataFrame]
@@ -662,3 +663,54 @@ def coverage_over_weeks(spark, sf_dir):
     """Least complete coverage of each agent over the weeks it was active in."""
     rows = A.slices(B.activity(spark, sf_dir), B.weekly(spark)).select("agent", "window_key").distinct().join(F.broadcast(B.providers(spark).select("agent", "usage_coverage")), "agent")
     return K.least_coverage(rows)
+
+
+@query
+def log_messages_a(spark, sf_dir):
+    """Messages of shape A lines made from conversations."""
+    got = L.message_log(B.message_lines(spark, sf_dir))
+    return got.select("session_id", "line_no", "ts_us", "role", "is_real_user", "narrative", "text", "cwd", "is_subagent", "project_raw", "is_scheduled")
+
+
+@query
+def log_usage_a(spark, sf_dir):
+    got = L.message_usage(B.message_lines(spark, sf_dir))
+    return got.select("path", "line_no", "ts_us", "model", "message_id", *K.COUNTERS)
+
+
+@query
+def log_metrics(spark, sf_dir):
+    """Files, lines and lines that are no JSON objects."""
+    return L.scan_metrics(B.message_lines(spark, sf_dir))
+
+
+@query
+def log_messages_b(spark, sf_dir):
+    got = L.rollout_log(B.rollout_lines(spark, sf_dir))
+    return got.select("session_id", "line_no", "ts_us", "is_activity", "counts_msg", "is_real_user", "text", "role")
+
+
+@query
+def log_usage_b(spark, sf_dir):
+    """Usage of rollouts from cumulative counters, without what children copied."""
+    return K.branch_usage(*L.rollout_snapshots(B.rollout_lines(spark, sf_dir))).select("branch", "ts_us", "model", *K.COUNTERS)
+
+
+@query
+def log_messages_c(spark, sf_dir):
+    got = L.step_log(B.step_lines(spark, sf_dir))
+    return got.select("session_id", "line_no", "ts_us", "counts_msg", "is_real_user", "text", "role")
+
+
+@query
+def log_usage_c(spark, sf_dir):
+    return L.step_usage(B.step_lines(spark, sf_dir)).select("session_id", "step", "ts_us", "model", *K.COUNTERS)
+
+
+@query
+def log_sessions(spark, sf_dir):
+    """Sessions of all three shapes whose span meets a window of twelve days, engaged ones only."""
+    parts = [L.message_log(B.message_lines(spark, sf_dir)), L.rollout_log(B.rollout_lines(spark, sf_dir)), L.step_log(B.step_lines(spark, sf_dir))]
+    rows = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+    got = L.sessions_between(rows.where("is_activity"), B.WINDOWS[0][1], B.WINDOWS[0][1] + 12 * 86_400 * 1_000_000, engaged_only=True)
+    return got.select("agent", "session_id", "start_us", "end_us", "msg_count", "user_msg_count", "active_us", "is_scheduled")

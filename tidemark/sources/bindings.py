@@ -114,3 +114,74 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conversations with a total order and its message flags."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return rows.withColumn("is_real_user", (F.col("role") == "user") & is_real_user(F.col("text")))
+
+
+def _iso(us: Column) -> Column:
+    """An instant as ISO text with the session's own offset."""
+    return F.date_format(F.timestamp_micros(us), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+
+
+def _as_lines(rows: DataFrame) -> DataFrame:
+    """rows (path, line_no, value) as the adapters take them."""
+    v = F.try_parse_json("value")
+    return rows.withColumn("v", F.when(F.schema_of_variant(v).startswith("OBJECT"), v))
+
+
+def message_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversations as lines of one file each, shape A: text and parts, tools' files of subagents, scheduled tasks, broken lines, clocks and counters."""
+    c, t = F.col("conv_id"), F.col("turn")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.when((c % 9 == 0) & (t <= 1) & (F.col("role") == "user"), F.concat(F.lit('<scheduled-task name="x"> '), "text")).otherwise(F.col("text"))
+    counters = F.struct((10 * t).alias("input_tokens"), F.when(t % 2 == 0, 5).alias("cache_creation_input_tokens"), (F.length("text") % 100).alias("cache_read_input_tokens"), F.when(c % 10 == 3, -1).otherwise(c % 50).alias("output_tokens"))
+    told = F.when(F.col("role") == "assistant", counters)
+    common = [F.col("role"), F.concat(F.lit("m"), "conv_id", F.lit("-"), F.floor(t / 2)).alias("id"), F.when(c % 6 != 5, F.concat(F.lit("model-"), (c % 3).cast("string"))).alias("model"), told.alias("usage")]
+    tool, part = F.lit(None).cast("string").alias("text"), F.lit("text").alias("type")
+    parts = F.array(F.struct(F.lit("tool_use").alias("type"), tool), F.struct(part, said.alias("text")), F.struct(part, F.lit("second").alias("text")))
+    stamp = F.when((c + t) % 13 == 0, F.lit("never")).otherwise(_iso((1705276800 + c * 600 + t * 37) * SECOND))
+    line = lambda content: F.to_json(F.struct(F.col("role").alias("type"), stamp.alias("timestamp"), F.concat(F.lit("/work/"), (c % 16).cast("string")).alias("cwd"), F.struct(*common, content.alias("content")).alias("message")))
+    value = F.when(t % 3 == 0, line(said)).otherwise(line(parts))
+    path = F.concat(F.lit("projects/"), _pick(FOLDERS, c % 8), F.when(c % 11 == 0, F.lit("/subagents")).otherwise(F.lit("")), F.lit("/conv-"), c.cast("string"), F.lit(".jsonl"))
+    return _as_lines(rows.select(path.alias("path"), (t + 1).alias("line_no"), F.when((c * 7 + t) % 23 == 0, F.left(value, F.lit(20))).otherwise(value).alias("value")))
+
+
+def rollout_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' events as rollout files, shape B, each after a line of session metadata; every tenth user is a child of the one before."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", epoch_us("ts").alias("us"))
+    kind, view = F.col("event_type"), F.col("event_type") == "view"
+    from pyspark.sql import Window as W
+
+    n = F.row_number().over(W.partitionBy("user_id").orderBy("event_id"))
+    counted = e.where("event_type = 'signup'").select("event_id", n.alias("n"))
+    e = e.join(counted, "event_id", "left")
+    text = F.concat(F.lit("do "), F.col("event_id").cast("string"))
+    total = F.when(F.col("n").isNotNull(), F.struct((10 * F.col("n")).alias("input_tokens"), (4 * F.col("n")).alias("cached_input_tokens"), F.col("n").alias("cache_write_input_tokens"), (3 * F.col("n")).alias("output_tokens")))
+    switch = view & (F.col("event_id") % 3 == 0)
+    payload = F.struct(
+        F.when(kind == "click", "user_message").when(kind == "purchase", "message").when(switch, None).when(view, "function_call").when(kind == "error", "agent_message").otherwise("token_count").alias("type"),
+        F.when(kind == "purchase", F.when(F.col("event_id") % 2 == 0, "user").otherwise("assistant")).alias("role"), F.when(kind.isin("click", "error"), text).alias("message"),
+        F.when(kind == "purchase", F.array(F.struct(text.alias("text")), F.struct(F.lit("more").alias("text")))).alias("content"), F.when(switch, F.concat(F.lit("m"), (F.col("event_id") % 4).cast("string"))).alias("model"),
+        F.when(F.col("n").isNotNull(), F.struct(total.alias("total_token_usage"))).alias("info"),
+    )
+    file = F.concat(F.lit("sessions/rollout-u"), F.col("user_id").cast("string"), F.lit(".jsonl"))
+    type_ = F.when(switch, "turn_context").when(kind.isin("purchase", "view"), "response_item").otherwise("event_msg")
+    lines = e.select(file.alias("path"), (F.col("event_id") + 2).alias("line_no"), F.to_json(F.struct(type_.alias("type"), _iso(F.col("us")).alias("timestamp"), payload.alias("payload"))).alias("value"))
+    u = e.groupBy("user_id").agg(F.min("us").alias("us"))
+    meta = F.struct(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("id"), F.when(F.col("user_id") % 10 == 7, F.concat(F.lit("u"), (F.col("user_id") - 1).cast("string"))).alias("parent_thread_id"))
+    heads = u.select(file.alias("path"), F.lit(1).cast("long").alias("line_no"), F.to_json(F.struct(F.lit("session_meta").alias("type"), _iso(F.col("us")).alias("timestamp"), meta.alias("payload"))).alias("value"))
+    return _as_lines(heads.unionByName(lines))
+
+
+def step_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' events as transcripts of steps, shape C; all that some users say is an identity prompt."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", epoch_us("ts").alias("us"), F.get_json_object("props", "$.k").cast("long").alias("k"))
+    kind = F.col("event_type")
+    asks = kind.isin("click", "purchase", "signup")
+    text = F.concat(F.when(asks & (F.col("user_id") % 25 == 0), F.lit("<identity> ")).otherwise(F.lit("")), F.lit("say "), F.col("k").cast("string"))
+    nested = F.when(kind == "view", F.struct(F.col("k").alias("input_tokens"), (F.col("k") + 1).alias("completion_tokens"), F.lit("s1").alias("model")))
+    top = kind == "error"
+    value = F.to_json(F.struct(
+        F.when(asks, "USER_INPUT").when(kind == "view", "PLANNER_RESPONSE").alias("type"), F.when(kind == "click", "USER_EXPLICIT").when(kind == "signup", "SYSTEM").when(kind.isin("view", "error"), "MODEL").alias("source"),
+        _iso(F.col("us")).alias("created_at"), F.col("event_id").alias("step_index"), text.alias("content"), nested.alias("usage"),
+        F.when(top, F.col("k")).alias("prompt_tokens"), F.when(top, F.when(F.col("event_id") % 7 == 0, -1).otherwise(F.col("k"))).alias("output_tokens"), F.when(top & (F.col("k") % 2 == 0), 2 * F.col("k")).alias("cached_tokens"), F.when(top, "s2").alias("model"),
+    ))
+    return _as_lines(e.select(F.concat(F.lit("brain/u"), F.col("user_id").cast("string"), F.lit("/transcript.jsonl")).alias("path"), (F.col("event_id") + 1).alias("line_no"), value.alias("value")))
