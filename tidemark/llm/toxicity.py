@@ -9,7 +9,7 @@ windows of whole words; how much its windows save is summed up in a few features
 curve calibrated on texts that the dictionaries haven't seen turns them into a score.
 
 Everything that looks at texts runs as Spark tasks; the driver holds the pieces that the
-dictionaries are trained on (PIECES of at most LONGEST_PIECE bytes by label) and one row of
+dictionaries are trained on (the windows of the SAMPLE texts) and one row of
 numbers by calibration text.
 """
 
@@ -29,8 +29,8 @@ from tidemark.llm.runtime import chunks, cut
 SAMPLE = {1: 2500, 0: 7500}
 #: Part of the sample that the dictionaries are trained on; the rest calibrates the score.
 TRAINED_SHARE = 0.6
-#: Windows or marking words by label that a dictionary is trained on, and the longest of them.
-PIECES, LONGEST_PIECE = 1 << 15, 256
+#: Bytes of the longest word that a dictionary is trained on in one piece.
+LONGEST_PIECE = 256
 WINDOW_BYTES = 60
 MARKS_BYTES, BASE_BYTES = 1 << 13, 1 << 15
 SEGMENT, DMER = 24, 6
@@ -205,7 +205,7 @@ def _marks(rows: DataFrame) -> np.ndarray:
 
 
 def _pieces(rows: DataFrame, good: np.ndarray) -> dict[str, list[bytes]]:
-    """At most PIECES marking words, windows of toxic and windows of ordinary texts, chosen by a hash."""
+    """All marking words, windows of toxic and windows of ordinary texts of the sample, in an order settled by a hash."""
     shared = rows.sparkSession.sparkContext.broadcast(good)
 
     def run(batches):
@@ -223,7 +223,7 @@ def _pieces(rows: DataFrame, good: np.ndarray) -> dict[str, list[bytes]]:
     found = cut(rows.select("label", "text", "key").mapInArrow(run, "kind string, piece binary, key long, at long"))
     # a document's pieces are numbered in its own batch, so the order is settled by its key and the piece
     order = [F.xxhash64("piece", "key"), F.col("piece")]
-    return {k: [bytes(r.piece) for r in found.where(F.col("kind") == k).orderBy(*order).select("piece").limit(PIECES).collect()] for k in ("word", "toxic", "ordinary")}
+    return {k: [bytes(r.piece) for r in found.where(F.col("kind") == k).orderBy(*order).select("piece").collect()] for k in ("word", "toxic", "ordinary")}
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Scorer:
