@@ -19,9 +19,11 @@ def commits(rows: DataFrame, windows: DataFrame, shown: int = 3) -> DataFrame:
     """Commits per window and repository, merges left out, and the newest subjects."""
     w = F.broadcast(windows.select("window_key", "since_us", "until_us"))
     inside = rows.where("not is_merge").join(w, (F.col("ts_us") >= F.col("since_us")) & (F.col("ts_us") < F.col("until_us")))
-    rank = F.row_number().over(W.partitionBy("window_key", "repo").orderBy(F.desc("ts_us"), "subject"))
-    new = inside.withColumn("r", rank)
-    return new.groupBy("window_key", "repo").agg(F.count("*").alias("commits"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= shown, F.struct("r", "subject")))), lambda x: x.subject), " | ").alias("newest"))
+    keys = ["window_key", "repo"]
+    # the filter on the rank lets Spark keep a few rows a group before the shuffle
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("ts_us"), "subject"))
+    new = inside.withColumn("r", rank).where(F.col("r") <= shown).groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "subject"))), lambda x: x.subject), " | ").alias("newest"))
+    return inside.groupBy(*keys).agg(F.count("*").alias("commits")).join(new, keys)
 
 
 def merged_requests(rows: DataFrame, windows: DataFrame) -> DataFrame:
@@ -62,6 +64,6 @@ def activity(commits_: DataFrame, merged: DataFrame, released: DataFrame, enrich
     return out.withColumn("rank", rank).withColumn("is_enriched", F.col("rank") <= enriched)
 
 
-def totals(rows: DataFrame) -> DataFrame:
-    """Sums per window and whether every repository was enriched."""
-    return rows.groupBy("window_key").agg(F.sum("commits").alias("commits"), F.sum("merged").alias("merged"), F.sum("releases").alias("releases"), F.count("*").alias("repositories"), F.bool_and("is_enriched").alias("complete"))
+def totals(rows: DataFrame, connected: bool = True) -> DataFrame:
+    """Sums per window and whether they are complete: the host was reached (connected) and every repository was enriched."""
+    return rows.groupBy("window_key").agg(F.sum("commits").alias("commits"), F.sum("merged").alias("merged"), F.sum("releases").alias("releases"), F.count("*").alias("repositories"), (F.lit(connected) & F.bool_and("is_enriched")).alias("complete"))

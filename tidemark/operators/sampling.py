@@ -15,6 +15,11 @@ def tie_break() -> list[Column]:
     return [F.desc("active_us"), F.asc("start_us"), F.asc("provider"), F.asc("internal_id")]
 
 
+def sort_key(name: Column) -> Column:
+    """A name as it sorts: composed and decomposed spellings and upper and lower case are one; the name itself settles the rest."""
+    return F.collate(name, "UNICODE_CI")
+
+
 def unique_sketches(sketches: DataFrame) -> DataFrame:
     """One sketch per window_key and internal_id: the first in tie-break order."""
     own = F.row_number().over(W.partitionBy("window_key", "internal_id").orderBy(*tie_break()))
@@ -31,7 +36,7 @@ def canonical(sketches: DataFrame) -> DataFrame:
 def _tops(rows: DataFrame, by: str, reason: str, stage: int) -> DataFrame:
     """The first row in plan order of each value of `by`, in order of the value's total activity."""
     total = rows.groupBy("window_key", by).agg(F.sum("active_us").alias("total"), F.min_by("internal_id", "plan_rank").alias("internal_id"))
-    place = F.row_number().over(W.partitionBy("window_key").orderBy(F.desc("total"), by))
+    place = F.row_number().over(W.partitionBy("window_key").orderBy(F.desc("total"), sort_key(F.col(by)), by))
     return total.select("window_key", "internal_id", F.lit(reason).alias("reason"), F.lit(stage).alias("stage"), place.alias("pos"))
 
 

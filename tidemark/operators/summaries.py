@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators.lineage import numbered
-
 from tidemark.functions.text import collapse
+from tidemark.operators.evidence import set_digest
+from tidemark.operators.lineage import numbered
 
 # Fixed values.
 PROVIDED, GENERATED, EXTRACTED, NO_EVIDENCE = "provided", "generated", "extracted", "no_evidence"
@@ -136,9 +136,9 @@ def missing(requested: DataFrame, table: DataFrame, key: str = "session_id") ->
     return requested.select(key).distinct().join(table.select(key), key, "left_anti")
 
 
-def set_digest(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
-    """SHA-256 of each group's sorted rows: a cache key that doesn't depend on order."""
-    return rows.groupBy(*by).agg(F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct(*columns)))), 256).alias("digest"))
+def id_sets(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """Cache key of each group: `by`, and digest, which is that of the set of its distinct rows of `columns`."""
+    return rows.select(*by, *columns).distinct().groupBy(*by).agg(set_digest(*[F.col(c) for c in columns]).alias("digest"))
 
 
 def cache_hits(wanted: DataFrame, cache: DataFrame, keys: list[str]) -> DataFrame:
@@ -147,9 +147,14 @@ def cache_hits(wanted: DataFrame, cache: DataFrame, keys: list[str]) -> DataFram
 
 
 def backfill_outcomes(work: DataFrame, answers: DataFrame, table: DataFrame) -> DataFrame:
-    """How a run over a work list (session_id, wanted) went: summarized, fallback, already, regenerated."""
+    """How a run over a work list (session_id, wanted) went: summarized, fallback, skipped, already, regenerated.
+
+    skipped: wanted, not answered, and without evidence to fall back on (has_evidence false, where the list has it).
+    """
+    if "has_evidence" not in work.columns:
+        work = work.withColumn("has_evidence", F.lit(True))
     rows = work.join(answers.select("session_id", F.lit(True).alias("_a")).distinct(), "session_id", "left").join(table.select("session_id", F.col("source").alias("_s")), "session_id", "left")
     got, had = F.col("_a").isNotNull(), F.col("_s") == GENERATED
     return rows.agg(
-        F.count_if(F.col("wanted") & got).alias("summarized"), F.count_if(F.col("wanted") & ~got).alias("fallback"), F.count_if(~F.col("wanted")).alias("already"), F.count_if(F.col("wanted") & got & F.coalesce(had, F.lit(False))).alias("regenerated")
+        F.count_if(F.col("wanted") & got).alias("summarized"), F.count_if(F.col("wanted") & ~got & F.col("has_evidence")).alias("fallback"), F.count_if(F.col("wanted") & ~got & ~F.col("has_evidence")).alias("skipped"), F.count_if(~F.col("wanted")).alias("already"), F.count_if(F.col("wanted") & got & F.coalesce(had, F.lit(False))).alias("regenerated")
     )

@@ -262,7 +262,20 @@ LINES_C = f"""steps_c AS (SELECT user_id, event_id, event_type, epoch_us(ts) AS
 
 _HITS = ", ".join(f"count(DISTINCT s.{d}) AS {d}_target, count(DISTINCT CASE WHEN p.internal_id IS NOT NULL THEN s.{d} END) AS {d}_hit" for d in ("provider", "project", "local_day"))
 
+_EVIDENCE_WINDOWS = [(f"e{i:02d}", (1705276800 + (0 if i == 0 else 130 + 500 * 2 ** (i - 1))) * 1_000_000, (1705276800 + 130 + 500 * 2**i) * 1_000_000, i) for i in range(14)]
+_SIXTY = lambda at: f"sum(CAST('0x' || substr(h, {at}, 15) AS HUGEINT))"
+
 ORACLE: dict[str, str] = {
+    "evidence_slices": f"""WITH {LINES_A}, {windows(_EVIDENCE_WINDOWS)}, inside AS (SELECT w.window_key, m.*, 'projects/' || project_raw || CASE WHEN is_subagent THEN '/subagents' ELSE '' END || '/' || session_id || '.jsonl' AS path FROM msgs_a m JOIN windows w ON ts_us >= since_us AND ts_us < until_us),
+ gaps AS (SELECT *, CASE WHEN lead(ts_us) OVER s IS NULL THEN 0 ELSE least(lead(ts_us) OVER s - ts_us, 300000000) END AS gap, sha256(concat_ws(chr(31), ts_us, path, line_no, role, text)) AS h, CASE WHEN is_real_user THEN text END AS said FROM inside WINDOW s AS (PARTITION BY window_key, session_id ORDER BY ts_us, line_no)),
+ found AS (SELECT window_key, agent, session_id, min(project_raw) AS project, min(ts_us) AS first_us, max(ts_us) AS last_us, count(*) AS msg_count, CAST(count_if(is_real_user) AS BIGINT) AS user_msg_count, CAST(sum(gap) AS BIGINT) AS between_us,
+   sha256(count(*) || ':' || {_SIXTY(1)} || ':' || {_SIXTY(16)}) AS events_digest, coalesce(arg_min(said, (ts_us, line_no)) FILTER (said IS NOT NULL)[1:200], '') AS first_text, coalesce(arg_max(said, (ts_us, line_no)) FILTER (said IS NOT NULL)[1:200], '') AS last_text
+   FROM gaps GROUP BY window_key, agent, session_id),
+ printed AS (SELECT *, sha256(CAST(to_json({{'p00': 1, 'p01': project, 'p02': first_us, 'p03': last_us, 'p04': msg_count, 'p05': user_msg_count, 'p06': between_us, 'p07': events_digest, 'p08': first_text, 'p09': last_text}}) AS VARCHAR)) AS fingerprint FROM found)
+ SELECT *, 'slice-' || substr(sha256('1' || chr(0) || agent || chr(0) || session_id || chr(0) || fingerprint), 1, 24) AS slice_id FROM printed""",
+    "aggregate_cache_sets": base() + """, rows AS (SELECT window_key, project, start_us // 86400000000 AS day, start_us % 86400000000 < 64800000000 AS early, agent || '/' || session_id AS id, active_us FROM placed),
+ sets AS (SELECT window_key, project, day, count(*) AS n, CAST(sum(active_us) // 3600000000 AS BIGINT) AS hours, string_agg(id, ' ' ORDER BY id) AS ids, string_agg(CASE WHEN early THEN id END, ' ' ORDER BY id) AS old_ids, sum(CASE WHEN early THEN active_us ELSE 0 END) // 3600000000 AS old_hours FROM rows GROUP BY ALL)
+ SELECT window_key, project, day, n, hours, coalesce(ids = old_ids AND hours = old_hours, false) AS hit FROM sets""",
     "log_messages_a": f"WITH {LINES_A} SELECT session_id, line_no, ts_us, role, is_real_user, narrative, text, cwd, is_subagent, project_raw, is_scheduled FROM msgs_a",
     "log_usage_a": f"""WITH {LINES_A} SELECT 'projects/' || folder || CASE WHEN sub THEN '/subagents' ELSE '' END || '/conv-' || conv_id || '.jsonl' AS path, turn + 1 AS line_no, ts_us, CASE WHEN conv_id % 6 <> 5 THEN 'model-' || (conv_id % 3) ELSE 'unknown' END AS model,
  'm' || conv_id || '-' || (turn // 2) AS message_id, 10 * turn AS input_tokens, CASE WHEN turn % 2 = 0 THEN 5 ELSE 0 END AS cache_creation, chars % 100 AS cache_read, conv_id % 50 AS output_tokens FROM said WHERE role = 'assistant' AND NOT broken AND ts_us IS NOT NULL AND conv_id % 10 <> 3""",

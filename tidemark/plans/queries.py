@@ -714,3 +714,29 @@ def log_sessions(spark, sf_dir):
     rows = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
     got = L.sessions_between(rows.where("is_activity"), B.WINDOWS[0][1], B.WINDOWS[0][1] + 12 * 86_400 * 1_000_000, engaged_only=True)
     return got.select("agent", "session_id", "start_us", "end_us", "msg_count", "user_msg_count", "active_us", "is_scheduled")
+
+
+EVIDENCE_WINDOWS = [(f"e{i:02d}", (1705276800 + (0 if i == 0 else 130 + 500 * 2 ** (i - 1))) * 1_000_000, (1705276800 + 130 + 500 * 2**i) * 1_000_000) for i in range(14)]
+
+
+@query
+def evidence_slices(spark, sf_dir):
+    """Bounded evidence of the conversations in adjacent windows, with fingerprints and slice names."""
+    from tidemark.functions.time import windows_frame
+    from tidemark.operators import evidence as E
+
+    return E.window_evidence(L.message_log(B.message_lines(spark, sf_dir)), windows_frame(spark, EVIDENCE_WINDOWS))
+
+
+@query
+def aggregate_cache_sets(spark, sf_dir):
+    """Which days of a project find their cached aggregate: those whose sessions were all there at 18 o'clock (UTC), by id set and whole hours."""
+    rows = _slices(spark, sf_dir).withColumn("day", F.expr("start_us div 86400000000")).withColumn("internal_id", F.concat_ws("/", "agent", "session_id"))
+    by = ["window_key", "project", "day"]
+
+    def keyed(part):
+        hours = part.groupBy(*by).agg(F.expr("sum(active_us) div 3600000000").alias("hours"), F.count("*").alias("n"))
+        return hours.join(M.id_sets(part, by, ["internal_id"]), by)
+
+    cached = keyed(rows.where("start_us % 86400000000 < 64800000000"))
+    return M.cache_hits(keyed(rows), cached, [*by, "digest", "hours"]).drop("digest")
