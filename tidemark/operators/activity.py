@@ -11,12 +11,28 @@ ENGAGED_US = 60_000_000
 SESSION = ["agent", "session_id"]
 
 
+def with_next(messages: DataFrame) -> DataFrame:
+    """Messages with an instant, and after_us: that of their session's next one (null after the last).
+
+    The one shuffle by session that intervals, sessions and slices need: given rows that have after_us
+    (a written table of them, if several are wanted), they don't look for it again. Rows of subagents are left out.
+    """
+    rows = messages.where("ts_us is not null")
+    if "is_subagent" in rows.columns:
+        rows = rows.where(~F.col("is_subagent"))
+    return rows.withColumn("after_us", F.lead("ts_us").over(W.partitionBy(*SESSION).orderBy("ts_us")))
+
+
+def _next(rows: DataFrame) -> Column:
+    return F.col("after_us") if "after_us" in rows.columns else F.lead("ts_us").over(W.partitionBy(*SESSION).orderBy("ts_us"))
+
+
 def active_intervals(events: DataFrame, cap_us: int = GAP_CAP_US) -> DataFrame:
     """Half-open intervals from each event to the next of its session, each at most `cap_us` long.
 
     One shuffle by session; equal instants give no interval.
     """
-    after = F.lead("ts_us").over(W.partitionBy(*SESSION).orderBy("ts_us"))
+    after = _next(events)
     end = F.when(after.isNotNull(), F.least(after, F.col("ts_us") + F.lit(cap_us)))  # least() skips nulls
     return events.where("ts_us is not null").select(*SESSION, F.col("ts_us").alias("start_us"), end.alias("end_us")).where("end_us > start_us")
 
@@ -37,8 +53,7 @@ def sessions(messages: DataFrame, cap_us: int = GAP_CAP_US, more: tuple[str, ...
     if "is_subagent" in messages.columns:
         messages = messages.where(~F.col("is_subagent"))
     scheduled = F.col("is_scheduled") if "is_scheduled" in messages.columns else F.lit(False)
-    order = W.partitionBy(*SESSION).orderBy("ts_us")
-    after = F.lead("ts_us").over(order)
+    after = _next(messages)
     gap = F.when(after.isNotNull(), F.least(after - F.col("ts_us"), F.lit(cap_us)))
     rows = messages.where("ts_us is not null").withColumn("_gap", F.coalesce(gap, F.lit(0))).withColumn("_scheduled", scheduled)
     out = rows.groupBy(*SESSION).agg(

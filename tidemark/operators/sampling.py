@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import SALIENCE
+from tidemark.functions.text import SALIENCE, salience
+from tidemark.functions.time import local_day
 from tidemark.operators.lineage import cut, running_sums
 
 
@@ -20,6 +21,20 @@ def sort_key(name: Column) -> Column:
     return F.collate(name, "UNICODE_CI")
 
 
+def sketches(found: DataFrame, evidence: DataFrame, zone: str) -> DataFrame:
+    """What a plan looks at of each slice: window_key, internal_id, provider, project, local_day, active_us, start_us, chars, salience.
+
+    found: slices with their project; evidence: their window_evidence. A session that isn't whole in its window
+    goes by the name of its slice. chars and salience are of the bounded texts, so a long session costs no more than a short one.
+    """
+    keys = ["window_key", "agent", "session_id"]
+    told = evidence.select(*keys, "slice_id", F.concat_ws("\n", "first_text", "last_text").alias("_text"))
+    rows = found.join(told, keys, "left")
+    name = F.when(F.col("contained"), F.concat_ws("/", "agent", "session_id")).otherwise(F.coalesce("slice_id", F.concat_ws("/", F.lit("slice-"), "agent", "session_id")))
+    text = F.coalesce("_text", F.lit(""))
+    return rows.select("window_key", name.alias("internal_id"), F.col("agent").alias("provider"), "project", local_day("start_us", zone).cast("string").alias("local_day"), "active_us", "start_us", F.length(text).alias("chars"), salience(text).alias("salience"))
+
+
 def unique_sketches(sketches: DataFrame) -> DataFrame:
     """One sketch per window_key and internal_id: the first in tie-break order."""
     own = F.row_number().over(W.partitionBy("window_key", "internal_id").orderBy(*tie_break()))

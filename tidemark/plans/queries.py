@@ -740,3 +740,30 @@ def aggregate_cache_sets(spark, sf_dir):
 
     cached = keyed(rows.where("start_us % 86400000000 < 64800000000"))
     return M.cache_hits(keyed(rows), cached, [*by, "digest", "hours"]).drop("digest")
+
+
+def _log_report(spark, sf_dir):
+    """Facts and settings of a report over lines of all three shapes."""
+    from tidemark.plans import report
+
+    a, b, c = B.message_lines(spark, sf_dir), B.rollout_lines(spark, sf_dir), B.step_lines(spark, sf_dir)
+    messages = L.message_log(a).unionByName(L.rollout_log(b), allowMissingColumns=True).unionByName(L.step_log(c), allowMissingColumns=True)
+    fields = ["agent", "path", "line_no", "ts_us", "model", "message_id", *K.COUNTERS]
+    rollouts = K.branch_usage(*L.rollout_snapshots(b)).select(F.lit("agent_b").alias("agent"), F.col("branch").alias("path"), F.lit(0).cast("long").alias("line_no"), "ts_us", "model", F.lit(None).cast("string").alias("message_id"), *K.COUNTERS)
+    steps = L.step_usage(c).select(F.lit("agent_c").alias("agent"), F.col("session_id").alias("path"), F.col("step").alias("line_no"), "ts_us", "model", F.lit(None).cast("string").alias("message_id"), *K.COUNTERS)
+    usage = L.message_usage(a).select(fields).unionByName(rollouts).unionByName(steps)
+    prices = K.layered_prices([(B.prices(spark, B.FAMILY_PRICES), "default"), (B.prices(spark, {"model-1": (1, 2, 1, 0.1), "s1": (2, 4, 2, 0.2)}), "listed")], list(B.FAMILY_PRICES))
+    names = spark.createDataFrame([("model-2", "model-1")], "model string, target string")
+    settings = report.Settings(B.windows(spark), B.ZONE, B.rules(spark), B.aliases(spark), prices, names, B.providers(spark), B.GOALS, ("current", "previous"))
+    return report.facts(messages, usage, settings), settings
+
+
+@query
+def log_recap(spark, sf_dir):
+    """The whole recap from log lines: an envelope a window with goals, comparison, sampling, cost and artifacts, as JSON."""
+    from tidemark.plans import marts, report
+
+    found, settings = _log_report(spark, sf_dir)
+    c, m, r = _repo_inputs(spark, sf_dir)
+    w = settings.windows
+    return marts.as_json(report.recap(found, settings, R.activity(R.commits(c, w), R.merged_requests(m, w), R.releases(r, w))))
