@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.graph import components
-from tidemark.llm.runtime import chunks, cut, drop, partitions_for, text_bytes
+from tidemark.llm.runtime import CHUNK_BYTES, chunks, cut, drop, partitions_for, release_memory, text_bytes
 from tidemark.llm.substr import _FIRST, _slot, _slots, normal
 from tidemark.llm.words import Words, gram_starts, grams, mix
 
@@ -172,6 +172,7 @@ def count_shared(rows: DataFrame) -> DataFrame:
             if shared.any():
                 keys, n = np.unique(key[shared], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "r"])
+        release_memory()
 
     return rows.mapInArrow(run, "key long, r long")
 
@@ -197,6 +198,7 @@ def _explode(sets: DataFrame) -> DataFrame:
                 rows = part.slice(at, 256)
                 raw, offs = text_bytes(rows.column(1))
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw.tobytes(), np.int64)), rows.column(0).take(pa.array(np.repeat(np.arange(rows.num_rows), np.diff(offs) // 8)))], ["tok", "id"])
+        release_memory()
 
     return sets.select("id", "toks").mapInArrow(run, "tok long, id long")
 
@@ -272,6 +274,8 @@ def _search(queries: DataFrame, members: DataFrame, sets: DataFrame, num: int, d
         toks = [np.frombuffer(t.as_py(), np.uint64) for t in table.column("toks")]
         qi, mi = np.flatnonzero(ask), np.flatnonzero(~ask)
         found = divide_skip([toks[i] for i in mi], [toks[i] for i in qi], num, den) if len(qi) and len(mi) else []
+        if table.nbytes > CHUNK_BYTES:  # a task has very many small ones
+            release_memory()
         return pa.table({"a": pa.array([ids[qi[x]] for x, _ in found], pa.int64()), "b": pa.array([ids[mi[y]] for _, y in found], pa.int64())})
 
     return rows.groupBy("g", "qb", "mb").applyInArrow(run, "a long, b long").where("a <> b")

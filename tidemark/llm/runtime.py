@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -91,18 +92,29 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
+def release_memory() -> None:
+    """Give back to the system what a task has freed, as its Python worker lives on beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim is not None:
+        trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches that hold about `limit` bytes of text, one row at least."""
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        _, offs = text_bytes(batch.column(batch.schema.get_field_index(text)))
-        at = 0
-        while at < batch.num_rows:
-            to = int(np.searchsorted(offs, offs[at] + limit, "right")) - 1
-            to = min(max(to, at + 1), batch.num_rows)
-            yield batch.slice(at, to - at)
-            at = to
+    try:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            _, offs = text_bytes(batch.column(batch.schema.get_field_index(text)))
+            at = 0
+            while at < batch.num_rows:
+                to = int(np.searchsorted(offs, offs[at] + limit, "right")) - 1
+                to = min(max(to, at + 1), batch.num_rows)
+                yield batch.slice(at, to - at)
+                at = to
+    finally:
+        release_memory()
 
 
 def ragged_take(flat: np.ndarray, offs: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
