@@ -424,50 +424,45 @@ def test_streaming_total(spark, tmp_path):
     assert one(spark.table("running")).active_us == 150 * S1
 
 
-def plain_batch_excerpt(blocks, most):
-    """The rule of batch_excerpt, step by step, for blocks [(role, text)] of normal texts."""
-    def short(text, n):
-        if len(text) <= n or n <= 0:
-            return text if n > 0 else ""
-        if n < 3:
-            return text[-1:] if n == 1 else text[0] + text[-1]
-        head = max(1, (n - 1) // 2)
-        return text[:head] + "…" + text[-(n - head - 1):]
-
-    users, ends = [b for b in blocks if b[0] != "ASSISTANT END"], [b for b in blocks if b[0] == "ASSISTANT END"]
-    kept = users[:1] + [b for b in users[-1:] if b != users[0]] + ends[-1:]
-    least = lambda b: min(len(b[1]), 3 if b[0] == "ASSISTANT END" else 1)
-    marks = lambda bs: sum(len(b[0]) + 3 for b in bs) + 2 * (len(bs) - 1)
-    while marks(kept) + sum(map(least, kept)) > most:
-        users = [b for b in kept if b[0] != "ASSISTANT END"]
-        if not users:
-            return short(ends[-1][1], most)
-        kept.remove(users[-1])
-        if not kept:
-            return None
-    weight = [2 if b[0] == "ASSISTANT END" else 1 for b in kept]
-    size = [least(b) for b in kept]
-    spare = most - marks(kept) - sum(size)
-    size = [n + min(spare * w // sum(weight), len(b[1]) - n) for n, w, b in zip(size, weight, kept)]
-    spare = most - marks(kept) - sum(size)
-    for i in sorted(range(len(kept)), key=lambda i: -weight[i]):
-        more = min(spare, len(kept[i][1]) - size[i])
-        size[i], spare = size[i] + more, spare - more
-    return "\n\n".join(f"[{r}]\n{short(t, n)}" for (r, t), n in zip(kept, size))
-
-
-@pytest.mark.parametrize("most", [1, 2, 20, 25, 40, 47, 60, 90, 200, 700])
-def test_batch_excerpt(spark, most):
-    texts = ["a" * 5, "bc" * 40, "d", "efg" * 100]
-    cases = [[("USER 1", u), ("USER 2", v), ("USER LATE", w), ("ASSISTANT END", a)] for u in texts for v in texts[:1] for w in texts for a in texts]
-    cases += [[("USER 1", u), ("ASSISTANT END", a)] for u in texts for a in texts] + [[("ASSISTANT END", a)] for a in texts] + [[("USER 1", u)] for u in texts]
-    rows = [(i, "\n\n".join(f"[{r}]\n{t}" for r, t in c)) for i, c in enumerate(cases)] + [(-1, ""), (-2, None)]
-    df = spark.createDataFrame(rows, "i int, e string").repartition(3)
-    got = {r.i: r.x for r in df.select("i", T.batch_excerpt(F.col("e"), most).alias("x")).collect()}
+A50, B50, C9 = "a" * 50, "b" * 50, "c" * 9
+BATCHES = [  # worked out by hand: blocks, budget, text
+    ([("USER 1", "hello"), ("USER LATE", "x"), ("ASSISTANT END", "bye")], 700, "[USER 1]\nhello\n\n[USER LATE]\nx\n\n[ASSISTANT END]\nbye"),
+    # marks take 27 of 60, least sizes 4; 29 are left: 9 and 19 by weight, the last one goes to the answer
+    ([("USER 1", A50), ("ASSISTANT END", B50)], 60, "[USER 1]\n" + "a" * 4 + "…" + "a" * 5 + "\n\n[ASSISTANT END]\n" + "b" * 11 + "…" + "b" * 11),
+    # the short answer needs 9 of its share, so the message gets the rest: 60 - 27 - 9 = 24
+    ([("USER 1", A50), ("ASSISTANT END", C9)], 60, "[USER 1]\n" + "a" * 11 + "…" + "a" * 12 + "\n\n[ASSISTANT END]\n" + C9),
+    # three blocks need 46 and both messages' least; of 36 to 42 only one message and the answer fit
+    ([("USER 1", A50), ("USER LATE", "zz"), ("ASSISTANT END", B50)], 31, "[USER 1]\na\n\n[ASSISTANT END]\nb…b"),
+    ([("USER 1", A50), ("ASSISTANT END", B50)], 20, "[ASSISTANT END]\nb…bb"),
+    ([("USER 1", A50), ("ASSISTANT END", B50)], 10, "b" * 4 + "…" + "b" * 5),
+    ([("USER 1", A50)], 19, "[USER 1]\n" + "a" * 4 + "…" + "a" * 5),
+    ([("ASSISTANT END", B50)], 2, "bb"), ([("ASSISTANT END", B50)], 1, "b"), ([("ASSISTANT END", B50)], 0, ""),
+]
+
+
+@pytest.mark.parametrize(("blocks", "most", "want"), BATCHES)
+def test_batch_excerpt(spark, blocks, most, want):
+    text = "\n\n".join(f"[{role}]\n{said}" for role, said in blocks)
+    assert value(spark, T.batch_excerpt(F.lit(text), most)) == want
+
+
+@pytest.mark.parametrize("most", [30, 47, 90, 200])
+def test_batch_excerpts_keep_their_bounds(spark, most):
+    """Never longer than the budget, all of it used if there is more to say, blocks in order, and nothing that isn't there."""
+    rng = random.Random(most)
+    rows = [(i, [("USER 1", "u" * rng.randint(1, 300)), ("USER LATE", "v" * rng.randint(1, 300)), ("ASSISTANT END", "w" * rng.randint(3, 300))]) for i in range(30)]
+    frame = spark.createDataFrame([(i, "\n\n".join(f"[{r}]\n{s}" for r, s in b)) for i, b in rows] + [(-1, ""), (-2, None)], "i int, e string")
+    got = {r.i: r.x for r in frame.select("i", T.batch_excerpt(F.col("e"), most).alias("x")).collect()}
     assert got[-1] == got[-2] == ""
-    for i, c in enumerate(cases):
-        want = plain_batch_excerpt(c, most)
-        assert len(got[i]) <= most and (want is None or got[i] == want), (c, most)
+    for i, blocks in rows:
+        whole = "\n\n".join(f"[{r}]\n{s}" for r, s in blocks)
+        assert len(got[i]) <= most and (len(whole) > most or got[i] == whole)
+        marks = [m for m in ("[USER 1]", "[USER LATE]", "[ASSISTANT END]") if m in got[i]]
+        assert [got[i].index(m) for m in marks] == sorted(got[i].index(m) for m in marks) and "[ASSISTANT END]" in marks
+        sizes = {c: got[i].count(c) for c in "uvw"}
+        if len(marks) == 3 and all(len(s) > most for _, s in blocks):  # all are short of room: shares of 1:1:2
+            assert abs(sizes["u"] - sizes["v"]) <= 1 and abs(sizes["w"] - 2 * sizes["u"]) <= 6
+            assert len(got[i]) == most
 
 
 def test_inherited_prefix_passes_by(spark):

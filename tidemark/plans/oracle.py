@@ -265,7 +265,25 @@ _HITS = ", ".join(f"count(DISTINCT s.{d}) AS {d}_target, count(DISTINCT CASE WHE
 _EVIDENCE_WINDOWS = [(f"e{i:02d}", (1705276800 + (0 if i == 0 else 130 + 500 * 2 ** (i - 1))) * 1_000_000, (1705276800 + 130 + 500 * 2**i) * 1_000_000, i) for i in range(14)]
 _SIXTY = lambda at: f"sum(CAST('0x' || substr(h, {at}, 15) AS HUGEINT))"
 
+# excerpts from their definition: the first three and the last two messages of the user, and the last answer
+EXCERPTS = f"""told AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id, role) AS n, text, {evidence('text')} AS e FROM conversations WHERE {NARRATIVE}),
+ picked AS (SELECT conv_id, CASE WHEN i <= 3 THEN i ELSE 10 + i END AS place, CASE WHEN i <= 3 THEN '[USER ' || i || ']' ELSE '[USER LATE]' END AS mark, {compact('e', 500)} AS said FROM told t
+     WHERE role = 'user' AND (i <= 3 OR (i > n - 2 AND NOT EXISTS (SELECT 1 FROM told h WHERE h.conv_id = t.conv_id AND h.role = 'user' AND h.i <= 3 AND h.text = t.text)))
+   UNION ALL SELECT conv_id, 4, '...', NULL FROM told WHERE role = 'user' AND i = 1 AND n > 5
+   UNION ALL SELECT conv_id, 1000000, '[ASSISTANT END]', {compact('e', 300)} FROM told WHERE role = 'assistant' AND i = n),
+ excerpt AS (SELECT c.conv_id, coalesce(n_users, 0) AS n_users, coalesce(excerpt, '') AS excerpt, coalesce(users, []) AS users FROM (SELECT DISTINCT conv_id FROM told) c
+   LEFT JOIN (SELECT conv_id, count(*) AS n_users FROM told WHERE role = 'user' GROUP BY conv_id) u ON u.conv_id = c.conv_id
+   LEFT JOIN (SELECT conv_id, string_agg(CASE WHEN said IS NULL THEN mark ELSE mark || chr(10) || said END, chr(10) || chr(10) ORDER BY place) AS excerpt, list(said ORDER BY place) FILTER (starts_with(mark, '[USER')) AS users FROM picked WHERE said IS NULL OR said <> '' GROUP BY conv_id) e ON e.conv_id = c.conv_id)"""
+
 ORACLE: dict[str, str] = {
+    "excerpts": f"WITH {EXCERPTS} SELECT conv_id, n_users, excerpt FROM excerpt",
+    "narratives": f"""WITH {EXCERPTS} SELECT conv_id, CASE WHEN excerpt = '' THEN '' WHEN len(users) = 0 THEN {COLLAPSE.format('excerpt')}[1:120] WHEN len(users) = 1 THEN users[1][1:120] ELSE users[1][1:60] || ' → ' || users[-1][1:60] END AS narrative FROM excerpt""",
+    "label_vocabulary": """WITH rows AS (SELECT lang AS run_id, doc_id // 80 AS chunk, doc_id % 80 AS pos, lower(source) AS bucket FROM documents),
+ seen AS (SELECT *, count(*) OVER (PARTITION BY run_id, bucket ORDER BY chunk) AS so_far FROM rows),
+ ready AS (SELECT run_id, bucket, min(chunk) AS chunk FROM seen WHERE so_far >= 2 AND bucket NOT IN ('src1', 'src2') GROUP BY ALL),
+ since AS (SELECT r.run_id, r.bucket, r.chunk, min(s.pos) AS pos FROM ready r JOIN rows s ON s.run_id = r.run_id AND s.bucket = r.bucket AND s.chunk = r.chunk GROUP BY ALL),
+ accepted AS (SELECT * FROM since QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY chunk, pos, bucket) <= greatest(6, 2 + 2) - 2)
+ SELECT r.run_id, r.bucket, count(*) AS n FROM rows r LEFT JOIN accepted a ON a.run_id = r.run_id AND a.bucket = r.bucket WHERE r.bucket IN ('src1', 'src2') OR r.chunk > a.chunk OR (r.chunk = a.chunk AND r.pos >= a.pos) GROUP BY ALL""",
     "evidence_slices": f"""WITH {LINES_A}, {windows(_EVIDENCE_WINDOWS)}, inside AS (SELECT w.window_key, m.*, 'projects/' || project_raw || CASE WHEN is_subagent THEN '/subagents' ELSE '' END || '/' || session_id || '.jsonl' AS path FROM msgs_a m JOIN windows w ON ts_us >= since_us AND ts_us < until_us),
  gaps AS (SELECT *, CASE WHEN lead(ts_us) OVER s IS NULL THEN 0 ELSE least(lead(ts_us) OVER s - ts_us, 300000000) END AS gap, sha256(concat_ws(chr(31), ts_us, path, line_no, role, text)) AS h, CASE WHEN is_real_user THEN text END AS said FROM inside WINDOW s AS (PARTITION BY window_key, session_id ORDER BY ts_us, line_no)),
  found AS (SELECT window_key, agent, session_id, min(project_raw) AS project, min(ts_us) AS first_us, max(ts_us) AS last_us, count(*) AS msg_count, CAST(count_if(is_real_user) AS BIGINT) AS user_msg_count, CAST(sum(gap) AS BIGINT) AS between_us,
