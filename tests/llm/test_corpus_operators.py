@@ -5,6 +5,7 @@ import hashlib
 import html
 import random
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers as P
@@ -89,6 +90,18 @@ def test_shards(spark):
         slots[r.shard].append(r.slot)
     assert all(sorted(s) == list(range(len(s))) for s in slots)
     assert max(size) <= 1.02 * sum(size) / 8
+    assert all(r.text_crc32 == zlib.crc32((texts[r.doc_id] or "").encode()) for r in rows)
+    # equal texts stand together, but for the hot one that is larger than a shard; slots follow the order of the keys
+    home = {}
+    for r in rows:
+        home.setdefault(texts[r.doc_id], set()).add(r.shard)
+    assert all(len(v) == 1 for k, v in home.items() if k not in ("hot text of many rows", None)) and len(home["hot text of many rows"]) > 1
+    places = {}
+    for r in sorted(rows, key=lambda r: (r.shard, r.slot)):
+        places.setdefault(texts[r.doc_id], []).append(r.doc_id)
+    assert all(v == sorted(v) for v in places.values())
+    plan = shards.shard(docs(spark, texts), 8)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
     assert shards.shard(docs(spark, []), 8).count() == 0
     assert [r.slot for r in shards.shard(docs(spark, ["a"]), 8).collect()] == [0]
 

@@ -5,7 +5,7 @@ candidate key boundaries: one aggregation over the cells that still hold a split
 into 2**STEP_BITS smaller cells by the next bits of the key. A splitter is settled on the
 first boundary within the tolerance of its target; when the bits of the text hash are used up
 (one text with more bytes than the tolerance), the row ids inside that text are refined alike.
-Then the rows are exchanged once. The driver holds at most (shards - 1) * 2**STEP_BITS counts.
+Then the rows are exchanged once, each to the partition that its splitters name. The driver holds at most (shards - 1) * 2**STEP_BITS counts.
 """
 
 from __future__ import annotations
@@ -124,8 +124,14 @@ def shard(docs: DataFrame, shards: int, overhead: int = 16, tolerance: float = 0
     ends = sorted((b if b[0] < 2**63 else (2**63 - 1, 2**63 - 1)) for b in bounds.values())
     ends = [(h, min(d, 2**63 - 1)) for h, d in ends]
     placed = slim.withColumn("shard", _shard_of(F.col("h"), F.col("d"), ends))
-    # the one exchange of rows; a row's place in its task gives the slot
-    dealt = placed.repartitionByRange(partitions_for(spark), "shard", "h", "d", "size").sortWithinPartitions("shard", "h", "d", "size")
+    # the one exchange of rows, by the settled splitters themselves: a shard is one partition or, where there are
+    # fewer shards than partitions, a few ranges of its keys; a row's place in its partition gives the slot
+    parts = -(-partitions_for(spark) // shards)
+    low, high = F.array(*[F.lit(float(h)) for h in [_MIN, *(h for h, _ in ends)]]), F.array(*[F.lit(float(h)) for h in [*(h for h, _ in ends), 2**63]])
+    width = F.get(high, F.col("shard")) - F.get(low, F.col("shard"))
+    inner = F.when(width > 0, F.floor((F.col("h").cast("double") - F.get(low, F.col("shard"))) / width * parts)).otherwise(0)
+    part = F.col("shard") * parts + F.least(F.greatest(inner, F.lit(0)), F.lit(parts - 1))
+    dealt = placed.repartitionById(shards * parts, part.cast("int")).sortWithinPartitions("h", "d", "size")
     at = F.monotonically_increasing_id()
     dealt = cut(dealt.withColumn("_task", F.shiftright(at, 33)).withColumn("_at", at.bitwiseAND(F.lit((1 << 33) - 1))))
     # tasks * shards rows at most, in fact tasks + shards: each task holds a range of shards
