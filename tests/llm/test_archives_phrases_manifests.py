@@ -5,11 +5,12 @@ import hashlib
 import os
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
 
-from tidemark.llm import merkle, phrases, queries, warc
+from tidemark.llm import decontam, langid, media, merkle, phrases, queries, tokens, toxicity, warc
 
 DATA = "/root/testdata/sf0.001"
 
@@ -200,3 +201,60 @@ def test_sql(spark, name):
     assert sorted(got.columns) == sorted(want.columns)
     rows = sorted((tuple(r[c] for c in want.columns) for r in got.collect()), key=str)
     assert rows == sorted(map(tuple, want.fetchall()), key=str) and rows
+
+
+def texts_frame(spark, texts):
+    return spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, n_bytes string")
+
+
+def test_all_columns_of_media(spark, tmp_path):
+    """Every column against the payload itself; repeated rows; no rows."""
+    texts = [None, "", "a", "é" * 100, "b" * 64, "b" * 64, "line\n" * 900, "\0" * 3]
+    frame = texts_frame(spark, texts)
+    media.store_texts(frame, str(tmp_path / "m"))
+    got = {r.doc_id: r for r in media.resolve(media.parse_sequences(media.interleave_texts(frame), "doc_id"), media.read_media(spark, str(tmp_path / "m")), "doc_id").collect()}
+    assert len(got) == len(texts)
+    for i, text in enumerate(texts):
+        raw = (text or "").encode()
+        payload = raw + bytes(-len(raw) % 64 if raw else 64)
+        stored = media.pack(payload)
+        assert media.unpack(stored) == payload
+        samples = np.frombuffer(payload, np.uint8).astype(float)
+        assert (got[i].payload_bytes, got[i].payload_sha256, got[i].tail_crc32) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (got[i].media_bytes, got[i].media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        height, mean, std = (float(x.split("=")[1]) for x in got[i].feature.split(";")[:3])
+        assert height == len(payload) / 64 and abs(mean - samples.mean()) < 6e-4 and abs(std - samples.std()) < 6e-4
+    media.store_texts(frame.limit(0), str(tmp_path / "none"))
+    assert media.read_media(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_language_masks_hold_what_sets_hold():
+    """A filter has every trigram it was given, and chance hits are corrected to nearly the plain shares."""
+    rng = random.Random(2)
+    alphabets = {"aa": "abcdefgh", "bb": "efghijkl"}
+    words = {k: ["".join(rng.choice(v) for _ in range(6)) for _ in range(400)] for k, v in alphabets.items()}
+    sets = {k: set(langid.trigrams([" ".join(v)])[0].tolist()) for k, v in words.items()}
+    grams = np.array([g for k in sorted(sets) for g in sorted(sets[k])], np.uint64)
+    filters = langid.Filters(sorted(sets), grams, np.repeat(np.arange(2), [len(sets[k]) for k in sorted(sets)]))
+    texts = [" ".join(rng.choice(words[k]) for _ in range(40)) for k in ("aa", "bb") for _ in range(20)]
+    names, score = filters.predict(texts)
+    for text, name, got in zip(texts, names, score.tolist(), strict=True):
+        own = langid.trigrams([text])[0].tolist()
+        hits = {k: sum(g in sets[k] for g in own) for k in sets}
+        assert hits[name] == len(own) == max(hits.values()) and abs(got - hits[name] / sum(hits.values())) < 0.05
+
+
+def test_empty_tables_and_repeated_rows(spark):
+    import public_tokenizers as P
+
+    none = texts_frame(spark, [])
+    labelled = spark.createDataFrame([], "doc_id long, text string, lang string")
+    assert langid.identify(none, langid.fit(labelled)).count() == 0
+    assert tokens.count_tokens(none, P.path("piece_bpe_32k.model")).count() == 0
+    assert toxicity.score(none, toxicity.Scorer(prior=0.5)).count() == 0
+    item = " ".join(f"q{i}" for i in range(30))
+    bench = spark.createDataFrame([(1, item), (1, item)], "item_id long, text string")
+    twice = spark.createDataFrame([(5, f"some words {item} more"), (5, f"some words {item} more"), (6, "nothing of it here")], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.decontaminate(twice, bench).collect()} == {(5, 1)}
+    assert decontam.Screen(twice, bench).clean(twice).count() == 1
+    assert decontam.Screen(twice.limit(0), bench).clean(twice.limit(0)).count() == 0

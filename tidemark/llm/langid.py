@@ -145,7 +145,8 @@ def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col
     """Language of every whole text: the id column, lang_pred, score (share of the corrected hits).
 
     Null texts and texts without a letter give `und` and 0. Ties go to the language first by
-    name. Only the text is looked at; other columns are left out and repeated rows repeat.
+    name. Only the text is looked at; other columns are left out and repeated rows repeat. An
+    empty table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(filters)  # SLOTS * 8 bytes

@@ -106,7 +106,11 @@ def image_feature(samples: bytes) -> str:
 
 
 def store_texts(docs: DataFrame, path: str, text_col: str = "text") -> None:
-    """Write each text (null: empty) as an image: digest of the padded payload, bytes, stored form."""
+    """Write each text (null: empty) as an image: digest of the padded payload, bytes, stored form.
+
+    Every row is stored, repeated ones too (read_media returns each digest once); an empty table
+    stores nothing. Other columns are left out, so their names may clash with nothing.
+    """
 
     def run(batches):
         for part in chunks(batches, "text"):

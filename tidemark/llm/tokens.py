@@ -248,7 +248,7 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
 
     Columns: the id column, n_bytes, n_tokens, over_limit (n_tokens > limit). Null and empty
     texts count 0. Strings of control tokens inside texts are ordinary text. Other columns are
-    left out; repeated rows give repeated rows. `model_path` must be readable on every executor.
+    left out; repeated rows give repeated rows and an empty table none. `model_path` must be readable on every executor.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
