@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.runtime import cut, drop, text_bytes
-from tidemark.llm.words import Words, grams, mix
+from tidemark.llm.words import _GRAM, Words, mix
 
 #: Bits of a bitmap that tells tasks which n-grams to emit: 4 MB, whatever the corpus.
 FILTER_BITS = 25
@@ -62,21 +62,26 @@ class Stretch:
         self.letters = np.full(int(self.ends[-1]) + 1, 32, np.uint8)
         self.letters[np.arange(int(lens.sum())) + np.repeat(np.arange(self.n), lens)] = text[words.solid]
 
-    def keys(self, k: int) -> np.ndarray:
-        """Key of the k words from each position; of no use where they aren't in one piece."""
-        g = grams(self.hashes, k)
-        return mix(g ^ self.salt[: len(g)])
+    def keys(self, k: int, at: np.ndarray) -> np.ndarray:
+        """Key of the k words from each of these positions, which must be in one piece."""
+        total = self.hashes[at] * _GRAM[0]
+        for j in range(1, k):
+            total += self.hashes[at + j] * _GRAM[j]
+        return mix(mix(total) ^ self.salt[at])
+
+    def word_keys(self) -> np.ndarray:
+        return self.keys(1, np.arange(self.n))
 
     def starts_of(self, k: int) -> np.ndarray:
         """Whether the k words from each position are in one piece."""
         return self.piece[: max(self.n - k + 1, 0)] == self.piece[k - 1 :]
 
     def counted(self, k: int, at: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
-        """The k-grams at these positions, each once with its count.
+        """The k-grams at these positions, whose keys are given, each once with its count.
 
         Equal 64-bit keys count as one n-gram here, within one stretch; across stretches strings are compared.
         """
-        keys, first, n = np.unique(keys[at], return_index=True, return_counts=True)
+        keys, first, n = np.unique(keys, return_index=True, return_counts=True)
         at = at[first]
         lens = self.ends[at + k - 1] - self.starts[at]
         offs = np.zeros(len(at) + 1, np.int64)
@@ -138,17 +143,17 @@ def count(texts: DataFrame, emit: Callable[[Stretch], Iterator[tuple[int, np.nda
 
 
 def _words(part: Stretch):
-    yield 1, np.arange(part.n), part.keys(1)
+    yield 1, np.arange(part.n), part.word_keys()
 
 
 def _pairs(frontier, frequent):
     """Pairs of frequent words, the first one in the frontier."""
 
     def emit(part: Stretch):
-        keys, ok = part.keys(1), part.starts_of(2)
-        if len(ok):
-            at = np.flatnonzero(ok & in_filter(frontier.value, keys[:-1]) & in_filter(frequent.value, keys[1:]))
-            yield 2, at, part.keys(2)
+        keys, ok = part.word_keys(), part.starts_of(2)
+        at = np.flatnonzero(ok & in_filter(frontier.value, keys[: len(ok)]))
+        at = at[in_filter(frequent.value, keys[at + 1])]
+        yield 2, at, part.keys(2, at)
 
     return emit
 
@@ -157,35 +162,35 @@ def _longer(pairs, frequent, longest: int):
     """All longer phrases of frequent words that grow from the pairs."""
 
     def emit(part: Stretch):
-        word = in_filter(frequent.value, part.keys(1))
-        alive = part.starts_of(2)
-        if not len(alive):
-            return
-        alive &= in_filter(pairs.value, part.keys(2))
+        word = in_filter(frequent.value, part.word_keys())
+        ok = part.starts_of(2)
+        at = np.flatnonzero(ok & word[: len(ok)] & word[1 : len(ok) + 1])
+        at = at[in_filter(pairs.value, part.keys(2, at))]
         for k in range(3, longest + 1):
-            ok = part.starts_of(k)
-            alive = alive[: len(ok)] & ok & word[k - 1 :]
-            yield k, np.flatnonzero(alive), part.keys(k) if len(ok) else np.zeros(0, np.uint64)
+            at = at[at + k <= part.n]
+            at = at[(part.piece[at] == part.piece[at + k - 1]) & word[at + k - 1]]
+            yield k, at, part.keys(k, at)
 
     return emit
 
 
 def _around(wanted, found, frequent, longest: int):
-    """The wanted phrases, and the found ones with the word before them."""
+    """The wanted phrases, and the found ones with the word before them; all are of frequent words."""
 
     def emit(part: Stretch):
-        word = in_filter(frequent.value, part.keys(1))
-        shorter = None
+        word = in_filter(frequent.value, part.word_keys())
+        shorter = np.zeros(part.n + 1, bool)  # where a found phrase of a word less starts
+        at = np.flatnonzero(word)
         for k in range(2, longest + 1):
-            ok = part.starts_of(k)
-            if not len(ok):
-                return
-            keys = part.keys(k)
-            asked = in_filter(wanted.value, keys) if k < longest else np.zeros(len(ok), bool)
-            if shorter is not None:
-                asked |= word[: len(ok)] & shorter[1 : len(ok) + 1]
-            yield k, np.flatnonzero(ok & asked), keys
-            shorter = ok & in_filter(found.value, keys)
+            at = at[at + k <= part.n]
+            at = at[(part.piece[at] == part.piece[at + k - 1]) & word[at + k - 1]]
+            keys = part.keys(k, at)
+            asked = shorter[at + 1]
+            if k < longest:
+                asked = asked | in_filter(wanted.value, keys)
+            yield k, at[asked], keys[asked]
+            shorter = np.zeros(part.n + 1, bool)
+            shorter[at[in_filter(found.value, keys)]] = True
 
     return emit
 
@@ -256,8 +261,10 @@ def collocations(docs: DataFrame, top: int = 2000, least: int = 100, longest: in
     limits = cut(goal.withColumn("lo", F.lit(0).cast("long")))
     while True:
         wave = words.join(limits, "lang").where("f > lo and f <= hi").select("lang", "phrase", "h")
-        pairs = cut(count(texts, _pairs(table(wave), frequent), least))
-        more = cut(count(texts, _longer(table(pairs), frequent, longest), least)) if longest > 2 else pairs.limit(0)
+        # languages that are settled aren't read again
+        some = texts.join(limits.where("lo < hi").select("lang"), "lang", "left_semi")
+        pairs = cut(count(some, _pairs(table(wave), frequent), least))
+        more = cut(count(some, _longer(table(pairs), frequent, longest), least)) if longest > 2 else pairs.limit(0)
         first = (F.col("lang") == F.col("_l")) & (F.substring_index("phrase", " ", 1) == F.col("_w"))
         grown = pairs.unionByName(more).join(wave.select(F.col("lang").alias("_l"), F.col("phrase").alias("_w")), first, "left_semi")
         known = _one_of_each(known.unionByName(grown.withColumn("own", F.lit(True))))
@@ -269,7 +276,7 @@ def collocations(docs: DataFrame, top: int = 2000, least: int = 100, longest: in
         if longest > 2 and not open_.isEmpty():
             ends = found.select("lang", "k", F.split("phrase", " ").alias("w")).where("k >= 3").withColumn("from", F.explode(F.sequence(F.lit(2), F.col("k") - 1)))
             ends = ends.select("lang", _part(F.col("from"), F.col("k") - F.col("from") + 1).alias("phrase")).distinct().join(known.select("lang", "phrase"), ["lang", "phrase"], "left_anti")
-            around = count(texts, _around(table(_keyed(ends)), table(found.where(F.col("k") < longest)), frequent, longest), least)
+            around = count(texts.join(open_, "lang", "left_semi"), _around(table(_keyed(ends)), table(found.where(F.col("k") < longest)), frequent, longest), least)
             known = _one_of_each(known.unionByName(around.withColumn("own", F.lit(False))))
         alive = cut(surviving(scored(known, totals, scale), known, cover))
         steps = alive.groupBy("lang", "score").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(W.partitionBy("lang").orderBy(F.desc("score"))))
@@ -302,7 +309,7 @@ def _keyed(phrases: DataFrame) -> DataFrame:
             for lang, phrase in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = np.frombuffer(phrase.encode(), np.uint8)
                 part = Stretch(raw, np.array([0, len(raw)]), [lang])
-                out.append(int(part.keys(part.n).view(np.int64)[0]))
+                out.append(int(part.keys(part.n, np.zeros(1, np.int64)).view(np.int64)[0]))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["h"])
 
     return phrases.select("lang", "phrase").mapInArrow(run, "h long")
