@@ -1,16 +1,19 @@
 """Evidence of slices, stored tables, id sets and sort keys."""
 
 import os
+from datetime import UTC, date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions.time import windows_frame
+from tidemark.functions.time import report_window, snapshot_age_days, to_us, windows_frame
 from tidemark.operators import evidence as E
 from tidemark.operators import repo as R
 from tidemark.operators import sampling as S
 from tidemark.operators import summaries as M
+from tidemark.operators import usage as K
 from tidemark.operators.stored import BucketTable
+from tidemark.sources import prices as P
 
 S1 = 1_000_000
 MESSAGE = "agent string, session_id string, ts_us long, path string, line_no int, role string, text string, is_real_user boolean, project_raw string"
@@ -112,6 +115,29 @@ def test_one_name_in_two_spellings_sorts_together(spark):
     assert [r.internal_id for r in tops] == ["s4", "s2", "s1", "s0", "s3"]
 
 
+def test_price_overrides_from_a_file(spark, tmp_path):
+    (tmp_path / "c.toml").write_text('[prices]\nsnapshot_date = "2026-01-02"\nbroken = 3\n[prices."Opus-Mine"]\ninput = 7\noutput = "much"\n[prices.new]\noutput = 2.5\n')
+    own, date = P.read_overrides(spark, str(tmp_path / "c.toml"))
+    assert date == "2026-01-02" and sorted(map(tuple, own.collect())) == [("new", None, 2.5, None, None), ("opus-mine", 7.0, None, None, None)]
+    rates = "model string, inp double, out double, cw double, cr double"
+    prices = K.layered_prices([(spark.createDataFrame([("opus", 5.0, 25.0, 6.0, 0.5), ("haiku", 1.0, 5.0, 1.2, 0.1)], rates), "default")], ["opus", "haiku"])
+    got = {r.model: tuple(r)[1:] for r in P.overridden(prices, own, spark.createDataFrame([], "model string, target string")).select("model", "inp", "out", "cw", "cr", "provenance", "is_family").collect()}
+    assert got == {"opus": (5.0, 25.0, 6.0, 0.5, "default", True), "haiku": (1.0, 5.0, 1.2, 0.1, "default", True), "opus-mine": (7.0, 25.0, 6.0, 0.5, "user", False), "new": (0.0, 2.5, 0.0, 0.0, "user", False)}
+
+
+def test_report_windows_are_labelled():
+    now = datetime(2024, 3, 13, 9, 30, tzinfo=UTC)
+    day = lambda *d: to_us(datetime(*d, tzinfo=UTC))
+    assert report_window("week", now) == ("2024-03-06_2024-03-13", to_us(now - timedelta(days=7)), to_us(now))
+    assert report_window(None, now) == report_window("month", now) == report_window("2024-03", now) == ("2024-03-01_2024-03-13", day(2024, 3, 1), to_us(now))
+    assert report_window("2023-12", now) == ("2023-12", day(2023, 12, 1), day(2024, 1, 1))
+    assert report_window("all", now) == ("all-thru-2024-03-13", day(2000, 1, 1), to_us(now))
+    for bad in ("2024-13", "year", ""):
+        with pytest.raises(ValueError):
+            report_window(bad, now)
+    assert snapshot_age_days(date(2024, 1, 1), date(2024, 4, 1)) == (91, True) and snapshot_age_days(date(2024, 1, 1), date(2024, 3, 31)) == (90, False)
+
+
 @pytest.mark.parametrize("connected", [True, False])
 def test_totals_need_a_connection(spark, connected):
     rows = spark.createDataFrame([("w", "r", 1, 2, 3, True)], "window_key string, repo string, commits long, merged long, releases long, is_enriched boolean")

@@ -6,6 +6,7 @@ result depends on the session's time zone.
 
 from __future__ import annotations
 
+import re
 from datetime import UTC, date, datetime, timedelta
 from zoneinfo import ZoneInfo
 
@@ -111,17 +112,28 @@ def completed_local_weeks(now: datetime, weeks: int, zone: str) -> list[tuple[st
     return out
 
 
-def report_window(name: str, now: datetime) -> tuple[str, int, int]:
-    """week: the last 7 days; month: since the first of the month; all; or YYYY-MM, cut at `now`."""
-    if name == "week":
-        return name, to_us(now - timedelta(days=7)), to_us(now)
-    if name == "month":
-        return f"{now:%Y-%m}", to_us(now.replace(day=1, hour=0, minute=0, second=0, microsecond=0)), to_us(now)
+def report_window(name: str | None, now: datetime) -> tuple[str, int, int]:
+    """(label, since, until) of week (the last 7 days), month (since the first; the default), all (since 2000) or YYYY-MM.
+
+    A window that ends now is labelled by both its dates, so that runs on different days don't share a
+    label; a month that is over keeps its name.
+    """
+    first = lambda year, month: datetime(year, month, 1, tzinfo=now.tzinfo)
     if name == "all":
-        return name, 0, to_us(now)
-    year, month = map(int, name.split("-"))
-    start = datetime(year, month, 1, tzinfo=now.tzinfo)
-    return name, to_us(start), to_us(min(datetime(*_month(year, month, -1), 1, tzinfo=now.tzinfo), now))
+        return f"all-thru-{now:%Y-%m-%d}", to_us(first(2000, 1)), to_us(now)
+    over = None
+    if name in (None, "month"):
+        since = first(now.year, now.month)
+    elif name == "week":
+        since = now - timedelta(days=7)
+    elif re.fullmatch(r"\d{4}-(0[1-9]|1[0-2])", name):
+        year, month = map(int, name.split("-"))
+        since, over = first(year, month), first(*_month(year, month, -1))
+    else:
+        raise ValueError(f"no such window: {name!r} (week, month, all or YYYY-MM)")
+    if over is not None and over <= now:
+        return name, to_us(since), to_us(over)
+    return f"{since:%Y-%m-%d}_{now:%Y-%m-%d}", to_us(since), to_us(now)
 
 
 def check_weekly_windows(windows: list[tuple[str, int, int]], zone: str) -> None:
