@@ -14,12 +14,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy pass works on; bounds a Python worker's memory.
 CHUNK_BYTES = 1 << 20
+#: Bytes of an Arrow batch that goes to a Python worker. Spark's default lets texts make batches of 64 MB, of which a task
+#: holds several on either side; a session that has another value keeps it.
+BATCH_BYTES = 4 << 20
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables; a temporary one only in local mode without a setting."""
+    """The shared folder for intermediate tables; a temporary one only in local mode without a setting.
+
+    As every operator comes through here, this also bounds the session's Arrow batches.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         if not sc.master.startswith("local"):
