@@ -21,6 +21,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a language (no text, no letter) go."""
+    ensure_checkpoint_dir(spark)
     docs = docs.select(COLUMNS)
     return langid.keep_known(docs, langid.fit(docs.where(~held_out())))
 
