@@ -390,6 +390,28 @@ def test_decontamination_of_an_item_copied_often(spark, rows, copies):
     assert decontam.Screen(docs(spark, texts), bench).clean(docs(spark, texts)).count() == rows - copies
 
 
+def test_spaces_of_a_benchmark_are_fitted_on_all_items_and_on_no_sample_of_the_corpus(spark):
+    rng = random.Random(29)
+    draw = lambda words, n: [" ".join(f"w{rng.randrange(words)}" for _ in range(40)) for _ in range(n)]
+    items = draw(400, 150)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    corpora = [[" ".join(rng.choice(items[:n]).split()[:30]) for _ in range(40)] for n in (2, 150)]
+    one, other = (decontam.Screen(docs(spark, texts), bench).scans()[0].value[0] for texts in corpora)
+    assert np.allclose(one.latent @ one.latent.T, other.latent @ other.latent.T, atol=1e-3)
+    items = draw(90, 60)
+    one = decontam.build(list(enumerate(items)), spark)
+    # fewer words than dimensions: the space keeps all of every passage, so latent cosines are the full ones
+    place, value, item = decontam.unit_passages(one.words, one.vocabulary)
+    whole = np.zeros((len(item), len(one.vocabulary.words)))
+    whole[place[0], place[1]] = value
+    assert np.allclose(one.latent @ one.latent.T, whole @ whole.T, atol=1e-3)
+    # more words than dimensions: what the range finder keeps is what an exact decomposition of all passages keeps
+    rank = 20
+    basis = decontam.build(list(enumerate(items)), spark, rank).basis / one.vocabulary.weight[:, None]
+    best = (np.linalg.svd(whole, compute_uv=False)[:rank] ** 2).sum()
+    assert ((whole @ basis) ** 2).sum() > 0.85 * best
+
+
 def test_common_words_make_no_paraphrase(spark):
     common = "the of to is was that".split()
     items = ["the heatou ononat to to the anor shheed eronnten onnt thin ndonsh of. Is the was that of."]

@@ -7,8 +7,9 @@ that is copied often. Words outside the benchmark have no place in the space, as
 folding in, so what stands beside a copied item doesn't lower its cosine.
 
 1. Items form groups of about GROUP_ITEMS. Each has a latent space of RANK dimensions: a
-   distributed randomised SVD of its own passages and those of SAMPLE_DOCS documents, each half
-   of the weight. Every pass of the range finder adds up A'(AQ) by Spark partition.
+   distributed randomised SVD of all passages of all its items. Every pass of the range finder
+   adds up A'(AQ) by Spark partition. Documents are folded in, none is fitted on, so a document's
+   matches depend on nothing but its text and the benchmark.
 2. Every passage of every document is folded in; those with a latent cosine of LATENT_COSINE or
    more with an item's passage are candidates, if their full cosine is LEAST_COSINE or more.
 3. A candidate is a match if the longest common subsequence of the item and the words around the
@@ -27,10 +28,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.runtime import chunks, cut, drop, text_bytes
+from tidemark.llm.runtime import chunks, text_bytes
 from tidemark.llm.words import Words, grams
 
 #: Passages are 4 cells of words; every second cell starts one.
@@ -38,8 +39,8 @@ CELL_WORDS, PASSAGE_CELLS, STEP_CELLS = 8, 4, 2
 PASSAGE, STEP = CELL_WORDS * PASSAGE_CELLS, CELL_WORDS * STEP_CELLS
 #: Dimensions of a space, columns more that the range finder draws, and its passes.
 RANK, OVERSAMPLE, PASSES = 128, 8, 2
-#: Documents (about) that spaces are fitted on beside the items; all documents are searched.
-SAMPLE_DOCS, SAMPLE_TASKS, SAMPLE_CHUNK = 1024, 8, 1 << 17
+#: Tasks that a space is fitted in, and bytes of text (about) that a task takes at once.
+FIT_TASKS, FIT_CHUNK = 8, 1 << 17
 #: Items (about) of one space, spaces of one scan, and bytes (about) of the items of one scan.
 GROUP_ITEMS, SCAN_GROUPS, SCAN_BYTES = 512, 4, 1 << 23
 LATENT_COSINE, LEAST_COSINE = 0.5, 0.4
@@ -144,51 +145,39 @@ def unit_passages(words: list[np.ndarray], known: Vocabulary) -> tuple[np.ndarra
 
 
 def _gram_times(rows: DataFrame, known: Vocabulary, q: np.ndarray) -> np.ndarray:
-    """A'(AQ) for the passages of `rows` (own, text); the items' (own) and the others have half of the weight each."""
+    """A'(AQ) for the passages of `rows` (text)."""
     shared = rows.sparkSession.sparkContext.broadcast((known, q))
     slices = -(-len(known.words) // 1024)
 
     def run(batches):
         known, q = shared.value
-        total = np.zeros((2, *q.shape), np.float32)
-        count = np.zeros(2, np.int64)
-        for part in chunks(batches, "text", SAMPLE_CHUNK):
-            words = Words(*text_bytes(pc.utf8_lower(part.column(1))), marks_part=True)
+        total = np.zeros(q.shape, np.float32)
+        for part in chunks(batches, "text", FIT_CHUNK):
+            words = Words(*text_bytes(pc.utf8_lower(part.column(0))), marks_part=True)
             h = words.hashes(lower=False)
-            texts = [h[a:b] for a, b in zip(words.word_offs[:-1], words.word_offs[1:], strict=True)]
-            own = part.column(0).to_numpy(zero_copy_only=False)
-            for half in (0, 1):
-                place, value, text = unit_passages([t for t, o in zip(texts, own, strict=True) if o == half], known)
-                if not len(value):
-                    continue
-                used, code = np.unique(place[1], return_inverse=True)
-                a = np.zeros((len(text), len(used)), np.float32)
-                a[place[0], code] = value
-                total[half, used] += a.T @ (a @ q[used])
-                count[half] += len(text)
-        if count.any():
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([half for half in (0, 1) for _ in range(slices)], pa.int32()), pa.array(list(range(slices)) * 2, pa.int32()), pa.array(np.repeat(count, slices)),
-                    pa.array([total[half, i * 1024 : (i + 1) * 1024].tobytes() for half in (0, 1) for i in range(slices)], pa.binary()),
-                ],
-                ["half", "part", "n", "y"],
-            )
+            place, value, text = unit_passages([h[a:b] for a, b in zip(words.word_offs[:-1], words.word_offs[1:], strict=True)], known)
+            if not len(value):
+                continue
+            used, code = np.unique(place[1], return_inverse=True)
+            a = np.zeros((len(text), len(used)), np.float32)
+            a[place[0], code] = value
+            total[used] += a.T @ (a @ q[used])
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([total[i * 1024 : (i + 1) * 1024].tobytes() for i in range(slices)], pa.binary())], ["part", "y"])
 
     def add(table: pa.Table) -> pa.Table:
         y = sum(np.frombuffer(x.as_buffer(), np.float32).astype(float) for x in table.column("y"))
-        return pa.table({"half": table.column("half").slice(0, 1), "part": table.column("part").slice(0, 1), "n": pa.array([sum(table.column("n").to_pylist())], pa.int64()), "y": pa.array([y.astype(np.float32).tobytes()], pa.binary())})
+        return pa.table({"part": table.column("part").slice(0, 1), "y": pa.array([y.astype(np.float32).tobytes()], pa.binary())})
 
-    schema = "half int, part int, n long, y binary"
+    schema = "part int, y binary"
     out = np.zeros(q.shape, np.float64)
-    for r in rows.mapInArrow(run, schema).groupBy("half", "part").applyInArrow(add, schema).collect():
-        if r.n:
-            out[r.part * 1024 : (r.part + 1) * 1024] += np.frombuffer(r.y, np.float32).reshape(-1, q.shape[1]) / r.n
+    for r in rows.mapInArrow(run, schema).groupBy("part").applyInArrow(add, schema).collect():
+        out[r.part * 1024 : (r.part + 1) * 1024] = np.frombuffer(r.y, np.float32).reshape(-1, q.shape[1])
     return out
 
 
 def fit_basis(rows: DataFrame, known: Vocabulary, rank: int = RANK) -> np.ndarray:
-    """Right singular vectors (words x rank) of the passages of rows, by a randomised range finder over Spark partitions."""
+    """Right singular vectors (words x rank) of the passages of all rows (text), by a randomised range finder over Spark partitions."""
     width = min(rank + OVERSAMPLE, len(known.words))
     q = np.linalg.qr(np.random.default_rng(7).standard_normal((len(known.words), width)))[0].astype(np.float32)
     for step in range(PASSES):
@@ -199,13 +188,11 @@ def fit_basis(rows: DataFrame, known: Vocabulary, rank: int = RANK) -> np.ndarra
     return (q @ turn[:, np.argsort(-power)][:, :rank]).astype(np.float32)
 
 
-def build(rows: list[tuple], sample: DataFrame, rank: int = RANK) -> Space:
-    """The space of items given as (id, text); sample has a column text."""
+def build(rows: list[tuple], spark: SparkSession, rank: int = RANK) -> Space:
+    """The space of items given as (id, text), fitted on all of them."""
     words = [_hashes(t) for _, t in rows]
     known = vocabulary(words)
-    spark = sample.sparkSession
-    own = spark.createDataFrame([(1, t) for _, t in rows], "own int, text string")
-    basis = fit_basis(sample.select(F.lit(0).alias("own"), "text").unionByName(own).repartition(SAMPLE_TASKS), known, rank)
+    basis = fit_basis(spark.createDataFrame([(t,) for _, t in rows], "text string").repartition(FIT_TASKS), known, rank)
     place, value, item = unit_passages(words, known)
     latent = np.zeros((len(item), basis.shape[1]), np.float32)
     np.add.at(latent, place[0], value[:, None] * basis[place[1]])
@@ -353,15 +340,12 @@ def find(spaces: list[Space], raw: np.ndarray, offs: np.ndarray) -> list[tuple]:
 
 
 class Screen:
-    """A benchmark prepared against a corpus."""
+    """A benchmark prepared for the search of a corpus."""
 
     def __init__(self, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"):
         self.id_col, self.text_col, self.item_col = id_col, text_col, item_col
         self.spark = docs.sparkSession
         self.item_kind = benchmark.schema[item_col].dataType.simpleString()
-        part = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
-        some = F.pmod(F.xxhash64(F.lit("fit"), F.col(id_col)), F.lit(1 << 30)) < int(part * (1 << 30))
-        self.sample = cut(docs.where(some & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text")))
         rows = benchmark.select(F.col(item_col).alias("id"), F.col(item_text_col).alias("text")).where("id is not null and text is not null").distinct()
         n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
         self.groups = max(1, -(-n // GROUP_ITEMS), -(-size * SCAN_GROUPS // SCAN_BYTES))
@@ -371,8 +355,7 @@ class Screen:
     def scans(self) -> list:
         """Broadcasts of SCAN_GROUPS spaces each, made on first use."""
         if self._scans is None:
-            spaces = [build(sorted((r.id, r.text) for r in self.rows.where(F.col("g") == g).collect()), self.sample) for g in range(self.groups)]
-            drop(self.sample)
+            spaces = [build(sorted((r.id, r.text) for r in self.rows.where(F.col("g") == g).collect()), self.spark) for g in range(self.groups)]
             self._scans = [self.spark.sparkContext.broadcast(spaces[i : i + SCAN_GROUPS]) for i in range(0, len(spaces), SCAN_GROUPS)]
         return self._scans
 
