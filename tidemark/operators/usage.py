@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators.activity import events_in
-from tidemark.operators.lineage import cut
+from tidemark.operators.lineage import written
 
 COUNTERS = ["input_tokens", "cache_creation", "cache_read", "output_tokens"]
 TOTALS = ["input_total", "cached_total", "write_total", "output_total"]
@@ -75,16 +78,16 @@ def ancestors(branches: DataFrame) -> DataFrame:
     Each round doubles the generations that are known: those up to 2^k, then 2^k further up from
     each. It ends with the first round that finds no new pair.
     """
-    jump = cut(branches.where("parent is not null and branch <> parent").select("branch", F.col("parent").alias("ancestor")).distinct())
+    jump = written(branches.where("parent is not null and branch <> parent").select("branch", F.col("parent").alias("ancestor")).distinct())
     out = jump
     while not jump.isEmpty():
         onward = jump.select(F.col("branch").alias("ancestor"), F.col("ancestor").alias("next"))
         further = out.join(onward, "ancestor").select("branch", F.col("next").alias("ancestor")).where("branch <> ancestor").distinct()
-        new = cut(further.join(out, ["branch", "ancestor"], "left_anti"))
+        new = written(further.join(out, ["branch", "ancestor"], "left_anti"))
         if new.isEmpty():
             break
         out = out.unionByName(new)
-        jump = cut(jump.join(onward, "ancestor").select("branch", F.col("next").alias("ancestor")).distinct())
+        jump = written(jump.join(onward, "ancestor").select("branch", F.col("next").alias("ancestor")).distinct())
     return out
 
 
@@ -93,35 +96,50 @@ def inherited_prefix(snapshots: DataFrame, lineage: DataFrame) -> DataFrame:
 
     The ancestor's series is read once, in order, with the place reached in the branch's own: what
     isn't the next value looked for is passed by. Branches without an ancestor are left out, those
-    without a match inherit 0. Each pair of equal values (place in the branch, place in the
-    ancestor) is a row that points to the next place of the branch's next value; how far the first
-    pair leads is found by pointer doubling, a logarithmic number of rounds. No series is in one row; a value
-    that both hold several times makes as many pairs as their product, but only up to the branch's first value that the ancestor lacks.
+    without a match inherit 0. Each pair of equal values (place i in the branch, place j in the
+    ancestor) is a row; sorted by j they are one reading of the ancestor, of which a task holds no
+    more than a batch. A value that both hold several times makes as many rows as their product, less those
+    with j < i, where no reading can have come so far.
     """
     pair = ["branch", "ancestor"]
     least = F.lit(-(2**63))
     place = F.row_number().over(W.partitionBy("branch").orderBy("ts_us", *TOTALS)) - 1
-    placed = cut(snapshots.select("branch", place.alias("i"), *[F.coalesce(F.col(c).cast("long"), least).alias(c) for c in TOTALS]))
+    placed = written(snapshots.select("branch", place.alias("i"), *[F.coalesce(F.col(c).cast("long"), least).alias(c) for c in TOTALS]))
     theirs = placed.select(F.col("branch").alias("ancestor"), F.col("i").alias("j"), *TOTALS)
-    met = cut(lineage.select(*pair).distinct().join(placed, "branch").join(theirs, ["ancestor", *TOTALS], "left").select(*pair, "i", "j"))
-    ends = met.where("j is null").groupBy(*pair).agg(F.min("i").alias("end"))
-    nodes = met.where("j is not null").join(ends, pair, "left").where("end is null or i < end").select(*pair, "i", "j")
-    # the places of the next value stand among those that look for it; read backwards, the last one seen is the nearest
-    asked = nodes.select(*pair, "i", "j", F.lit(1).alias("asks")).unionByName(nodes.where("i > 0").select(*pair, (F.col("i") - 1).alias("i"), "j", F.lit(0).alias("asks")))
-    back = W.partitionBy(*pair, "i").orderBy(F.desc("j"), F.desc("asks")).rowsBetween(W.unboundedPreceding, -1)
-    chain = asked.withColumn("to_j", F.last(F.when(F.col("asks") == 0, F.col("j")), ignorenulls=True).over(back)).where("asks = 1")
-    chain = cut(chain.select(*pair, "i", "j", (F.col("i") + 1).alias("to_i"), "to_j"))
-    while not chain.where("to_j is not null").isEmpty():
-        on = chain.select(*pair, F.col("i").alias("to_i"), F.col("j").alias("to_j"), F.col("to_i").alias("_i"), F.col("to_j").alias("_j"))
-        chain = cut(chain.join(on, [*pair, "to_i", "to_j"], "left").select(*pair, "i", "j", F.coalesce("_i", "to_i").alias("to_i"), F.col("_j").alias("to_j")))
-    # to_i is the end of the chain from each pair, and the first pair of a chain is the first place of the first value
-    reached = chain.where("i = 0").groupBy(*pair).agg(F.min_by("to_i", "j").cast("long").alias("m"))
-    return lineage.select(*pair).distinct().join(reached, pair, "left").groupBy("branch").agg(F.max(F.coalesce("m", F.lit(0).cast("long"))).alias("inherited"))
+    nodes = lineage.select(*pair).distinct().join(placed, "branch").join(theirs, ["ancestor", *TOTALS]).where("i <= j").select(*pair, "i", "j")
+    kind = lineage.schema["branch"].dataType.simpleString()
+    reached = nodes.repartition(*pair).sortWithinPartitions(*pair, "j", "i").mapInArrow(_places_reached, f"branch {kind}, inherited long")
+    return lineage.select("branch", F.lit(0).cast("long").alias("inherited")).unionByName(reached).groupBy("branch").agg(F.max("inherited").alias("inherited"))
+
+
+def _places_reached(batches):
+    """(branch, inherited) of each pair; batches: (branch, ancestor, i, j) sorted by branch, ancestor, j, i, each pair in one task."""
+    now, reach, last = None, 0, -1
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        branch, ancestor = batch.column(0), batch.column(1)
+        new = pc.or_(pc.not_equal(branch[1:], branch[:-1]), pc.not_equal(ancestor[1:], ancestor[:-1]))
+        starts = [0, *(np.flatnonzero(new.to_numpy(zero_copy_only=False)) + 1).tolist(), batch.num_rows]
+        i, j = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        names, found = [], []
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            if a or now != (branch[0], ancestor[0]):
+                if now is not None:
+                    names.append(now[0])
+                    found.append(reach)
+                now, reach, last = (branch[a], ancestor[a]), 0, -1
+            for k in range(a, b):
+                if i[k] == reach and j[k] > last:
+                    reach, last = reach + 1, j[k]
+        yield pa.RecordBatch.from_arrays([pa.array(names, branch.type), pa.array(found, pa.int64())], ["branch", "inherited"])
+    if now is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([now[0]], now[0].type), pa.array([reach], pa.int64())], ["branch", "inherited"])
 
 
 def branch_usage(snapshots: DataFrame, branches: DataFrame) -> DataFrame:
     """Usage events of branches of cumulative counters, without what a branch copied from its ancestors."""
-    once = distinct_snapshots(snapshots)
+    once = written(distinct_snapshots(snapshots))
     copied = inherited_prefix(once, ancestors(branches))
     own = counter_deltas(once).join(copied, "branch", "left").where(F.col("pos") >= F.coalesce("inherited", F.lit(0)))
     return grown(own)

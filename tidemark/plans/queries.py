@@ -18,7 +18,7 @@ from tidemark.operators import rollup as U
 from tidemark.operators import sampling as S
 from tidemark.operators import summaries as M
 from tidemark.operators import usage as K
-from tidemark.operators.lineage import numbered
+from tidemark.operators.lineage import numbered, written
 from tidemark.sources import bindings as B
 from tidemark.sources import logs as L
 
@@ -247,10 +247,11 @@ def _branches(spark, sf_dir):
     """Each order's counters, and a child branch that copied the first half of its parent's and went on."""
     base = K.distinct_snapshots(B.snapshots(spark, sf_dir)).where("input_total > 0")
     order = W.partitionBy("branch").orderBy("ts_us", *K.TOTALS)
-    ranked = base.withColumn("i", F.row_number().over(order)).withColumn("n", F.count("*").over(W.partitionBy("branch")))
+    ranked = written(base.withColumn("i", F.row_number().over(order)).withColumn("n", F.count("*").over(W.partitionBy("branch"))))  # read four times
+    base = ranked.drop("i", "n")
     copied = ranked.where("i * 2 <= n").drop("i", "n").withColumn("branch", F.concat("branch", F.lit("-c")))
     more = ranked.where("i = n").drop("i", "n").withColumn("branch", F.concat("branch", F.lit("-c"))).withColumns({c: F.col(c) + 7 for c in K.TOTALS})
-    tree = base.select(F.concat("branch", F.lit("-c")).alias("branch"), F.col("branch").alias("parent")).distinct()
+    tree = ranked.where("i = 1").select(F.concat("branch", F.lit("-c")).alias("branch"), F.col("branch").alias("parent"))
     return base.unionByName(copied).unionByName(more), tree
 
 
