@@ -3,6 +3,9 @@
 import random
 
 from tidemark.operators import usage as K
+from tidemark.plans.queries import QUERIES
+
+SMALL = "/root/testdata/sf0.001"
 
 
 def _series(spark, of):
@@ -46,3 +49,12 @@ def test_inherited_prefix_against_plain_reading(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == want and max(want.values()) > 10
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_log_lines_are_parsed_once(spark):
+    for name in ("log_messages_a", "log_messages_b", "log_messages_c", "log_usage_a", "log_usage_b", "log_usage_c", "log_sessions"):
+        assert "parse_json" not in _plan(QUERIES[name](spark, SMALL)) and "to_json" not in _plan(QUERIES[name](spark, SMALL)), name

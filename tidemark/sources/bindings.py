@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import is_real_user
 from tidemark.functions.time import SECOND, epoch_us, to_us, windows_frame
 from tidemark.operators.classify import DEFAULT_AREAS, rules_frame
+from tidemark.operators.lineage import written
 
 ZONE = "America/New_York"
 FOLDERS = [
@@ -122,9 +123,12 @@ def _iso(us: Column) -> Column:
 
 
 def _as_lines(rows: DataFrame) -> DataFrame:
-    """rows (path, line_no, value) as the adapters take them."""
+    """rows (path, line_no, value) as the adapters take them: parsed once and written, as a scan of log files does.
+
+    Otherwise Spark makes and parses the lines again in each filter and branch of each adapter.
+    """
     v = F.try_parse_json("value")
-    return rows.withColumn("v", F.when(F.schema_of_variant(v).startswith("OBJECT"), v))
+    return written(rows.withColumn("v", F.when(F.schema_of_variant(v).startswith("OBJECT"), v)))
 
 
 def message_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
