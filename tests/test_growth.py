@@ -58,3 +58,7 @@ def _plan(df):
 def test_log_lines_are_parsed_once(spark):
     for name in ("log_messages_a", "log_messages_b", "log_messages_c", "log_usage_a", "log_usage_b", "log_usage_c", "log_sessions"):
         assert "parse_json" not in _plan(QUERIES[name](spark, SMALL)) and "to_json" not in _plan(QUERIES[name](spark, SMALL)), name
+
+
+def test_recap_reads_its_facts_and_not_the_events_again(spark):
+    assert "event_type" not in _plan(QUERIES["recap_json"](spark, SMALL))

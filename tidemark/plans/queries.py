@@ -40,9 +40,9 @@ def _clipped(spark, sf_dir, windows=None, cap=A.GAP_CAP_US):
     return A.clip(A.active_intervals(B.activity(spark, sf_dir), cap), windows or B.windows(spark))
 
 
-def _slices(spark, sf_dir, windows=None):
+def _slices(spark, sf_dir, windows=None, messages=None):
     """Slices of each window with their session's folder, project and area."""
-    messages = B.activity(spark, sf_dir)
+    messages = B.activity(spark, sf_dir) if messages is None else messages
     found = A.slices(messages, windows or B.windows(spark))
     folders = messages.groupBy("agent", "session_id").agg(F.min("project_raw").alias("project_raw"), F.min("cwd").alias("cwd"))
     rows = C.with_project(found.join(folders, A.SESSION), B.aliases(spark))
@@ -654,8 +654,11 @@ def recap_json(spark, sf_dir):
     """The recap envelope of both windows as JSON, and a JSON row for each of their sessions."""
     from tidemark.plans import marts
 
-    rows, rolled = _slices(spark, sf_dir), _rollup(spark, sf_dir)
-    got = marts.recap(B.windows(spark), A.window_totals(_clipped(spark, sf_dir)), rolled, U.agent_breakdown(rows), _costed(spark, sf_dir), U.top_focus(rolled))
+    messages = written(A.with_next(B.activity(spark, sf_dir)))  # facts are written once and read by every part
+    rows, windows = written(_slices(spark, sf_dir, messages=messages)), B.windows(spark)
+    totals = written(A.window_totals(A.clip(A.active_intervals(messages), windows)))
+    rolled = written(U.area_project_rollup(rows, totals))
+    got = marts.recap(windows, totals, rolled, U.agent_breakdown(rows), written(_costed(spark, sf_dir)), U.top_focus(rolled))
     return marts.as_json(got).unionByName(marts.as_json(marts.recap_sessions(rows)))
 
 
